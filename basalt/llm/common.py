@@ -27,11 +27,16 @@ def fresh(name: str, *dfs: DataFrame) -> str:
     return name
 
 
-def texts(column: pa.Array) -> Iterator[str]:
+def text_batches(column: pa.Array) -> Iterator[list[str]]:
     """The strings of an Arrow column, nulls as empty, converted a few at a time."""
     for at in range(0, len(column), CHUNK):
-        for x in column.slice(at, CHUNK).to_pylist():
-            yield x or ""
+        yield [x or "" for x in column.slice(at, CHUNK).to_pylist()]
+
+
+def texts(column: pa.Array) -> Iterator[str]:
+    """The same, one by one."""
+    for batch in text_batches(column):
+        yield from batch
 
 
 def per_text(df: DataFrame, text: str, fn: Callable[[str], tuple], fields: list[tuple[str, pa.DataType]], to: str) -> DataFrame:
@@ -39,20 +44,28 @@ def per_text(df: DataFrame, text: str, fn: Callable[[str], tuple], fields: list[
 
     Only the text goes to Python; the other columns wait in the JVM.
     """
+    return per_batch(df, text, lambda batch: [fn(x) for x in batch], fields, to)
+
+
+def per_batch(df: DataFrame, text: str, fn: Callable[[list[str]], list[tuple]], fields: list[tuple[str, pa.DataType]], to: str) -> DataFrame:
+    """As ``per_text``, but ``fn`` gets up to CHUNK texts at once and returns a row for each."""
     ship(df.sparkSession)
     return df.withColumn(to, _udf(fn, fields)(F.col(f"`{text}`")))
 
 
-def _udf(fn: Callable[[str], tuple], fields: list[tuple[str, pa.DataType]]) -> Callable[..., Column]:
-    ddl = ", ".join(f"{n} {_DDL[t]}" for n, t in fields)
+def _udf(fn: Callable[[list[str]], list[tuple]], fields: list[tuple[str, pa.DataType]]) -> Callable[..., Column]:
+    ddl = ",".join(f"{n}:{_DDL[t]}" for n, t in fields)
 
     def run(column: pa.Array) -> pa.Array:
-        rows = [fn(x) for x in texts(column)]
-        cols = list(zip(*rows)) if rows else [()] * len(fields)
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
+        done = []
+        for batch in text_batches(column):
+            rows = fn(batch)
+            cols = list(zip(*rows))
+            done.append(pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields]))
+        return pa.concat_arrays(done) if done else pa.array([], pa.struct(fields))
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return arrow_udf(run, f"struct<{ddl.replace(' ', ':').replace(',:', ',')}>")
+    return arrow_udf(run, f"struct<{ddl}>")
 
 
 _DDL = {pa.int64(): "bigint", pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double", pa.binary(): "binary"}

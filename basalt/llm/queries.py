@@ -16,5 +16,14 @@ def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), to="q").select("doc_id", "q.*")
 
 
-QUERIES = {f.__name__: f for f in (op9_repetition_coverage,)}
+def op7_rank_synchronous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from basalt.llm import token_counts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512, to="t").select("doc_id", "t.*")
+
+
+QUERIES = {f.__name__: f for f in (op7_rank_synchronous, op9_repetition_coverage)}
 SQL: dict[str, str] = {}
