@@ -77,5 +77,13 @@ def op7_rank_synchronous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512, to="t").select("doc_id", "t.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_association_rules, op3_relational_format, op7_rank_synchronous, op9_repetition_coverage)}
+def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from basalt.llm import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+QUERIES = {f.__name__: f for f in (op2_association_rules, op3_relational_format, op7_rank_synchronous, op9_repetition_coverage, op10_grouping_genetic)}
 SQL: dict[str, str] = {"op3_relational_format": OP3_SQL}
