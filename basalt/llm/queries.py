@@ -16,6 +16,12 @@ def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), to="q").select("doc_id", "q.*")
 
 
+def op1_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basalt.llm import fingerprints
+
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are those of the documents of the same number: low quality or toxic ones go with block."""
     from basalt.llm import url_filter
@@ -68,6 +74,13 @@ FROM e GROUP BY conv_id
 """
 
 
+def op4_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basalt.llm import simhash
+
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_rank_synchronous(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,5 +98,5 @@ def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_association_rules, op3_relational_format, op7_rank_synchronous, op9_repetition_coverage, op10_grouping_genetic)}
+QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_association_rules, op3_relational_format, op4_deletion_variants, op7_rank_synchronous, op9_repetition_coverage, op10_grouping_genetic)}
 SQL: dict[str, str] = {"op3_relational_format": OP3_SQL}
