@@ -81,6 +81,14 @@ def op4_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basalt.llm import mixing
+
+    drawn = mixing.draw(table(spark, sf_dir, "documents"))
+    rows = drawn.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+
+
 def op7_rank_synchronous(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -98,5 +106,5 @@ def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_association_rules, op3_relational_format, op4_deletion_variants, op7_rank_synchronous, op9_repetition_coverage, op10_grouping_genetic)}
+QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_association_rules, op3_relational_format, op4_deletion_variants, op6_cube_mixing, op7_rank_synchronous, op9_repetition_coverage, op10_grouping_genetic)}
 SQL: dict[str, str] = {"op3_relational_format": OP3_SQL}
