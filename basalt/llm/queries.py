@@ -10,6 +10,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_lines counts the pieces between line ends; removed_lines are the places, from 0, of those that go."""
+    from basalt.llm import line_dedup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = line_dedup.similar_lines(docs, t=0.8, min_words=5).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "removed")
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sized = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"))
+    both = sized.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    return both.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
+
+
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents
+), s AS (
+  SELECT doc_id, place, list_sort(list_distinct(regexp_extract_all(line, '[^ 	-]+'))) AS words FROM l
+), k AS (
+  SELECT words, len(words) AS n, min((doc_id, place)) AS first, row_number() OVER () AS id FROM s WHERE len(words) >= 5 GROUP BY words
+), w AS (
+  SELECT id, n, unnest(words) AS word FROM k
+), df AS (
+  SELECT word, count(*) AS c FROM w GROUP BY word
+), r AS (
+  SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY c, word) AS p FROM w JOIN df USING (word)
+), c AS (
+  SELECT DISTINCT a.id AS x, b.id AS y
+  FROM r a JOIN r b ON a.word = b.word AND a.id < b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  WHERE a.p <= a.n - ceil(0.8 * a.n) + 1 AND b.p <= b.n - ceil(0.8 * b.n) + 1
+), v AS (
+  SELECT x, y, len(list_intersect(a.words, b.words)) AS o, a.n + b.n AS t FROM c JOIN k a ON a.id = x JOIN k b ON b.id = y
+), e AS (
+  SELECT x, y FROM v WHERE 5 * o >= 4 * (t - o) UNION ALL SELECT y, x FROM v WHERE 5 * o >= 4 * (t - o)
+), m AS (
+  SELECT k.id, any_value(k.words) AS words, least(any_value(k.first), coalesce(min(o.first), any_value(k.first))) AS best
+  FROM k LEFT JOIN e ON e.x = k.id LEFT JOIN k o ON o.id = e.y GROUP BY k.id
+), g AS (
+  SELECT s.doc_id, s.place FROM s JOIN m ON s.words = m.words WHERE m.best < (s.doc_id, s.place)
+)
+SELECT d.doc_id, coalesce(len(string_split(any_value(d.text), chr(10))), 0) AS n_lines, count(g.place) AS n_removed,
+  coalesce(string_agg(g.place::VARCHAR, ',' ORDER BY g.place), '') AS removed_lines
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basalt.llm import quality
 
@@ -106,5 +151,5 @@ def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_association_rules, op3_relational_format, op4_deletion_variants, op6_cube_mixing, op7_rank_synchronous, op9_repetition_coverage, op10_grouping_genetic)}
-SQL: dict[str, str] = {"op3_relational_format": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_association_rules, op3_relational_format, op4_deletion_variants, op6_cube_mixing, op7_rank_synchronous, op8_set_similarity, op9_repetition_coverage, op10_grouping_genetic)}
+SQL: dict[str, str] = {"op8_set_similarity": OP8_SQL, "op3_relational_format": OP3_SQL}
