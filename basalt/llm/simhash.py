@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.llm.common import fresh, per_text
@@ -218,3 +218,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     return made.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: the smallest doc_id of each group stays (among null ids and repeated rows, one), with its columns as they are."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    made = fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", width).select("doc_id", F.xxhash64("text").alias("h"), "fp")
+    made = scratch.write(made)
+    own = made.groupBy("fp").agg(F.min(rank).alias("least"))
+    roots = components(links(own.select("fp"), scratch, distance), scratch)
+    rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.h")
+    names = [fresh(n, docs) for n in ("kept_id", "kept_hash", "kept_own", "kept_turn")]
+    kept = kept.toDF(*names[:2])
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(names[0])) & (F.col(names[2]) == F.col(names[1]))
+    found = docs.withColumn(names[2], F.xxhash64(F.col(f"`{text}`"))).join(kept, same)
+    # rows equal in doc_id and text: one of them stays
+    turn = F.row_number().over(Window.partitionBy(f"`{doc_id}`", names[2]).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != text]))
+    return found.withColumn(names[3], turn).filter(F.col(names[3]) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
