@@ -26,7 +26,7 @@ OP8_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents
 ), s AS (
-  SELECT doc_id, place, list_sort(list_distinct(regexp_extract_all(line, '[^ 	-]+'))) AS words FROM l
+  SELECT doc_id, place, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM l
 ), k AS (
   SELECT words, len(words) AS n, min((doc_id, place)) AS first, row_number() OVER () AS id FROM s WHERE len(words) >= 5 GROUP BY words
 ), w AS (
@@ -126,6 +126,34 @@ def op4_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_named_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basalt.llm import substring
+
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"), width=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13
+), n AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS name FROM p
+), g AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY name) AS least FROM n) WHERE least < doc_id
+), r AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM g, (SELECT unnest(range(13)) AS j)
+), x AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
+), k AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM x LEFT JOIN r ON r.doc_id = x.doc_id AND r.i = x.i WHERE r.i IS NULL GROUP BY x.doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basalt.llm import mixing
 
@@ -151,5 +179,5 @@ def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_association_rules, op3_relational_format, op4_deletion_variants, op6_cube_mixing, op7_rank_synchronous, op8_set_similarity, op9_repetition_coverage, op10_grouping_genetic)}
-SQL: dict[str, str] = {"op8_set_similarity": OP8_SQL, "op3_relational_format": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_association_rules, op3_relational_format, op4_deletion_variants, op5_named_windows, op6_cube_mixing, op7_rank_synchronous, op8_set_similarity, op9_repetition_coverage, op10_grouping_genetic)}
+SQL: dict[str, str] = {"op5_named_windows": OP5_SQL, "op8_set_similarity": OP8_SQL, "op3_relational_format": OP3_SQL}
