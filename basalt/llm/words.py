@@ -4,13 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-_rng = np.random.default_rng(7)
-#: What each byte counts for in a word's hash.
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_power = np.ones(1, np.uint64)
+_KEY = np.uint64(0x9E3779B97F4A7C15)
+#: What to keep of 8 bytes of which the first n belong to a word.
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,27 +16,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> np.ndarray:
-    """The base to the power of 0..n-1, modulo 2**64."""
-    global _power
-    if len(_power) < n:
-        _power = np.r_[np.uint64(1), np.cumprod(np.full(2 * n, _BASE))]
-    return _power
-
-
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash, first byte, end byte) of each word, alike in every process; blanks are those of ``bytes.split()``."""
+    """(64-bit hash, first byte, end byte) of each word, alike in every process; blanks are those of ``bytes.split()``.
+
+    A word is hashed 8 bytes at a time, all words' first 8 bytes together, then the next 8 of the longer ones.
+    """
     raw = np.frombuffer(data, np.uint8)
-    inside = ~_BLANK[raw]
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    inside = ((raw - np.uint8(9)) >= 5) & (raw != 32)
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(raw) and inside[0]:
+        edge = np.r_[0, edge]
+    if len(raw) and inside[-1]:
+        edge = np.r_[edge, len(raw)]
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64), start, end
-    lens = end - start
-    first = np.cumsum(lens) - lens
-    place = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    values = _BYTE[raw[inside]] * powers(int(lens.max()))[place]
-    return mix(np.add.reduceat(values, first)), start, end
+    left = end - start
+    h = mix(left.astype(np.uint64) + _KEY)
+    padded = data + bytes(8)
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    who, at = None, start
+    while len(at):
+        part = mix((eight[at] & _MASK[np.minimum(left, 8)]) + _KEY)
+        if who is None:
+            h = mix((h ^ part) * _KEY)
+            who = np.flatnonzero(left > 8)
+            at, left = at[who] + 8, left[who] - 8
+        else:
+            h[who] = mix((h[who] ^ part) * _KEY)
+            more = left > 8
+            who, at, left = who[more], at[more] + 8, left[more] - 8
+    return h, start, end
 
 
 def pack_texts(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
