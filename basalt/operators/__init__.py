@@ -1,0 +1 @@
+"""Operators from tables to tables."""

@@ -2,5 +2,693 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from basalt.functions import codec, histogram
+from basalt.operators import advisor, blocks, compact, manifest, merge, resolve, trace, txn
+from basalt.sources import files, logs
+from basalt.streaming import feeds
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+#: Logs and traces of the SQL side, as in basalt.sources.logs.
+WITH = {
+    "ev": "ev AS (SELECT 'u' || lpad(user_id::VARCHAR, 6, '0') AS k, event_id AS seq, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 2 ELSE 1 END AS op, round(value * 100)::BIGINT AS v, epoch_us(ts) AS ts_us, strlen(props)::BIGINT AS bytes FROM events WHERE event_type <> 'view')",
+    "ord": "ord AS (SELECT o_custkey AS k, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 2 ELSE 1 END AS op, round(o_totalprice * 100)::BIGINT AS v FROM orders)",
+    "tr": "tr AS (SELECT event_id AS seq, epoch_us(ts) AS ts_us, event_type AS type, 'u' || lpad(user_id::VARCHAR, 6, '0') AS k, strlen(props)::BIGINT AS value_size FROM events)",
+    "bl": "bl AS (SELECT event_id AS seq, epoch_us(ts) AS ts_us, user_id AS block, 4096 + 16 * (user_id % 64) AS bytes, (user_id % 4)::INT AS level, event_type AS caller, value < 100 AS hit FROM events)",
+    "live": "live AS (SELECT * FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) WHERE op NOT IN (0, 7))",
+    "rest": "rest AS (SELECT * FROM (SELECT *, coalesce(max(CASE WHEN op <> 2 THEN seq END) OVER (PARTITION BY k), -1) AS base FROM ord) WHERE seq >= base AND op IN (1, 2))",
+    "st": "st AS (SELECT type, k, count(*) AS accesses, count(*) AS successes, arg_max(value_size, (ts_us, seq)) AS last_size, max(ts_us) AS last_us FROM tr GROUP BY type, k)",
+    "fl": "fl AS (SELECT s_suppkey AS number, (s_suppkey % 4)::INT AS level, s_suppkey * 7 % 100 AS lo, s_suppkey * 7 % 100 + 1 + s_suppkey % 9 AS hi, round(s_acctbal)::BIGINT AS bytes FROM supplier)",
+    "se": "se AS (SELECT (epoch_us(ts) // 86400000000) * 86400 AS ts, 'e' || (user_id % 5) AS entity, event_type AS stat, sum(round(value * 100))::BIGINT AS value FROM events GROUP BY ALL)",
+}
+
+
+def q(sql: str | None = None, uses: str = ""):
+    """Register a query, and its SQL after the WITH entries that it uses."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            SQL[fn.__name__] = (f"WITH {', '.join(WITH[u] for u in uses.split())} " if uses else "") + sql
+        return fn
+
+    return add
+
+
+def files_of(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as run files with levels and key ranges."""
+    n = F.col("s_suppkey")
+    return logs.table(spark, d, "supplier").select(n.alias("number"), (n % 4).cast("int").alias("level"), (n * 7 % 100).alias("lo"), (n * 7 % 100 + 1 + n % 9).alias("hi"), F.round("s_acctbal").cast("long").alias("bytes"))
+
+
+def series_of(spark: SparkSession, d: str) -> DataFrame:
+    """Cents of events by day, type and user group, as a statistics series."""
+    e = logs.table(spark, d, "events")
+    day = (F.floor(logs.micros("ts") / blocks.DAY) * 86400).cast("long")
+    return e.groupBy(day.alias("ts"), F.concat(F.lit("e"), (F.col("user_id") % 5).cast("string")).alias("entity"), F.col("event_type").alias("stat")).agg(F.sum(logs.cents("value")).alias("value"))
+
+
+# point and ordered reads
+
+LINE_ORDER = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+
+
+@q(f"SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(c + ' DESC' for c in LINE_ORDER)}) = 1")
+def kv_latest_lineitem(spark, d):
+    return resolve.latest(logs.table(spark, d, "lineitem"), ("l_orderkey", "l_linenumber"), LINE_ORDER).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@q("SELECT count(*) AS n_live, max(seq) AS last_seq FROM live", "ev live")
+def kv_count_live(spark, d):
+    return resolve.resolve(logs.event_log(spark, d)).agg(F.count("*").alias("n_live"), F.max("seq").alias("last_seq"))
+
+
+@q("SELECT k, seq, v FROM live WHERE k = 'u000008'", "ev live")
+def kv_get_one(spark, d):
+    return resolve.resolve(logs.event_log(spark, d)).filter("k = 'u000008'").select("k", "seq", "v")
+
+
+@q("SELECT w.k, live.v, live.seq IS NOT NULL AS found FROM (SELECT 'u' || lpad((c_custkey * 3)::VARCHAR, 6, '0') AS k FROM customer) w LEFT JOIN live ON live.k = w.k", "ev live")
+def kv_multiget(spark, d):
+    wanted = logs.table(spark, d, "customer").select(F.concat(F.lit("u"), F.lpad((F.col("c_custkey") * 3).cast("string"), 6, "0")).alias("k"))
+    return resolve.multi_get(logs.event_log(spark, d), wanted).select("k", "v", "found")
+
+
+@q("SELECT k, v FROM live WHERE k >= 'u000010' AND k < 'u000050'", "ev live")
+def kv_scan_bounds(spark, d):
+    return resolve.scan(resolve.resolve(logs.event_log(spark, d)), lower="u000010", upper="u000050").select("k", "v")
+
+
+@q("SELECT k, v FROM live WHERE k LIKE 'u00001%'", "ev live")
+def kv_prefix_scan(spark, d):
+    return resolve.scan(resolve.resolve(logs.event_log(spark, d)), prefix="u00001").select("k", "v")
+
+
+@q("SELECT k, v FROM live WHERE k >= 'u000012' ORDER BY k LIMIT 7", "ev live")
+def kv_seek_n(spark, d):
+    return resolve.scan(resolve.resolve(logs.event_log(spark, d)), lower="u000012", limit=7).select("k", "v")
+
+
+@q("SELECT w.o_orderkey, l.k AS at_k, l.v AS at_v FROM orders w ASOF LEFT JOIN (SELECT k, seq, v FROM (SELECT o_custkey * 5 AS k, o_orderkey AS seq, round(o_totalprice * 100)::BIGINT AS v FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)) l ON w.o_orderkey >= l.k")
+def kv_seek_for_prev_asof(spark, d):
+    live = resolve.latest(logs.order_log(spark, d)).select((F.col("k") * 5).alias("k"), "v")
+    return resolve.as_of(logs.table(spark, d, "orders").select("o_orderkey"), live, "o_orderkey", "k").select("o_orderkey", "at_k", "at_v")
+
+
+@q("SELECT k, v FROM live ORDER BY k DESC LIMIT 25", "ev live")
+def kv_reverse_scan(spark, d):
+    return resolve.scan(resolve.resolve(logs.event_log(spark, d)), reverse=True, limit=25).select("k", "v")
+
+
+@q("SELECT k, seq, v FROM (SELECT * FROM ev WHERE seq <= 500 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) WHERE op NOT IN (0, 7)", "ev")
+def kv_snapshot_read(spark, d):
+    return resolve.resolve(logs.event_log(spark, d), snapshot=500).select("k", "seq", "v")
+
+
+@q("SELECT k, seq, op, v FROM ev", "ev")
+def kv_all_versions(spark, d):
+    return logs.event_log(spark, d).select("k", "seq", "op", "v").orderBy("k", F.col("seq").desc())
+
+
+@q("SELECT DISTINCT w.k FROM (SELECT 'u' || lpad((c_custkey * 3)::VARCHAR, 6, '0') AS k FROM customer) w SEMI JOIN ev ON ev.k = w.k", "ev")
+def kv_may_exist(spark, d):
+    wanted = logs.table(spark, d, "customer").select(F.concat(F.lit("u"), F.lpad((F.col("c_custkey") * 3).cast("string"), 6, "0")).alias("k"))
+    return resolve.may_exist(logs.event_log(spark, d), wanted).select("k")
+
+
+# deletions
+
+TOMBS = "tombs AS (SELECT p_partkey * 37 % 1000 AS begin_k, p_partkey * 37 % 1000 + p_size % 20 AS end_k, p_partkey * 13 % 5000 AS seq FROM part WHERE p_partkey % 7 = 0)"
+
+
+def tombstones(spark, d):
+    p = F.col("p_partkey")
+    own = logs.table(spark, d, "part").filter(p % 7 == 0)
+    return own.select(F.lit("default").alias("cf"), (p * 37 % 1000).alias("begin_k"), (p * 37 % 1000 + F.col("p_size") % 20).alias("end_k"), (p * 13 % 5000).alias("seq"))
+
+
+@q("SELECT k, max(seq) AS seq, arg_max(op, seq) AS op FROM ev GROUP BY k HAVING arg_max(op, seq) = 0", "ev")
+def kv_delete_mask(spark, d):
+    return resolve.latest(logs.event_log(spark, d)).filter("op = 0").select("k", "seq", "op")
+
+
+@q("SELECT k, seq, v FROM (SELECT *, lead(op) OVER (PARTITION BY k ORDER BY seq) AS nx FROM (SELECT o_custkey AS k, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 7 ELSE 1 END AS op, round(o_totalprice * 100)::BIGINT AS v FROM orders)) WHERE op = 1 AND coalesce(nx, -1) <> 7")
+def kv_single_delete(spark, d):
+    log = logs.order_log(spark, d).withColumn("op", F.when(F.col("op") == 0, 7).otherwise(1))
+    return resolve.single_deletes(log).select("k", "seq", "v")
+
+
+@q(f"SELECT k, seq, v FROM (SELECT * FROM ord QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) o WHERE op NOT IN (0, 7) AND NOT EXISTS (SELECT 1 FROM tombs t WHERE t.begin_k <= o.k AND o.k < t.end_k AND t.seq > o.seq)".replace("SELECT k, seq", f"WITH {WITH['ord']}, {TOMBS} SELECT k, seq", 1))
+def kv_range_delete(spark, d):
+    return resolve.resolve(logs.order_log(spark, d), tombstones=tombstones(spark, d)).select("k", "seq", "v")
+
+
+@q(f"WITH {TOMBS}, live AS (SELECT * FROM tombs WHERE begin_k < end_k), pts AS (SELECT begin_k AS p FROM live UNION SELECT end_k FROM live), seg AS (SELECT p AS begin_k, lead(p) OVER (ORDER BY p) AS end_k FROM pts) SELECT s.begin_k, s.end_k, max(t.seq) AS seq FROM seg s JOIN live t ON t.begin_k <= s.begin_k AND s.end_k <= t.end_k GROUP BY s.begin_k, s.end_k")
+def kv_tombstone_fragments(spark, d):
+    return resolve.fragments(tombstones(spark, d)).select("begin_k", "end_k", "seq")
+
+
+# merge operators
+
+
+@q("SELECT k, arg_max(v, seq) AS v FROM rest GROUP BY k", "ord rest")
+def merge_put(spark, d):
+    return merge.merged(logs.order_log(spark, d), "put").select("k", "v")
+
+
+@q("SELECT k, sum(v)::BIGINT AS v, count(*) FILTER (op = 2) AS n FROM rest GROUP BY k", "ord rest")
+def merge_uint64add(spark, d):
+    return merge.merged(logs.order_log(spark, d), "uint64add").select("k", F.col("v").cast("long").alias("v"), "n")
+
+
+@q("SELECT k, max(v) AS v FROM rest GROUP BY k", "ord rest")
+def merge_max(spark, d):
+    return merge.merged(logs.order_log(spark, d), "max").select("k", "v")
+
+
+@q("SELECT k, string_agg(v::VARCHAR, ',' ORDER BY seq) AS v FROM rest GROUP BY k", "ord rest")
+def merge_stringappend(spark, d):
+    return merge.merged(logs.order_log(spark, d), "stringappend").select("k", "v")
+
+
+@q("SELECT k, coalesce(string_agg(v::VARCHAR, ',' ORDER BY v) FILTER (op = 2), '') AS v FROM rest GROUP BY k", "ord rest")
+def merge_sortlist(spark, d):
+    return merge.merged(logs.order_log(spark, d), "sortlist").select("k", "v")
+
+
+@q("SELECT k, bit_xor(v) AS v FROM rest GROUP BY k", "ord rest")
+def merge_xor_int(spark, d):
+    return merge.merged(logs.order_log(spark, d), "bytesxor").select("k", "v")
+
+
+@q("SELECT k, v FROM (SELECT k, list(v ORDER BY seq) AS l, string_agg(v::VARCHAR, ';' ORDER BY seq) AS v FROM rest GROUP BY k) WHERE len(l) <= 4", "ord rest")
+def merge_operands(spark, d):
+    return merge.operand_lists(logs.order_log(spark, d), limit=4).select("k", F.array_join(F.transform("operands", lambda x: x.cast("string")), ";").alias("v"))
+
+
+CELLS = "cells AS (SELECT user_id AS row_id, CASE WHEN event_type = 'error' AND event_id % 11 = 0 THEN NULL ELSE event_id % 6 END AS idx, event_id AS ts, CASE WHEN event_type = 'error' AND event_id % 11 = 0 THEN 'row_tombstone' WHEN event_type = 'error' THEN 'tombstone' WHEN event_type = 'click' THEN 'expiring' ELSE 'column' END AS kind, round(value * 100)::BIGINT AS value FROM events)"
+
+
+def cells_of(spark, d):
+    e = logs.table(spark, d, "events")
+    row = (F.col("event_type") == "error") & (F.col("event_id") % 11 == 0)
+    kind = F.when(row, "row_tombstone").when(F.col("event_type") == "error", "tombstone").when(F.col("event_type") == "click", "expiring").otherwise("column")
+    return e.select(F.col("user_id").alias("row_id"), F.when(~row, F.col("event_id") % 6).alias("idx"), F.col("event_id").alias("ts"), kind.alias("kind"), logs.cents("value").alias("value"))
+
+
+@q(f"WITH {CELLS}, live AS (SELECT * FROM (SELECT *, max(CASE WHEN kind = 'row_tombstone' THEN ts END) OVER (PARTITION BY row_id) AS dead FROM cells) WHERE kind <> 'row_tombstone' AND (dead IS NULL OR ts > dead)) SELECT row_id, idx, max(ts) AS ts, arg_max(kind, ts) AS kind, arg_max(value, ts) AS value FROM live GROUP BY row_id, idx")
+def merge_wide_row(spark, d):
+    return merge.wide_rows(cells_of(spark, d))
+
+
+@q(f"WITH {CELLS} SELECT row_id, idx, ts, kind, value FROM (SELECT row_id, idx, ts, CASE WHEN kind = 'expiring' AND ts + 300 < 900 THEN 'tombstone' ELSE kind END AS kind, CASE WHEN kind = 'expiring' AND ts + 300 < 900 THEN NULL ELSE value END AS value FROM cells) WHERE NOT (kind = 'tombstone' AND ts + 500 < 900)")
+def expire_wide_row(spark, d):
+    return merge.expire_cells(cells_of(spark, d), now=900, ttl=300, grace=500)
+
+
+# compaction
+
+
+@q("SELECT k, seq, op, v FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1", "ev")
+def compact_latest(spark, d):
+    return compact.compact(logs.event_log(spark, d)).select("k", "seq", "op", "v")
+
+
+@q("SELECT k, seq, op, v FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) WHERE op <> 0", "ev")
+def compact_bottom_tombstones(spark, d):
+    return compact.compact(logs.event_log(spark, d), bottom=True).select("k", "seq", "op", "v")
+
+
+@q("SELECT k, seq, op, v FROM ev QUALIFY row_number() OVER (PARTITION BY k, CASE WHEN seq <= 300 THEN 300 WHEN seq <= 700 THEN 700 ELSE 9 END ORDER BY seq DESC) = 1", "ev")
+def compact_stripes(spark, d):
+    return compact.compact(logs.event_log(spark, d), snapshots=(300, 700)).select("k", "seq", "op", "v")
+
+
+@q("SELECT k, seq, op, CASE WHEN op = 1 THEN v + 1 ELSE v END AS v FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) WHERE op <> 1 OR v >= 1000", "ev")
+def compact_filter(spark, d):
+    return compact.filtered(logs.event_log(spark, d), F.col("v") >= 1000, {"v": F.col("v") + 1}).select("k", "seq", "op", "v")
+
+
+@q("SELECT doc_id, op FROM (SELECT doc_id, 1 AS op, text FROM documents) WHERE strlen(text) > 0")
+def compact_filter_empty(spark, d):
+    log = logs.table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("seq"), F.lit(1).alias("op"), "text")
+    return compact.filtered(log, F.octet_length("text") > 0, keys=("doc_id",)).select("doc_id", "op")
+
+
+@q("SELECT k, seq FROM ev WHERE ts_us + 864000000000 >= 1706000000000000", "ev")
+def compact_ttl(spark, d):
+    return compact.expired(logs.event_log(spark, d), 1_706_000_000_000_000, 864_000).select("k", "seq")
+
+
+@q("SELECT number, bytes, kept_bytes::BIGINT AS kept_bytes FROM (SELECT *, sum(bytes) OVER (ORDER BY number DESC) AS kept_bytes FROM fl) WHERE kept_bytes > 20000", "fl")
+def fifo_size_evict(spark, d):
+    return compact.evict(files_of(spark, d), 20_000).select("number", "bytes", "kept_bytes")
+
+
+@q("SELECT part, max(dels)::BIGINT AS densest, max(dels) >= 9 AS compact FROM (SELECT seq // 1000 AS part, sum((op = 0)::INT) OVER (PARTITION BY seq // 1000 ORDER BY seq ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS dels FROM ev) GROUP BY part", "ev")
+def deletion_density(spark, d):
+    log = logs.event_log(spark, d).withColumn("part", F.floor(F.col("seq") / 1000).cast("long"))
+    return compact.density(log, 16, 9, order="seq")
+
+
+@q("SELECT level, sum(bytes)::BIGINT AS bytes, floor(sum(bytes) * 1000 / CASE level WHEN 0 THEN 10000 WHEN 1 THEN 20000 ELSE 40000 END)::BIGINT AS score_permille FROM fl GROUP BY level", "fl")
+def level_scores(spark, d):
+    return compact.scores(files_of(spark, d), [10_000, 20_000, 40_000])
+
+
+@q("SELECT number FROM fl WHERE lo <= 50 AND hi >= 30", "fl")
+def pick_overlapping(spark, d):
+    return compact.overlapping(files_of(spark, d), 30, 50).select("number")
+
+
+@q("SELECT number FROM fl WHERE lo >= 20 AND hi < 60", "fl")
+def delete_files_in_range(spark, d):
+    return compact.covered(files_of(spark, d), 20, 60).select("number")
+
+
+@q("SELECT number FROM (SELECT *, max(hi) OVER (PARTITION BY level ORDER BY lo, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fl) WHERE reach >= lo", "fl")
+def overlap_check(spark, d):
+    return compact.overlaps(files_of(spark, d)).select("number")
+
+
+BASE = "own AS (SELECT s_suppkey AS number, 1 + (s_suppkey % 2)::INT AS level, s_suppkey * 10 AS lo, s_suppkey * 10 + 4 AS hi FROM supplier)"
+
+
+@q(f"WITH {BASE} SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM own WHERE level > 0 AND lo <= c_custkey AND hi >= c_custkey)")
+def base_level_keys(spark, d):
+    n = F.col("s_suppkey")
+    own = logs.table(spark, d, "supplier").select((1 + n % 2).cast("int").alias("level"), (n * 10).alias("lo"), (n * 10 + 4).alias("hi"))
+    return compact.base_level(logs.table(spark, d, "customer").select(F.col("c_custkey").alias("k")), own, 0)
+
+
+# statistics
+
+BOUNDS = "bounds AS (SELECT unnest([" + ",".join(map(str, histogram.LIMITS[:60])) + "]) AS upper, unnest(range(60)) AS bucket)"
+
+
+@q(f"WITH {WITH['tr']}, {BOUNDS} SELECT b.bucket, b.upper, count(*) AS n, sum(t.value_size)::BIGINT AS total FROM tr t JOIN bounds b ON b.bucket = (SELECT min(bucket) FROM bounds x WHERE x.upper >= t.value_size) GROUP BY b.bucket, b.upper")
+def hist_value_size(spark, d):
+    return histogram.histogram(logs.trace(spark, d), "value_size").select(F.col("bucket").cast("long").alias("bucket"), "upper", "n", "total")
+
+
+@q(f"""WITH {WITH['ev']}, {BOUNDS}, h AS (SELECT b.bucket, b.upper, count(*) AS n, min(v) AS lo, max(v) AS hi FROM ev JOIN bounds b ON b.upper >= v AND coalesce((SELECT max(upper) FROM bounds x WHERE x.bucket = b.bucket - 1), -1) < v GROUP BY b.bucket, b.upper),
+r AS (SELECT *, sum(n) OVER (ORDER BY bucket) AS cum, sum(n) OVER () AS alln, min(lo) OVER () AS l, max(hi) OVER () AS m FROM h), p AS (SELECT *, unnest([50.0, 95.0, 99.0]) AS p FROM r)
+SELECT p::DOUBLE AS p, round(greatest(least(prev + (upper - prev) * ((alln * p / 100 - (cum - n)) / n), m), l)::DOUBLE, 4) AS value FROM (SELECT *, coalesce((SELECT max(upper) FROM bounds x WHERE x.bucket = p.bucket - 1), 0) AS prev FROM p) WHERE cum >= alln * p / 100 AND cum - n < alln * p / 100""")
+def hist_percentiles(spark, d):
+    h = histogram.histogram(logs.event_log(spark, d), "v")
+    return histogram.percentiles(h, [50, 95, 99]).select("p", F.round("value", 4).alias("value"))
+
+
+@q("SELECT event_type, count(*) AS n, sum(c)::BIGINT AS total, min(c) AS lo, max(c) AS hi, round(sqrt(sum(c * c)::DOUBLE / count(*) - (sum(c)::DOUBLE / count(*)) * (sum(c)::DOUBLE / count(*))), 4) AS dev FROM (SELECT event_type, round(value * 100)::BIGINT AS c FROM events) GROUP BY event_type")
+def timing_counters(spark, d):
+    e = logs.table(spark, d, "events").select("event_type", logs.cents("value").alias("c"))
+    m = e.groupBy("event_type").agg(*histogram.moments("c", "m_"))
+    return m.select("event_type", F.col("m_n").alias("n"), F.col("m_sum").alias("total"), F.col("m_min").alias("lo"), F.col("m_max").alias("hi"), F.round(histogram.deviation(F.col("m_n"), F.col("m_sum"), F.col("m_sum_sq")), 4).alias("dev"))
+
+
+@q(f"WITH {WITH['tr']}, {BOUNDS} SELECT ts_us // 86400000000 AS day, b.bucket, count(*) AS n FROM tr t JOIN bounds b ON b.bucket = (SELECT min(bucket) FROM bounds x WHERE x.upper >= t.value_size) GROUP BY ALL")
+def hist_windowed(spark, d):
+    own = logs.trace(spark, d).withColumn("day", blocks.slot(blocks.DAY))
+    return histogram.histogram(own, "value_size", ["day"]).select("day", F.col("bucket").cast("long").alias("bucket"), "n")
+
+
+@q("SELECT level, count(*) AS n_files, sum(bytes)::BIGINT AS bytes FROM fl GROUP BY level", "fl")
+def level_stats(spark, d):
+    return files_of(spark, d).groupBy("level").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"))
+
+
+@q("SELECT r.id, count(*) AS n_files, sum(bytes)::BIGINT AS bytes FROM fl JOIN (VALUES (1, 0, 20), (2, 15, 60), (3, 90, 300)) r(id, b, e) ON lo < e AND hi >= b GROUP BY r.id", "fl")
+def approx_sizes(spark, d):
+    ranges = spark.createDataFrame([(1, 0, 20), (2, 15, 60), (3, 90, 300)], "id int, begin_k bigint, end_k bigint")
+    return manifest.approximate_sizes(files_of(spark, d), ranges).select("id", "n_files", "bytes")
+
+
+@q("SELECT count(*) AS n, sum(strlen(k) + bytes)::BIGINT AS bytes FROM ev WHERE k >= 'u000010' AND k < 'u000030'", "ev")
+def memtable_stats(spark, d):
+    return logs.event_log(spark, d).filter("k >= 'u000010' and k < 'u000030'").agg(F.count("*").alias("n"), F.sum(F.octet_length("k") + F.col("bytes")).alias("bytes"))
+
+
+@q("SELECT seq // 1000 AS run, count(*) AS entries, sum((op = 0)::INT)::BIGINT AS deletions, sum((op = 2)::INT)::BIGINT AS merges, sum(strlen(k))::BIGINT AS raw_key_bytes, sum(bytes)::BIGINT AS raw_value_bytes, min(k) AS lo, max(k) AS hi, min(seq) AS first_seq, max(seq) AS last_seq FROM ev GROUP BY 1", "ev")
+def table_properties(spark, d):
+    return manifest.properties(logs.event_log(spark, d).withColumn("run", F.floor(F.col("seq") / 1000).cast("long")))
+
+
+@q("SELECT level, caller, count(*) AS ops, sum(bytes)::BIGINT AS bytes FROM bl GROUP BY level, caller", "bl")
+def io_distribution(spark, d):
+    return logs.block_trace(spark, d).groupBy("level", "caller").agg(F.count("*").alias("ops"), F.sum("bytes").alias("bytes"))
+
+
+@q("SELECT split_part(url, '/', 3) AS prefix, count(*) AS n, sum(strlen(url) + strlen(html))::BIGINT AS bytes FROM pages GROUP BY 1")
+def dump_count_delim(spark, d):
+    host = codec.until(F.substring_index("url", "://", -1), "/")
+    return logs.table(spark, d, "pages").groupBy(host.alias("prefix")).agg(F.count("*").alias("n"), F.sum(F.octet_length("url") + F.octet_length("html")).alias("bytes"))
+
+
+@q("SELECT (ts_us - 1704067200000000) // 259200000000 AS bucket, count(*) AS n FROM ev WHERE ts_us >= 1704067200000000 AND ts_us < 1705276800000000 GROUP BY 1", "ev")
+def dump_ttl_buckets(spark, d):
+    own = resolve.history(logs.event_log(spark, d), 1_704_067_200_000_000, 1_705_276_799_999_999)
+    return own.groupBy(F.floor((F.col("ts_us") - 1_704_067_200_000_000) / 259_200_000_000).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+# query traces
+
+
+@q("SELECT * FROM st", "tr st")
+def trace_key_stats(spark, d):
+    return trace.key_stats(logs.trace(spark, d))
+
+
+@q("SELECT type, k, dense_rank() OVER (PARTITION BY type ORDER BY k) - 1 AS key_id FROM st", "tr st")
+def trace_key_ids(spark, d):
+    return trace.key_ids(trace.key_stats(logs.trace(spark, d))).select("type", "k", "key_id")
+
+
+@q("SELECT type, accesses, count(*) AS n_keys FROM st GROUP BY type, accesses", "tr st")
+def trace_access_dist(spark, d):
+    return trace.access_distribution(trace.key_stats(logs.trace(spark, d)))
+
+
+@q("SELECT type, length(k)::BIGINT AS size, count(*) AS n_keys FROM st WHERE accesses > 1 GROUP BY type, 2", "tr st")
+def trace_key_size_dist(spark, d):
+    return trace.size_distribution(trace.key_stats(logs.trace(spark, d)), 1)
+
+
+@q("WITH s AS (SELECT source AS type, length(text) // 500 AS size, count(*) AS n_keys FROM documents GROUP BY ALL), r AS (SELECT *, sum(n_keys) OVER (PARTITION BY type ORDER BY size) AS cum, sum(n_keys) OVER (PARTITION BY type) AS n FROM s) SELECT type, round(sum(size * n_keys)::DOUBLE / sum(n_keys), 6) AS mean_size, min(CASE WHEN 2 * cum >= n THEN size END) AS middle_size FROM r GROUP BY type")
+def trace_middle_size(spark, d):
+    sizes = logs.table(spark, d, "documents").groupBy(F.col("source").alias("type"), F.floor(F.length("text") / 500).cast("long").alias("size")).agg(F.count("*").alias("n_keys"))
+    return trace.middle_size(sizes).withColumn("mean_size", F.round("mean_size", 6))
+
+
+@q("SELECT type, value_size // 8 AS bucket, count(*) AS n FROM tr GROUP BY ALL", "tr")
+def trace_value_size_dist(spark, d):
+    return trace.value_sizes(logs.trace(spark, d))
+
+
+@q("SELECT type, substr(k, 1, 6) AS prefix, count(*) AS n_keys, sum(accesses)::BIGINT AS accesses, sum(successes)::BIGINT AS successes, round(sum(accesses)::DOUBLE / count(*), 6) AS mean_accesses FROM st GROUP BY ALL", "tr st")
+def trace_prefix_cut(spark, d):
+    return trace.prefix_cut(trace.key_stats(logs.trace(spark, d)), 6).withColumn("mean_accesses", F.round("mean_accesses", 6))
+
+
+@q("SELECT type, k, accesses, rank FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY accesses DESC, k) AS rank FROM st) WHERE rank <= 5", "tr st")
+def trace_topk_keys(spark, d):
+    return trace.top(trace.key_stats(logs.trace(spark, d)), "accesses", 5, "k").select("type", "k", "accesses", "rank")
+
+
+HOUR = 3_600_000_000
+
+
+@q(f"SELECT s.t, y.type, count(tr.seq) AS n FROM (SELECT unnest(range(0, ((max(ts_us) - min(ts_us)) // {HOUR}) + 1)) AS t FROM tr) s CROSS JOIN (SELECT DISTINCT type FROM tr) y LEFT JOIN tr ON tr.type = y.type AND (tr.ts_us - (SELECT min(ts_us) FROM tr)) // {HOUR} = s.t GROUP BY s.t, y.type", "tr")
+def trace_qps(spark, d):
+    return trace.qps(logs.trace(spark, d), HOUR)
+
+
+@q(f"SELECT type, max(n) AS peak, round(avg(n), 6) AS mean FROM (SELECT s.t, y.type, count(tr.seq) AS n FROM (SELECT unnest(range(0, ((max(ts_us) - min(ts_us)) // {HOUR}) + 1)) AS t FROM tr) s CROSS JOIN (SELECT DISTINCT type FROM tr) y LEFT JOIN tr ON tr.type = y.type AND (tr.ts_us - (SELECT min(ts_us) FROM tr)) // {HOUR} = s.t GROUP BY s.t, y.type) GROUP BY type", "tr")
+def trace_qps_peak(spark, d):
+    return trace.peaks(trace.qps(logs.trace(spark, d), HOUR)).withColumn("mean", F.round("mean", 6))
+
+
+@q(f"SELECT b.t, b.n, substr(k, 1, 6) AS prefix, count(*) AS n_prefix FROM tr JOIN (SELECT ts_us // {HOUR} AS t, count(*) AS n FROM tr GROUP BY 1 ORDER BY n DESC, t LIMIT 5) b ON tr.ts_us // {HOUR} = b.t GROUP BY ALL", "tr")
+def trace_topk_seconds(spark, d):
+    return trace.busiest(logs.trace(spark, d), 5, HOUR, 6)
+
+
+@q("SELECT t, (sum(coalesce(f, 0)) OVER (ORDER BY t))::BIGINT AS keys, (sum(n) OVER (ORDER BY t))::BIGINT AS ops, round((sum(coalesce(f, 0)) OVER (ORDER BY t))::DOUBLE / sum(n) OVER (ORDER BY t), 6) AS ratio FROM (SELECT ts_us // 86400000000 AS t, count(*) AS n FROM tr GROUP BY 1) LEFT JOIN (SELECT m // 86400000000 AS t, count(*) AS f FROM (SELECT k, min(ts_us) AS m FROM tr GROUP BY k) GROUP BY 1) USING (t)", "tr")
+def trace_unique_keys(spark, d):
+    return trace.unique_keys(logs.trace(spark, d), blocks.DAY).withColumn("ratio", F.round("ratio", 6))
+
+
+@q("SELECT 'view>purchase' AS pair, count(*) AS n, round(avg(ts_us - before), 3) AS mean_gap_us FROM (SELECT *, max(CASE WHEN type = 'view' THEN ts_us END) OVER (PARTITION BY k ORDER BY ts_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tr) WHERE type = 'purchase' AND before IS NOT NULL", "tr")
+def trace_correlation(spark, d):
+    return trace.correlation(logs.trace(spark, d), "view", "purchase").withColumn("mean_gap_us", F.round("mean_gap_us", 3))
+
+
+@q("SELECT count(a) AS n_keys, count(b) FILTER (a IS NOT NULL) AS n_accessed, count(b) FILTER (a IS NULL) AS n_outside FROM (SELECT 'u' || lpad((c_custkey * 3)::VARCHAR, 6, '0') AS k, 1 AS a FROM customer) FULL JOIN (SELECT DISTINCT k, 1 AS b FROM tr) USING (k)", "tr")
+def trace_keyspace_coverage(spark, d):
+    space = logs.table(spark, d, "customer").select(F.concat(F.lit("u"), F.lpad((F.col("c_custkey") * 3).cast("string"), 6, "0")).alias("k"))
+    return trace.coverage(space, logs.trace(spark, d))
+
+
+@q("SELECT type, day, count(*) AS n FROM (SELECT type, ts_us // 86400000000 AS day FROM tr) GROUP BY ROLLUP (type, day)", "tr")
+def trace_op_rollup(spark, d):
+    return trace.totals(logs.trace(spark, d).withColumn("day", blocks.slot(blocks.DAY)))
+
+
+@q("SELECT seq, k, op, value_size AS v FROM (SELECT *, CASE WHEN type IN ('signup', 'purchase') THEN 1 WHEN type = 'error' THEN 0 WHEN type = 'click' THEN 2 END AS op FROM tr) WHERE op IS NOT NULL", "tr")
+def trace_replay(spark, d):
+    return trace.replay(logs.trace(spark, d))
+
+
+# block traces
+
+
+@q("SELECT t, count(*) FILTER (caller = 'click') AS click, count(*) FILTER (caller = 'error') AS error, count(*) FILTER (caller = 'view') AS view FROM (SELECT *, ts_us // 86400000000 AS t FROM bl) GROUP BY t", "bl")
+def blk_access_timeline(spark, d):
+    return blocks.timeline(logs.block_trace(spark, d), blocks.DAY, labels=["click", "error", "view"])
+
+
+@q("SELECT p AS percent, sum(CASE WHEN rank <= ceil(labels * p / 100) THEN n ELSE 0 END)::BIGINT AS inside, round(sum(CASE WHEN rank <= ceil(labels * p / 100) THEN n ELSE 0 END)::DOUBLE / any_value(alln), 6) AS share FROM (SELECT *, row_number() OVER (ORDER BY n DESC, block) AS rank, count(*) OVER () AS labels, sum(n) OVER () AS alln FROM (SELECT block, count(*) AS n FROM bl GROUP BY block)), (SELECT unnest([1, 10, 50]) AS p) GROUP BY p", "bl")
+def blk_skewness(spark, d):
+    return blocks.skewness(logs.block_trace(spark, d), [1, 10, 50]).withColumn("share", F.round("share", 6))
+
+
+GAPS = "gaps AS (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY block ORDER BY ts_us, seq)) // 1000000 AS gap_s FROM bl)"
+
+
+@q(f"WITH {WITH['bl']}, {GAPS} SELECT (CASE WHEN gap_s IS NULL THEN -1 WHEN gap_s < 60 THEN 60 WHEN gap_s < 3600 THEN 3600 WHEN gap_s < 86400 THEN 86400 ELSE -1 END)::BIGINT AS below, count(*) AS n FROM gaps WHERE gap_s IS NOT NULL GROUP BY 1")
+def blk_reuse_interval(spark, d):
+    gaps = blocks.intervals(logs.block_trace(spark, d)).filter("gap_s is not null")
+    return gaps.groupBy(blocks.in_bounds(F.col("gap_s"), [60, 3600, 86400]).alias("below")).agg(F.count("*").alias("n"))
+
+
+@q("SELECT block, CASE WHEN count(*) > 1 THEN (max(ts_us) - min(ts_us)) // 1000000 END AS life_s FROM bl GROUP BY block", "bl")
+def blk_reuse_lifetime(spark, d):
+    return blocks.lifetimes(logs.block_trace(spark, d))
+
+
+DIST = "p AS (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY ts_us, seq) AS i FROM bl), w AS (SELECT *, lag(i) OVER (PARTITION BY caller, block ORDER BY i) AS before FROM p), x AS (SELECT a.caller, a.seq, a.block, any_value(a.before) AS before, count(DISTINCT b.block) AS u, coalesce(sum(DISTINCT b.block * 100000 + b.bytes), 0) AS packed, coalesce(sum(DISTINCT b.block), 0) AS blocks FROM w a LEFT JOIN w b ON b.caller = a.caller AND b.i > a.before AND b.i < a.i GROUP BY a.caller, a.seq, a.block)"
+
+
+@q(f"WITH {WITH['bl']}, {DIST} SELECT caller, seq, block, CASE WHEN before IS NOT NULL THEN u END AS unique_blocks, CASE WHEN before IS NOT NULL THEN (packed - blocks * 100000)::BIGINT END AS unique_bytes FROM x")
+def blk_reuse_distance(spark, d):
+    return blocks.distances(logs.block_trace(spark, d))
+
+
+@q(f"WITH {WITH['bl']}, {DIST} SELECT caller, c AS capacity, count(*) AS accesses, count(*) FILTER (before IS NULL OR u >= c) AS misses, round(count(*) FILTER (before IS NULL OR u >= c)::DOUBLE / count(*), 6) AS miss_ratio FROM x, (SELECT unnest([1, 8, 64]) AS c) GROUP BY caller, c")
+def blk_lru_mrc(spark, d):
+    return blocks.lru_curve(blocks.distances(logs.block_trace(spark, d)), [1, 8, 64]).withColumn("miss_ratio", F.round("miss_ratio", 6))
+
+
+@q()
+def blk_policies(spark, d):
+    return blocks.simulate(logs.block_trace(spark, d), list(blocks.POLICIES), [8, 32])
+
+
+@q("SELECT first_t, t - first_t AS age, count(*) AS n_blocks FROM (SELECT DISTINCT block, ts_us // 86400000000 AS t FROM bl) JOIN (SELECT block, min(ts_us // 86400000000) AS first_t FROM bl GROUP BY block) USING (block) GROUP BY ALL", "bl")
+def blk_reuse_cohort(spark, d):
+    return blocks.cohorts(logs.block_trace(spark, d), blocks.DAY)
+
+
+@q("SELECT caller, level, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM bl GROUP BY CUBE (caller, level)", "bl")
+def blk_access_cube(spark, d):
+    return blocks.cube(logs.block_trace(spark, d))
+
+
+@q("SELECT (CASE WHEN n < 20 THEN 20 WHEN n < 60 THEN 60 WHEN n < 100 THEN 100 ELSE -1 END)::BIGINT AS below, count(*) AS n_blocks, sum(n)::BIGINT AS accesses FROM (SELECT block, count(*) AS n FROM bl GROUP BY block) GROUP BY 1", "bl")
+def blk_access_buckets(spark, d):
+    return blocks.access_buckets(logs.block_trace(spark, d), [20, 60, 100])
+
+
+@q('SELECT block, n, \'top\' AS "end" FROM (SELECT block, count(*) AS n FROM bl GROUP BY block ORDER BY n DESC, block LIMIT 5) UNION ALL SELECT block, n, \'bottom\' FROM (SELECT block, count(*) AS n FROM bl GROUP BY block ORDER BY n, block LIMIT 5)', "bl")
+def blk_topk_bottomk(spark, d):
+    return blocks.extremes(logs.block_trace(spark, d), 5)
+
+
+@q("SELECT ts_us // 86400000000 AS t, count(*) AS accesses, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (NOT hit)::DOUBLE / count(*), 6) AS miss_ratio FROM bl GROUP BY 1", "bl")
+def blk_miss_timeline(spark, d):
+    return blocks.miss_timeline(logs.block_trace(spark, d), blocks.DAY).withColumn("miss_ratio", F.round("miss_ratio", 6))
+
+
+@q("SELECT seq, block, row_number() OVER w - 1 AS past, ts_us - lag(ts_us) OVER w AS last_gap_us, lead(ts_us) OVER w - ts_us AS next_gap_us FROM bl WINDOW w AS (PARTITION BY block ORDER BY ts_us, seq)", "bl")
+def blk_features(spark, d):
+    return blocks.features(logs.block_trace(spark, d))
+
+
+@q("SELECT l_suppkey AS block, round(count(DISTINCT l_partkey)::DOUBLE / 500, 6) AS share FROM lineitem GROUP BY 1")
+def blk_locality(spark, d):
+    own = logs.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("block"), F.col("l_partkey").alias("referenced_key"), F.lit(500).alias("num_keys"))
+    return blocks.locality(own).withColumn("share", F.round("share", 6))
+
+
+# change feeds, replay and user time
+
+
+@q("SELECT k, seq, op, v FROM ev WHERE seq >= 700", "ev")
+def changes_since(spark, d):
+    return feeds.changes_since(logs.event_log(spark, d), 700).select("k", "seq", "op", "v")
+
+
+@q("SELECT k, seq FROM ev WHERE seq < coalesce((SELECT min(seq) FROM ev WHERE op = 0 AND v > 20000), 9223372036854775807)", "ev")
+def wal_filter_stop(spark, d):
+    return manifest.stop_at(logs.event_log(spark, d), (F.col("op") == 0) & (F.col("v") > 20000)).select("k", "seq")
+
+
+@q("SELECT k, seq, v FROM (SELECT * FROM ev WHERE ts_us <= 1705000000000000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts_us DESC, seq DESC) = 1) WHERE op NOT IN (0, 7)", "ev")
+def asof_user_ts(spark, d):
+    return resolve.as_of_time(logs.event_log(spark, d), 1_705_000_000_000_000).select("k", "seq", "v")
+
+
+@q("SELECT k, seq, op, ts_us FROM ev WHERE ts_us BETWEEN 1704500000000000 AND 1704900000000000", "ev")
+def ts_history(spark, d):
+    return resolve.history(logs.event_log(spark, d), 1_704_500_000_000_000, 1_704_900_000_000_000).select("k", "seq", "op", "ts_us")
+
+
+@q("SELECT user_id AS k, max(event_id) AS seq, arg_max(round(value * 100)::BIGINT, event_id) AS v FROM events GROUP BY user_id")
+def stream_latest(spark, d):
+    schema = logs.table(spark, d, "events").schema
+    source = feeds.read_log(spark, f"{d}/events.parquet*", schema).select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), F.lit(1).alias("op"), logs.cents("value").alias("v"))
+    return feeds.run_to_memory(feeds.latest_stream(source), "stream_latest").select("k", "seq", "v")
+
+
+@q("SELECT k, seq, v FROM ev ORDER BY seq", "ev")
+def replay_sorted(spark, d):
+    log = logs.event_log(spark, d)
+    return manifest.replay(log.unionByName(log.filter("seq % 3 = 0"))).select("k", "seq", "v")
+
+
+@q("SELECT log, record, data FROM (SELECT log, record, string_agg(data, '' ORDER BY pos) AS data, bool_or(kind IN ('FULL', 'LAST')) AS ended FROM (SELECT *, (sum((kind IN ('FULL', 'FIRST'))::INT) OVER (PARTITION BY log ORDER BY pos))::BIGINT AS record FROM (SELECT conv_id AS log, turn AS pos, text AS data, CASE turn % 5 WHEN 0 THEN 'FULL' WHEN 1 THEN 'FIRST' WHEN 2 THEN 'MIDDLE' WHEN 3 THEN 'MIDDLE' ELSE 'LAST' END AS kind FROM conversations)) GROUP BY log, record) WHERE ended")
+def wal_reassemble(spark, d):
+    t = F.col("turn") % 5
+    kind = F.when(t == 0, "FULL").when(t == 1, "FIRST").when(t == 4, "LAST").otherwise("MIDDLE")
+    own = logs.table(spark, d, "conversations").select(F.col("conv_id").alias("log"), F.col("turn").alias("pos"), F.col("text").alias("data"), kind.alias("kind"))
+    return manifest.reassemble(own)
+
+
+# ingestion and maintenance
+
+
+@q("SELECT k, v FROM (SELECT * FROM (SELECT k, seq, op, v FROM ev UNION ALL SELECT 'u' || lpad((c_custkey * 2)::VARCHAR, 6, '0'), 1000000, 1, round(c_acctbal * 100)::BIGINT FROM customer) QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) WHERE op NOT IN (0, 7)", "ev")
+def ingest_overlay(spark, d):
+    outer = logs.table(spark, d, "customer").select(F.concat(F.lit("u"), F.lpad((F.col("c_custkey") * 2).cast("string"), 6, "0")).alias("k"), F.lit(0).cast("long").alias("seq"), F.lit(1).alias("op"), logs.cents("c_acctbal").alias("v"))
+    return resolve.resolve(files.ingest(logs.event_log(spark, d).select("k", "seq", "op", "v"), outer)).select("k", "v")
+
+
+@q("SELECT seq, k FROM (SELECT seq, k, lag(k) OVER (ORDER BY seq) AS b FROM ev WHERE seq < 500) WHERE b >= k", "ev")
+def sorted_run_check(spark, d):
+    return files.out_of_order(logs.event_log(spark, d).filter("seq < 500"), pos="seq").select("seq", "k")
+
+
+@q("SELECT number FROM fl WHERE number NOT IN (SELECT number FROM fl WHERE level < 2)", "fl")
+def vacuum_candidates(spark, d):
+    own = files_of(spark, d)
+    return manifest.vacuum_candidates(own, own.filter("level < 2")).select("number")
+
+
+@q("SELECT doc_id, strlen(text)::BIGINT AS n_bytes, strlen(text) >= 4000 AS is_blob, CASE WHEN strlen(text) >= 4000 THEN sha256(text) END AS blob FROM documents")
+def blob_split(spark, d):
+    docs = logs.table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("v"))
+    small, large = files.split_blobs(docs, 4000)
+    back = files.join_blobs(small.withColumn("ref", F.col("blob")), large)
+    return back.select(F.col("k").alias("doc_id"), F.octet_length("v").cast("long").alias("n_bytes"), F.col("ref").isNotNull().alias("is_blob"), F.col("ref").alias("blob"))
+
+
+@q("SELECT event_type AS cf, count(*) AS n, max(event_id) AS last_seq FROM events GROUP BY 1")
+def list_column_families(spark, d):
+    return logs.table(spark, d, "events").groupBy(F.col("event_type").alias("cf")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_seq"))
+
+
+# transactions
+
+
+@q("SELECT txn, count(*) AS n_conflicts FROM (SELECT c_custkey % 20 AS txn, c_custkey AS k, (c_custkey % 20) * 100 AS snapshot FROM customer) JOIN (SELECT k, max(seq) AS newest FROM ord GROUP BY k) USING (k) WHERE newest > snapshot GROUP BY txn", "ord")
+def txn_conflicts(spark, d):
+    c = F.col("c_custkey")
+    writes = logs.table(spark, d, "customer").select((c % 20).alias("txn"), c.alias("k"), (c % 20 * 100).alias("snapshot"))
+    return txn.conflicts(writes, logs.order_log(spark, d))
+
+
+@q("SELECT k, v FROM (SELECT k, op, v FROM (SELECT *, seq // 10 AS txn FROM ord) JOIN (SELECT o_orderkey AS txn, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey * 10 + 25 END AS commit_seq FROM orders WHERE o_orderkey * 10 < (SELECT max(o_orderkey) FROM orders)) USING (txn) WHERE commit_seq <= 1000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY commit_seq DESC, seq DESC) = 1) WHERE op NOT IN (0, 7)", "ord")
+def txn_visibility(spark, d):
+    log = logs.order_log(spark, d).withColumn("txn", F.floor(F.col("seq") / 10).cast("long"))
+    o = F.col("o_orderkey")
+    last = logs.table(spark, d, "orders").agg(F.max("o_orderkey").alias("m"))
+    commits = logs.table(spark, d, "orders").crossJoin(F.broadcast(last)).filter(o * 10 < F.col("m")).select(o.alias("txn"), F.when(o % 4 != 0, o * 10 + 25).alias("commit_seq"))
+    return txn.visible(log, commits, 1000).select("k", "v")
+
+
+@q("SELECT k, v FROM (SELECT * FROM (SELECT k, seq, op, v FROM ev UNION ALL SELECT 'u' || lpad(p_partkey::VARCHAR, 6, '0'), 4611686018427387904 + p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END, p_size FROM part) QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) WHERE op NOT IN (0, 7)", "ev")
+def batch_overlay(spark, d):
+    p = F.col("p_partkey")
+    batch = logs.table(spark, d, "part").select(logs.user_key("p_partkey").alias("k"), p.alias("pos"), F.when(p % 3 == 0, 0).otherwise(1).alias("op"), F.col("p_size").cast("long").alias("v"))
+    return txn.overlay(logs.event_log(spark, d), batch).select("k", "v")
+
+
+@q("SELECT p_partkey AS k, 1001 + p_partkey AS seq, p_size AS v FROM part WHERE p_partkey < 120")
+def write_batch_savepoint(spark, d):
+    ops = logs.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").alias("pos"), F.col("p_size").alias("v"))
+    return txn.write_batch(ops, 1000, savepoint=120).select("k", "seq", "v")
+
+
+@q("SELECT a.number AS one, b.number AS two FROM fl a JOIN fl b ON a.number < b.number AND a.lo <= b.hi AND b.lo <= a.hi", "fl")
+def lock_overlaps(spark, d):
+    locks = files_of(spark, d).select(F.col("number").alias("txn"), "lo", "hi")
+    return txn.lock_overlaps(locks, [20, 40, 60, 80])
+
+
+# advisor rules
+
+
+@q("SELECT entity, stat, ts, value, round(rate, 6) AS rate FROM (SELECT *, (value - lag(value, 2) OVER w) * 3600.0 / (ts - lag(ts, 2) OVER w) AS rate FROM se WINDOW w AS (PARTITION BY entity, stat ORDER BY ts)) WHERE rate >= 200", "se")
+def adv_burst(spark, d):
+    return advisor.bursts(series_of(spark, d), 2, 200, 3600.0).select("entity", "stat", "ts", "value", F.round("rate", 6).alias("rate"))
+
+
+@q('SELECT entity, stat, round(avg(value), 4) AS mean, max(value) AS "max", min(value) AS "min", arg_max(value, ts) AS latest, arg_min(value, ts) AS oldest FROM se GROUP BY entity, stat', "se")
+def adv_series_agg(spark, d):
+    return advisor.summary(series_of(spark, d)).withColumn("mean", F.round("mean", 4))
+
+
+@q("SELECT entity, ts FROM (SELECT entity, ts, max(value) FILTER (stat = 'click') AS c, max(value) FILTER (stat = 'error') AS e FROM se GROUP BY entity, ts) WHERE c > e", "se")
+def adv_condition(spark, d):
+    return advisor.condition(series_of(spark, d), ["click", "error"], F.col("click") > F.col("error"), each_epoch=True).select("entity", "ts")
+
+
+@q("SELECT entity, m.t1, m.t2 FROM (SELECT a.entity, min((a.ts, b.ts)) AS p, min(struct_pack(t1 := a.ts, t2 := b.ts)) AS m FROM (SELECT * FROM se WHERE stat = 'click' AND value > 60000) a JOIN (SELECT * FROM se WHERE stat = 'error' AND value > 60000) b ON a.entity = b.entity AND abs(a.ts - b.ts) <= 86400 GROUP BY a.entity)", "se")
+def adv_overlap(spark, d):
+    s = series_of(spark, d).filter("value > 60000")
+    return advisor.overlap(s.filter("stat = 'click'"), s.filter("stat = 'error'"), 86400)
+
+
+@q("SELECT entity FROM se WHERE stat = 'click' AND value > 60000 INTERSECT SELECT entity FROM se WHERE stat = 'error' AND value > 60000", "se")
+def adv_rule(spark, d):
+    s = series_of(spark, d).filter("value > 60000")
+    return advisor.rule([s.filter("stat = 'click'"), s.filter("stat = 'error'")])
+
+
+@q("SELECT entity, stat, ts, delta, delta < 0 AS wrong FROM (SELECT *, value - lag(value) OVER (PARTITION BY entity, stat ORDER BY ts) AS delta FROM se) WHERE delta IS NOT NULL", "se")
+def adv_deltas(spark, d):
+    return advisor.deltas(series_of(spark, d)).select("entity", "stat", "ts", "delta", "wrong")
+
+
+# functions
+
+
+@q("SELECT c_custkey, CASE WHEN strlen(c_name) >= 12 THEN substr(c_name, 1, 12) END AS fixed, substr(c_name, 1, 30) AS capped, substr(c_name, 5) AS tail, hex(c_name) AS hexed, starts_with(c_name, 'Customer#00000') AS starts, split_part(c_name, '#', 1) AS head FROM customer")
+def fn_prefixes(spark, d):
+    n = F.col("c_name")
+    return logs.table(spark, d, "customer").select("c_custkey", codec.fixed_prefix(n, 12).alias("fixed"), codec.capped_prefix(n, 30).alias("capped"), codec.remove_prefix(n, 4).alias("tail"), F.hex("c_name").alias("hexed"), n.startswith("Customer#00000").alias("starts"), codec.until(n, "#").alias("head"))
+
+
+@q("SELECT o_orderkey, o_orderkey AS fixed_back, o_orderkey - 700 AS varint_back, o_orderkey - 700 AS zigzag_back, lower(hex(chr((o_orderkey % 128)::INT))) AS low_byte FROM orders")
+def fn_codecs(spark, d):
+    o = F.col("o_orderkey")
+    own = logs.table(spark, d, "orders")
+    return own.select(
+        "o_orderkey", codec.decode_fixed(codec.encode_fixed(o, 8), 8).alias("fixed_back"), codec.decode_varint(codec.encode_varint(o - 700)).alias("varint_back"),
+        codec.unzigzag(codec.decode_varint(codec.encode_varint(codec.zigzag(o - 700)))).alias("zigzag_back"), F.lower(F.hex(codec.encode_fixed(o % 128, 1))).alias("low_byte"),
+    )

@@ -1,0 +1 @@
+"""Where logs come from: tables, files, text dumps."""
