@@ -29,6 +29,8 @@ from basalt.plans.scratch import Scratch
 
 #: Documents of a block.
 BLOCK = 20_000
+#: Documents of a source that are so few that the landing tries every choice.
+FEW = 14
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -90,7 +92,8 @@ def fly(size: np.ndarray, p: np.ndarray, rng: random.Random) -> np.ndarray:
 def land(size: np.ndarray, before: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The last fractional ones, at most two, rounded so that the tokens come closest, then the number of documents.
 
-    Then one document taken may give way to one left out, where that brings the block's tokens closer to those expected.
+    Then one document taken may give way to one left out, where that brings the block's tokens closer to those expected;
+    among a few documents the best choice of all is taken.
     """
     p = p.copy()
     left = np.flatnonzero((p > 0) & (p < 1))
@@ -99,10 +102,17 @@ def land(size: np.ndarray, before: np.ndarray, p: np.ndarray) -> np.ndarray:
     best = min(range(2 ** len(left)), key=lambda m: (abs(sum(int(size[i]) for k, i in enumerate(left) if m >> k & 1) - want), abs(bin(m).count("1") - number), m))
     for k, i in enumerate(left):
         p[i] = float(best >> k & 1)
+    free = np.flatnonzero((before > 0) & (before < 1) & (size > 0))
+    if 0 < len(free) <= FEW:
+        # so few that every choice can be tried
+        want, number = float((size[free] * before[free]).sum()), float(before[free].sum())
+        choice = (np.arange(1 << len(free))[:, None] >> np.arange(len(free))) & 1
+        gap, other = np.abs(choice @ size[free] - want), np.abs(choice.sum(axis=1) - number)
+        p[free] = choice[np.lexsort((other, gap))[0]]
+        return p
     for _ in range(3):
         lack = float((size * before).sum() - (size * p).sum())
-        free = (before > 0) & (before < 1)
-        out, taken = np.flatnonzero(free & (p == 0)), np.flatnonzero(free & (p == 1))
+        out, taken = free[p[free] == 0], free[p[free] == 1]
         if not len(out) or not len(taken):
             break
         out = out[np.argsort(size[out], kind="stable")]
