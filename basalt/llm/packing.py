@@ -34,8 +34,8 @@ from basalt.llm.common import text_batches
 from basalt.plans.scratch import Scratch
 from basalt.plans.ship import ship
 
-#: Entries of a worker's table of words; it starts anew beyond.
-CACHE = 400_000
+#: Entries of a generation of a worker's tables.
+CACHE = 300_000
 LONG = 48
 
 
@@ -60,41 +60,65 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        # what the byte-level pre-tokenizer writes for each byte
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [x for x in range(256) if x not in printed]
+        self.byte = {**{x: chr(x) for x in printed}, **{x: chr(256 + k) for k, x in enumerate(others)}}
+        # each table has two generations: a new one begins when the one before is full, and what is met again moves on
         self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        probes = ["a b", "a  b", " a\tb ", "a\nb", "a\r\nb", "a\x0b\x0cb", "é \u0301b", "<|endoftext|> a <|endoftext|>b", "Don't!!'s x12 ÉÀß_ŉ²½ a-b", "we'll I'M They've"]
-        if [self.encode([x])[0] for x in probes] != self._ids(probes):
+        self.old_parts: dict[str, bytes] = {}
+        probes = ["a b", "a  b", " a\tb ", "a\nb", "a\r\nb", "a\x0b\x0cb", "é \u0301b", "<|endoftext|> a <|endoftext|>b", "Don't!!'s x12 ÉÀß_ŉ²½ a-b", "we'll I'M They've \x00\x7f ¡­"]
+        if [self.encode([x])[0] for x in probes] != [self._whole(x) for x in probes]:
             raise ValueError(f"{path} isn't a vocabulary that this encoder can cut")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _cut(self, word: str) -> list[str]:
-        if word.isascii() and "<|" not in word and not _OTHER.search(word):
-            return _ASCII.findall(word.lower())
-        if _OTHER.search(word) or not unicodedata.is_normalized("NFC", word):
-            return [word]
-        return _LATIN.findall(word.lower())
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii() or not part.isprintable():
+            part = "".join(map(self.byte.__getitem__, part.encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part)])
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _OTHER.search(text) or not (ascii_ := text.isascii()) and not unicodedata.is_normalized("NFC", text):
+            return self._whole(text)
+        out = []
+        for x in (_ASCII if ascii_ else _LATIN).findall(text.lower()):
+            ids = self.parts.get(x)
+            if ids is None:
+                ids = self.old_parts.get(x)
+                if ids is None:
+                    ids = self._part(x)
+                if len(x) <= LONG:
+                    self.parts[x] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def _late(self, words: list[bytes]) -> dict[bytes, bytes]:
         if len(self.parts) > CACHE:
-            self.parts.clear()
-        parts = self.parts
-        cuts = [self._cut(w.decode()) for w in words]
-        missing = list(dict.fromkeys(x for c in cuts for x in c if x not in parts))
-        new = dict(zip(missing, self._ids(missing)))
-        parts.update((x, i) for x, i in new.items() if len(x) <= LONG)
-        return {w: b"".join([parts[x] if x in parts else new[x] for x in c]) for w, c in zip(words, cuts)}
+            self.old_parts, self.parts = self.parts, {}
+        out = {}
+        for w in words:
+            ids = self.old_words.get(w)
+            if ids is None:
+                ids = self._word(w)
+            if len(w) <= LONG:
+                self.words[w] = ids
+            out[w] = ids
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.words) > CACHE:
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
         known = self.words
         cut = [x.encode().split() for x in texts]
         found = [list(map(known.get, words)) for words in cut]
         late = self._late(list(dict.fromkeys(w for words, f in zip(cut, found) if None in f for w, i in zip(words, f) if i is None)))
-        known.update((w, i) for w, i in late.items() if len(w) <= LONG)
         return [b"".join([late[w] if i is None else i for w, i in zip(words, f)] if None in f else f) for words, f in zip(cut, found)]
 
 
