@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 def operands(log: DataFrame, keys: Sequence[str] = ("k",), snapshot: int | None = None) -> DataFrame:
     """Rows since each key's last base, with is_base (the put) or is_operand; a deletion is left out, and what is older too."""
     seen = log if snapshot is None else log.filter(F.col("seq") <= snapshot)
-    by = Window.partitionBy(*keys)
-    base = F.max(F.when(F.col("op") != 2, F.col("seq"))).over(by)
-    live = seen.withColumn("_base", F.coalesce(base, F.lit(-1))).filter((F.col("seq") >= F.col("_base")) & F.col("op").isin(1, 2)).drop("_base")
+    # the last base of each key, aggregated before the shuffle and joined, so that the rows of a hot key may be split among tasks
+    base = seen.filter(F.col("op").isin(0, 1, 7)).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("seq").alias("_base"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    live = seen.filter(F.col("op").isin(1, 2)).join(base, same, "left").filter(F.col("_base").isNull() | (F.col("seq") >= F.col("_base"))).select(*log.columns)
     return live.withColumn("is_base", F.col("op") == 1)
 
 
