@@ -126,7 +126,7 @@ def op4_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def op5_named_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basalt.llm import substring
 
     found = substring.remove_repeats(table(spark, sf_dir, "documents"), width=13)
@@ -179,5 +179,5 @@ def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_association_rules, op3_relational_format, op4_deletion_variants, op5_named_windows, op6_cube_mixing, op7_rank_synchronous, op8_set_similarity, op9_repetition_coverage, op10_grouping_genetic)}
-SQL: dict[str, str] = {"op5_named_windows": OP5_SQL, "op8_set_similarity": OP8_SQL, "op3_relational_format": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_association_rules, op3_relational_format, op4_deletion_variants, op5_recompression, op6_cube_mixing, op7_rank_synchronous, op8_set_similarity, op9_repetition_coverage, op10_grouping_genetic)}
+SQL: dict[str, str] = {"op5_recompression": OP5_SQL, "op8_set_similarity": OP8_SQL, "op3_relational_format": OP3_SQL}

@@ -1,15 +1,22 @@
-"""Removal of passages that documents with smaller ids hold too.
-
-Windows of consecutive words are named in rounds: a name of level k+1 is the hash of two names of
-level k that lie side by side, so equal substrings have equal names everywhere, and the
-window's name is that of its first and last 8 words. Names are dealt to buckets; within a
-bucket one sort shows which names start in more than one document, and every place whose
-name also starts in a document with a smaller id goes back to its document, where the
-words it covers are removed.
-
-A name travels once for each document of a batch of texts at most where others of the batch
-hold it too: only the smallest document's places go to the bucket, as the others are
-settled by it. So a passage in a third of all documents reaches its bucket once a batch.
+"""Removal of passages that documents with smaller ids hold too, by recompression.
+
+Words are named by hashes; then each round names maximal runs of one symbol, deals the
+symbols to two sides by a bit of their names, and names each pair of a left and a right
+neighbour. Names come from what they name, so they agree among all documents without a
+table of names, and equal substrings get the same symbols but for their rims. After some
+rounds a symbol stands for dozens of words: one that a document with a smaller id has too reveals a
+long repeat, and all windows inside it are settled together.
+
+What is left, the rims of long repeats and repeats of few words, is settled window by
+window: ``width`` consecutive words, named in rounds too, by names of pairs, of pairs of pairs, and so
+on. A document's windows are only left out where a smaller one has them, so the
+smallest document with a window always shows it.
+
+Either way names are dealt to buckets, one sort in a bucket shows which also start in a document
+with a smaller id, and their places go back to the documents. A name travels once
+for a batch of texts where several of its documents hold it: the smallest one's places go to the bucket,
+the others are settled by it. So a passage in a third of all documents reaches its bucket once a batch.
+Two different windows share a 64-bit name with a probability of 2**-64.
 
 Defined results: a null text has no words. Rows equal in doc_id and text are one document, so one
 doesn't remove words of the other; neither do different texts of one doc_id. A null doc_id is smaller than any other,
@@ -36,6 +43,8 @@ BATCH = 8 << 20
 #: Bytes of input for each bucket, by which their number is chosen.
 BUCKET = 8 << 20
 _NULL = np.iinfo(np.int64).min
+#: Rounds of recompression after which symbols are compared; they stand for about 30, 100 and 300 words then.
+ROUNDS = (12, 16, 20)
 
 
 def window_names(words: np.ndarray, width: int) -> np.ndarray:
@@ -52,26 +61,51 @@ def window_names(words: np.ndarray, width: int) -> np.ndarray:
     return name
 
 
+def recompress(name: np.ndarray, start: np.ndarray, doc: np.ndarray, rounds: tuple[int, ...] = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(name, first word, number of words, document) of the symbols after each of the given rounds; words come with their place and document."""
+    size = np.ones(len(name), np.int64)
+    for r in range(1, max(rounds) + 1):
+        inside = doc[1:] == doc[:-1]
+        same = inside & (name[1:] == name[:-1])
+        if same.any():
+            head = np.flatnonzero(np.r_[True, ~same])
+            count = np.diff(np.r_[head, len(name)])
+            size = np.add.reduceat(size, head)
+            name, start, doc = name[head], start[head], doc[head]
+            name = np.where(count > 1, mix(name * np.uint64(0x94D049BB133111EB) + count.astype(np.uint64)), name)
+            inside = doc[1:] == doc[:-1]
+        left = (mix(name + np.uint64(r)) & np.uint64(1)).astype(bool)
+        pair = np.flatnonzero(left[:-1] & ~left[1:] & inside)
+        named = name.copy()
+        named[pair] = mix(mix(name[pair]) * np.uint64(0x9E3779B97F4A7C15) + name[pair + 1])
+        size[pair] += size[pair + 1]
+        stay = np.ones(len(name), bool)
+        stay[pair + 1] = False
+        name, start, size, doc = named[stay], start[stay], size[stay], doc[stay]
+        if r in rounds:
+            yield name, start, size, doc
+
+
 def _zip(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
 
 
-def _blob(doc: np.ndarray, tag: np.ndarray, count: np.ndarray, place: np.ndarray, first: np.ndarray) -> bytes:
-    """Documents, how many places each has, and the places, as differences from the one before in a document."""
+def _blob(doc: np.ndarray, tag: np.ndarray, count: np.ndarray, place: np.ndarray, first: np.ndarray, windows: np.ndarray) -> bytes:
+    """Documents, how many places each has, the places, as differences from the one before in a document, and how many windows begin there in a row."""
     step = np.diff(place, prepend=0)
     step[first] = place[first]
-    return np.array([len(doc), len(place)], "<i8").tobytes() + _zip(np.diff(doc, prepend=0), tag, count.astype("<i4"), step.astype("<i4"))
+    return np.array([len(doc), len(place)], "<i8").tobytes() + _zip(np.diff(doc, prepend=0), tag, count.astype("<i4"), step.astype("<i4"), windows.astype("<i4"))
 
 
-def _unblob(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unblob(data: bytes) -> tuple[np.ndarray, ...]:
     docs, places = np.frombuffer(data[:16], "<i8")
     raw = zstandard.decompress(data[16:])
-    a, b, c = 8 * docs, 12 * docs, 16 * docs
-    doc, tag, count, step = np.cumsum(np.frombuffer(raw[:a], "<i8")), np.frombuffer(raw[a:b], "<i4"), np.frombuffer(raw[b:c], "<i4"), np.frombuffer(raw[c:], "<i4")
+    a, b, c, e = 8 * docs, 12 * docs, 16 * docs, 16 * docs + 4 * places
+    doc, tag, count, step = np.cumsum(np.frombuffer(raw[:a], "<i8")), np.frombuffer(raw[a:b], "<i4"), np.frombuffer(raw[b:c], "<i4"), np.frombuffer(raw[c:e], "<i4")
     total = np.cumsum(step.astype(np.int64))
     first = np.cumsum(count) - count
     base = np.repeat(np.where(first > 0, total[np.maximum(first - 1, 0)], 0), count)
-    return doc, tag, count, total - base
+    return doc, tag, count, total - base, np.frombuffer(raw[e:], "<i4")
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -101,26 +135,51 @@ def tag_of(text: bytes) -> int:
 SENT = "bucket int, doc bigint, tag int, names binary, held binary"
 
 
-def _send(width: int, buckets: int):
+def _symbols(h: np.ndarray, begin: np.ndarray, n_words: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Name, text, first window and number of windows of the symbols that hold several windows."""
+    doc = np.repeat(np.arange(len(n_words)), n_words)
+    place = np.arange(len(h)) - np.repeat(begin, n_words)
+    found = [(name[long], d[long], start[long], size[long] - width + 1) for name, start, size, d in recompress(h, place, doc) for long in [size >= 2 * width]]
+    name, d, start, windows = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((start, d))
+    return name[order], d[order], start[order], windows[order]
+
+
+def _windows(h: np.ndarray, begin: np.ndarray, n_words: np.ndarray, width: int, settled: list) -> tuple[np.ndarray, ...]:
+    """The same of each window that isn't settled."""
+    n = np.maximum(n_words - width + 1, 0)
+    index = np.repeat(np.arange(len(n)), n)
+    first = np.cumsum(n) - n
+    place = np.arange(len(index)) - np.repeat(first, n)
+    if len(index) and any(settled):
+        step = np.zeros(len(index) + 1, np.int64)
+        for k, answers in enumerate(settled):
+            for x in answers or ():
+                at, windows = spans(x)
+                np.add.at(step, first[k] + at, 1)
+                np.subtract.at(step, first[k] + at + windows, 1)
+        open_ = np.cumsum(step[:-1]) == 0
+        index, place = index[open_], place[open_]
+    name = window_names(h, width)[begin[index] + place] if len(index) else np.zeros(0, np.uint64)
+    return name, index, place, np.ones(len(index), np.int64)
+
+
+def _send(width: int, buckets: int, symbols: bool):
     """For each bucket the names and places of a batch of texts; also places that the batch itself settles, by document and without names."""
 
-    def settle(texts: list[bytes], ids: list[int]) -> Iterator[pa.RecordBatch]:
+    def settle(texts: list[bytes], ids: list[int], settled: list) -> Iterator[pa.RecordBatch]:
         data, ends = pack_texts(texts)
         h, start, _ = word_hashes(data)
         begin = np.searchsorted(start, np.r_[0, ends[:-1] + 1])
         n_words = np.diff(np.r_[begin, len(h)])
-        name = window_names(h, width)
-        n_windows = np.maximum(n_words - width + 1, 0)
-        index = np.repeat(np.arange(len(texts)), n_windows)
-        place = np.arange(len(index)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        name = name[begin[index] + place] if len(index) else np.zeros(0, np.uint64)
-        doc_ids, tags = np.array(ids, np.int64), np.array([tag_of(t) for t in texts], np.int32)
+        name, index, place, windows = _symbols(h, begin, n_words, width) if symbols else _windows(h, begin, n_words, width, settled)
         if not len(name):
             return
+        doc_ids, tags = np.array(ids, np.int64), np.array([tag_of(t) for t in texts], np.int32)
         gone, order = _smaller(name, doc_ids[index])
         own = np.sort(order[gone])
         if len(own):
-            yield answer(doc_ids[index[own]], tags[index[own]], place[own], buckets)
+            yield answer(doc_ids[index[own]], tags[index[own]], place[own], windows[own], buckets)
         left = np.ones(len(name), bool)
         left[own] = False
         at = np.flatnonzero(left)
@@ -129,46 +188,56 @@ def _send(width: int, buckets: int):
         bucket = np.sort(bucket)
         cuts = np.r_[_runs(bucket), len(bucket)]
         rows = []
-        by_id = np.argsort(doc_ids, kind="stable")
         rank = np.empty(len(texts), np.int64)
-        rank[by_id] = np.arange(len(texts))
+        rank[np.argsort(doc_ids, kind="stable")] = np.arange(len(texts))
         for a, b in zip(cuts[:-1], cuts[1:]):
             part = at[a:b]
             part = part[np.argsort(rank[index[part]], kind="stable")]
             who = index[part]
             first = _runs(who)
             docs = who[first]
-            rows.append((int(bucket[a]), name[part].tobytes(), _blob(doc_ids[docs], tags[docs], np.diff(np.r_[first, len(part)]), place[part], first)))
+            rows.append((int(bucket[a]), name[part].tobytes(), _blob(doc_ids[docs], tags[docs], np.diff(np.r_[first, len(part)]), place[part], first, windows[part])))
         none = pa.nulls(len(rows), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), none, none.cast(pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "doc", "tag", "names", "held"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ids, size = [], [], 0
+        """Rows of id, text (zipped) and, for windows, settled spans."""
+        texts, ids, settled, size = [], [], [], 0
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                for i, x in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                    texts.append(x or b"")
+                spans_ = [None] * part.num_rows if symbols else part.column(2).to_pylist()
+                for i, x, a in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), spans_):
+                    texts.append(x or b"" if symbols else zstandard.decompress(x))
                     ids.append(_NULL if i is None else i)
+                    settled.append(a)
                     size += len(texts[-1])
                     if size > BATCH:
-                        yield from settle(texts, ids)
-                        texts, ids, size = [], [], 0
+                        yield from settle(texts, ids, settled)
+                        texts, ids, settled, size = [], [], [], 0
         if texts:
-            yield from settle(texts, ids)
+            yield from settle(texts, ids, settled)
 
     return run
 
 
-def answer(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, buckets: int = 1) -> pa.RecordBatch:
-    """A row for each document with its places."""
+def answer(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, windows: np.ndarray, buckets: int = 1) -> pa.RecordBatch:
+    """A row for each document with its places and how many windows each stands for."""
     order, first, place = _grouped(doc, tag, place)
+    windows = windows[order].astype("<i4")
     cuts = np.r_[first, len(place)]
-    held = [np.diff(place[a:b], prepend=0).astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+    held = [np.diff(place[a:b], prepend=0).astype("<i4").tobytes() + windows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
     n = len(held)
     return pa.RecordBatch.from_arrays([pa.array((np.arange(n) % buckets).astype(np.int32)), pa.array(doc[order][first]), pa.array(tag[order][first]), pa.nulls(n, pa.binary()), pa.array(held, pa.binary())], names=["bucket", "doc", "tag", "names", "held"])
 
 
+def spans(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and numbers of windows of an answer."""
+    both = np.frombuffer(x, "<i4")
+    half = len(both) // 2
+    return np.cumsum(both[:half], dtype=np.int64), both[half:].astype(np.int64)
+
+
 def _settle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come bucket by bucket; a bucket's names are held together, and what is settled passes."""
     names: list[bytes] = []
@@ -183,8 +252,8 @@ def _settle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         hit = order[gone]
         if len(hit):
             tag = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-            place = np.concatenate([p[3] for p in parts])
-            yield answer(doc[hit], tag[hit], place[hit])
+            place, windows = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
+            yield answer(doc[hit], tag[hit], place[hit], windows[hit])
 
     for batch in batches:
         passing = batch.filter(batch.column(3).is_null())
@@ -206,18 +275,19 @@ def covered(n_words: int, answers: list[bytes], width: int) -> np.ndarray:
     """Which words the windows at the answered places cover."""
     step = np.zeros(n_words + 1, np.int64)
     for x in answers:
-        at = np.cumsum(np.frombuffer(x, "<i4"))
+        at, windows = spans(x)
         np.add.at(step, at, 1)
-        np.subtract.at(step, np.minimum(at + width, n_words), 1)
+        np.subtract.at(step, np.minimum(at + windows - 1 + width, n_words), 1)
     return np.cumsum(step[:n_words]) > 0
 
 
 def _keep(width: int):
-    def run(zipped: pa.Array, held: pa.Array) -> pa.Array:
+    def run(zipped: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:
         n, gone, out = [], [], []
         for k in range(0, len(zipped), 64):
-            for z, answers in zip(zipped.slice(k, 64).to_pylist(), held.slice(k, 64).to_pylist()):
+            for z, symbols, windows in zip(*(c.slice(k, 64).to_pylist() for c in (zipped, one, two))):
                 words = zstandard.decompress(z).split()
+                answers = [*(symbols or ()), *(windows or ())]
                 n.append(len(words))
                 if answers:
                     off = covered(len(words), answers, width)
@@ -228,7 +298,7 @@ def _keep(width: int):
                 out.append(b" ".join(words))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], names=["n_words", "n_removed", "kept"])
 
-    run.__annotations__ = {"zipped": pa.Array, "held": pa.Array, "return": pa.Array}
+    run.__annotations__ = {"zipped": pa.Array, "one": pa.Array, "two": pa.Array, "return": pa.Array}
     return arrow_udf(run, "struct<n_words:bigint,n_removed:bigint,kept:string>")
 
 
@@ -257,9 +327,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     size = int(str(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET) if size < 1 << 60 else 0)
-    sent = own.mapInArrow(_send(width, buckets), SENT).repartitionById(buckets, F.col("bucket"))
-    answers = sent.mapInArrow(_settle_buckets, SENT).groupBy("doc", "tag").agg(F.collect_list("held").alias("answers"))
-    made = own.withColumn("made", arrow_udf(_both, "struct<tag:int,zipped:binary>")(F.col("text"))).select("doc_id", F.coalesce("doc_id", F.lit(_NULL)).alias("doc"), "made.tag", "made.zipped")
-    both = made.join(answers, ["doc", "tag"], "left")
-    return both.withColumn("r", _keep(width)(F.col("zipped"), F.col("answers"))).select("doc_id", "r.*")
 
+    def settled(sent: DataFrame, name: str) -> DataFrame:
+        met = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_settle_buckets, SENT)
+        return met.groupBy("doc", "tag").agg(F.collect_list("held").alias(name))
+
+    revealed = settled(own.mapInArrow(_send(width, buckets, True), SENT), "symbols")
+    made = own.withColumn("made", arrow_udf(_both, "struct<tag:int,zipped:binary>")(F.col("text"))).select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc"), "made.tag", "made.zipped")
+    # the texts move once: what follows joins by the same keys, and both uses share the exchange
+    known = made.join(revealed, ["doc", "tag"], "left").select("doc", "zipped", "symbols", "tag")
+    rest = settled(known.mapInArrow(_send(width, buckets, False), SENT), "windows")
+    both = known.join(rest, ["doc", "tag"], "left")
+    own_id = F.when(F.col("doc") != F.lit(_NULL), F.col("doc")).alias("doc_id")
+    return both.withColumn("r", _keep(width)(F.col("zipped"), F.col("symbols"), F.col("windows"))).select(own_id, "r.*")
