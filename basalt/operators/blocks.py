@@ -259,3 +259,38 @@ def simulate(trace: DataFrame, policies: Sequence[str], capacities: Sequence[int
 
     asked = trace.select(part, "seq", "ts_us", "block", F.explode(configs).alias("c")).select(part, "seq", "ts_us", "block", "c.*")
     return asked.groupBy(part, "policy", "capacity").applyInPandas(run, f"{part} {kind}, policy string, capacity int, accesses bigint, misses bigint")
+
+
+def with_ghost(trace: DataFrame, capacities: Sequence[int], part: str = "caller") -> DataFrame:
+    """Misses of least-recently-used caches that admit a block on its second sight, from a ghost list as long as the cache."""
+    kind = trace.schema[part].dataType.simpleString()
+
+    def run(held: pd.DataFrame) -> pd.DataFrame:
+        capacity = int(held["capacity"].iloc[0])
+        cache, ghost, misses = OrderedDict(), OrderedDict(), 0
+        blocks = held.sort_values(["ts_us", "seq"])["block"].tolist()
+        for b in blocks:
+            if b in cache:
+                cache.move_to_end(b)
+                continue
+            misses += 1
+            if b in ghost:
+                del ghost[b]
+                cache[b] = None
+                if len(cache) > capacity:
+                    cache.popitem(last=False)
+            else:
+                ghost[b] = None
+                if len(ghost) > capacity:
+                    ghost.popitem(last=False)
+        return pd.DataFrame({part: [held[part].iloc[0]], "capacity": [capacity], "accesses": [len(blocks)], "misses": [misses]})
+
+    asked = trace.select(part, "seq", "ts_us", "block", F.explode(F.array(*[F.lit(c) for c in capacities])).alias("capacity"))
+    return asked.groupBy(part, "capacity").applyInPandas(run, f"{part} {kind}, capacity int, accesses bigint, misses bigint")
+
+
+def parse_io(lines: DataFrame) -> DataFrame:
+    """I/O trace lines ``micros,operation,file,offset,length``; others are left out."""
+    at = F.split("value", ",")
+    ok = lines.filter(F.col("value").rlike(r"^\d+,\w+,[^,]*,\d+,\d+$"))
+    return ok.select(at[0].cast("long").alias("ts_us"), at[1].alias("op"), at[2].alias("file"), at[3].cast("long").alias("offset"), at[4].cast("long").alias("length"))

@@ -82,3 +82,32 @@ def base_level(keys: DataFrame, files: DataFrame, above: int, key: str = "k") ->
         own = deeper.filter(F.col("level") == row[0]).select("lo", "hi")
         keys = as_of(keys, own, key, "lo").filter(F.col("at_hi").isNull() | (F.col("at_hi") < F.col(key))).select(*keys.columns)
     return keys
+
+
+def universal_pick(runs: DataFrame, ratio: int = 1, order: str = "number", size: str = "bytes") -> DataFrame:
+    """The newest runs to merge: each next older one joins while it isn't larger than all before together by more than ``ratio`` percent."""
+    newest = Window.orderBy(F.col(order).desc())
+    before = F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, -1))
+    tried = runs.withColumn("before", before).withColumn("stops", F.coalesce(F.col(size) * 100 > F.col("before") * (100 + ratio), F.lit(False)))
+    stopped = F.max(F.col("stops").cast("int")).over(newest.rowsBetween(Window.unboundedPreceding, 0))
+    return tried.withColumn("stopped", stopped).filter("stopped = 0").drop("before", "stops", "stopped")
+
+
+def outdated(files: DataFrame, now: int, ttl: int, newest: str = "newest") -> DataFrame:
+    """Files whose newest row is older than the time to live, which a first-in-first-out store drops whole."""
+    return files.filter(F.col(newest) + ttl < now)
+
+
+def pick(files: DataFrame, level: int, pointer: object, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """Input of a round-robin compaction: the first file of a level after the pointer, or the level's first, and what it meets one level down."""
+    own = files.filter(F.col("level") == level)
+    ahead = F.when(F.col(lo) > F.lit(pointer), 0).otherwise(1)
+    chosen = own.orderBy(ahead, lo, "number").limit(1)
+    span = chosen.select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
+    below = files.filter(F.col("level") == level + 1).join(F.broadcast(span), (F.col(lo) <= F.col("_hi")) & (F.col(hi) >= F.col("_lo"))).drop("_lo", "_hi")
+    return chosen.unionByName(below)
+
+
+def partitioned(log: DataFrame, n: int, key: str = "k") -> DataFrame:
+    """The log dealt by key prefix, so that no output file holds two prefixes' keys of different tasks."""
+    return log.withColumn("part", F.substring(key, 1, n)).repartition("part")

@@ -49,3 +49,19 @@ def lock_overlaps(locks: DataFrame, parts: Sequence[object]) -> DataFrame:
     a, b = cut.alias("a"), cut.alias("b")
     meet = (F.col("a.part") == F.col("b.part")) & (F.col("a.txn") < F.col("b.txn")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi")) & (F.col("a.part") == F.greatest("a.p0", "b.p0"))
     return a.join(b, meet).select(F.col("a.txn").alias("one"), F.col("b.txn").alias("two"))
+
+
+def deadlocked(waits: DataFrame, scratch=None) -> DataFrame:
+    """Transactions in a circle of waits, each waiting for one other at most (txn, waits_for).
+
+    Whoever is reached after more steps than there are transactions lies in a circle; steps double from round to round.
+    """
+    from basalt.plans.scratch import Scratch
+
+    scratch = scratch or Scratch(waits.sparkSession, "deadlocks")
+    jump = scratch.write(waits.select(F.col("txn").alias("a"), F.col("waits_for").alias("b")).filter("b is not null"))
+    n, steps = jump.count(), 1
+    while steps < n:
+        jump = scratch.write(jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
+        steps *= 2
+    return jump.select(F.col("b").alias("txn")).distinct()

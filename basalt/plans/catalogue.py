@@ -692,3 +692,64 @@ def fn_codecs(spark, d):
         "o_orderkey", codec.decode_fixed(codec.encode_fixed(o, 8), 8).alias("fixed_back"), codec.decode_varint(codec.encode_varint(o - 700)).alias("varint_back"),
         codec.unzigzag(codec.decode_varint(codec.encode_varint(codec.zigzag(o - 700)))).alias("zigzag_back"), F.lower(F.hex(codec.encode_fixed(o % 128, 1))).alias("low_byte"),
     )
+
+
+# planning, locks and the rest
+
+
+@q("SELECT number, bytes FROM (SELECT *, max(stops) OVER (ORDER BY number DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stopped FROM (SELECT *, coalesce((bytes * 100 > 120 * sum(bytes) OVER (ORDER BY number DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 0) AS stops FROM fl)) WHERE stopped = 0", "fl")
+def universal_pick(spark, d):
+    return compact.universal_pick(files_of(spark, d), 20).select("number", "bytes")
+
+
+@q("SELECT day, max(ts_us) AS newest FROM (SELECT ts_us // 86400000000 AS day, ts_us FROM ev) GROUP BY day HAVING max(ts_us) + 864000000000 < 1706000000000000", "ev")
+def fifo_ttl_evict(spark, d):
+    files_ = logs.event_log(spark, d).groupBy(blocks.slot(blocks.DAY).alias("day")).agg(F.max("ts_us").alias("newest"))
+    return compact.outdated(files_, 1_706_000_000_000_000, 864_000_000_000)
+
+
+@q("WITH one AS (SELECT * FROM fl WHERE level = 1 ORDER BY (lo <= 40)::INT, lo, number LIMIT 1) SELECT number, level FROM one UNION ALL SELECT f.number, f.level FROM fl f, one WHERE f.level = 2 AND f.lo <= one.hi AND f.hi >= one.lo".replace("WITH one", f"WITH {WITH['fl']}, one"))
+def pick_round_robin(spark, d):
+    return compact.pick(files_of(spark, d), 1, 40).select("number", "level")
+
+
+@q("SELECT substr(k, 1, 5) AS part, count(*) AS n FROM ev GROUP BY 1", "ev")
+def prefix_partitions(spark, d):
+    return compact.partitioned(logs.event_log(spark, d), 5).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@q("SELECT DISTINCT b AS txn FROM (WITH RECURSIVE w AS (SELECT c_custkey AS a, (c_custkey * 7 + 3) * c_custkey % (SELECT count(*) FROM customer) AS b FROM customer), r(a, b, n) AS (SELECT a, b, 1 FROM w UNION SELECT r.a, w.b, r.n + 1 FROM r JOIN w ON w.a = r.b WHERE r.n < 400 AND r.a <> r.b) SELECT a, b FROM r WHERE a = b)")
+def txn_deadlocks(spark, d):
+    c = F.col("c_custkey")
+    n = F.broadcast(logs.table(spark, d, "customer").agg(F.count("*").alias("n")))
+    waits = logs.table(spark, d, "customer").crossJoin(n).select(c.alias("txn"), ((c * 7 + 3) * c % F.col("n")).alias("waits_for"))
+    return txn.deadlocked(waits)
+
+
+@q("SELECT k, v, ts_us FROM (SELECT * FROM ev WHERE ts_us >= 1704500000000000 AND ts_us < 1705500000000000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) WHERE op NOT IN (0, 7) ORDER BY k LIMIT 20", "ev")
+def scan_time_range(spark, d):
+    log = logs.event_log(spark, d).filter("ts_us >= 1704500000000000 and ts_us < 1705500000000000")
+    return resolve.scan(resolve.resolve(log), limit=20).select("k", "v", "ts_us")
+
+
+@q("SELECT ts, entity, stat, value FROM se WHERE ts >= 1704600000 AND ts < 1704900000", "se")
+def stats_history(spark, d):
+    return series_of(spark, d).filter("ts >= 1704600000 and ts < 1704900000")
+
+
+@q("SELECT epoch_us(ts) AS ts_us, event_type AS op, 'f' || user_id AS file, event_id AS offset, user_id AS length FROM events".replace("AS offset", 'AS "offset"'))
+def io_trace_parse(spark, d):
+    e = logs.table(spark, d, "events")
+    lines = e.select(F.concat_ws(",", logs.micros("ts"), "event_type", F.concat(F.lit("f"), F.col("user_id")), "event_id", "user_id").alias("value"))
+    return blocks.parse_io(lines.unionByName(spark.createDataFrame([("noise",)], "value string")))
+
+
+@q()
+def blk_ghost(spark, d):
+    return blocks.with_ghost(logs.block_trace(spark, d), [8, 32])
+
+
+@q()
+def trace_sampled(spark, d):
+    """One key in four with all its operations: which keys depends on the hash, so SQL has no equal."""
+    return trace.key_stats(trace.sample(logs.trace(spark, d), 4))

@@ -59,6 +59,19 @@ class Scratch:
         """Delete a table that no plan reads any more."""
         path = df.__dict__.get("_basalt_path")
         if path:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(path)
+
+    def clear(self) -> None:
+        """Delete all of the run's tables, when its result is written elsewhere."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settle(df: DataFrame, name: str, working: Scratch) -> DataFrame:
+    """The rows as a table of their own, after which the tables that they were worked out from go."""
+    out = Scratch(working.spark, name).write(df)
+    working.clear()
+    return out
