@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.llm.common import per_text
-from basalt.plans.scratch import Scratch
+from basalt.plans.scratch import Scratch, settle
 
 #: Documents of a block.
 BLOCK = 20_000
@@ -172,7 +172,8 @@ def draw(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
         moving = flown.filter("p > 0 and p < 1")
         most_units = 2 * math.ceil(most_units / block)
         level += 1
-    return done.withColumn("copies", F.col("whole") + F.round("p").cast("int")).select("doc_id", "source", "h", "n_rows", "size", "source_size", "target", "copies")
+    drawn = done.withColumn("copies", F.col("whole") + F.round("p").cast("int")).select("doc_id", "source", "h", "n_rows", "size", "source_size", "target", "copies")
+    return settle(drawn, "drawn", scratch)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:

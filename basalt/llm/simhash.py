@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from basalt.llm.common import fresh, per_text
 from basalt.llm.components import components, union
-from basalt.plans.scratch import Scratch
+from basalt.plans.scratch import Scratch, settle
 from basalt.plans.ship import ship
 
 #: Most members of a group that are compared; the last level's groups can't have more.
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
-    return made.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return settle(made.join(classes, "fp").select("doc_id", "fp", "component_id"), "classes", scratch)
 
 
 def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
@@ -229,7 +229,7 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = made.groupBy("fp").agg(F.min(rank).alias("least"))
     roots = components(links(own.select("fp"), scratch, distance), scratch)
     rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.h")
+    kept = settle(rooted.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.h"), "kept-documents", scratch)
     names = [fresh(n, docs) for n in ("kept_id", "kept_hash", "kept_own", "kept_turn")]
     kept = kept.toDF(*names[:2])
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col(names[0])) & (F.col(names[2]) == F.col(names[1]))
