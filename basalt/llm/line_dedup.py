@@ -22,19 +22,30 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from basalt.llm.common import fresh, text_batches
 from basalt.llm.words import mix, pack_texts, word_hashes
-from basalt.plans.scratch import Scratch
+from basalt.plans.scratch import Scratch, settle
 from basalt.plans.ship import ship
 
 #: Places of the table of word frequencies; a word's frequency is taken as its place's, an upper bound.
 PLACES = 1 << 17
 #: Most lines that may hold a word which is a key alone.
 LIMIT = 5_000
+#: The class of words in more than LIMIT lines; rarer ones have lower classes.
+HOT = 63
+#: Postings that a task holds before it sends them.
+POSTINGS = 200_000
+#: Bytes of input for each bucket of keys, by which their number is chosen.
+BUCKET = 16 << 20
+WIDE = [f"s{j}" for j in range(8)]
+NAMES = ["a", "b", "d", "best", "doc_id", "h", "line", "id"]
+#: Sets of a group all of whose pairs are tried at once.
+SMALL = 12
 #: Sets that a task remembers.
 SEEN = 500_000
 #: Words of the bitmap of ids whose sets are needed for verification; it lets more ids pass where they are many.
@@ -53,12 +64,16 @@ def line_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return h, at, doc_of_mark[lines], lines - first_mark[doc_of_mark[lines]]
 
 
+def places(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(47)).astype(np.int64)
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(PLACES, np.int64)
     for batch in batches:
         for part in text_batches(batch.column(0)):
             h, _, _ = word_hashes(pack_texts([t.encode() for t in part])[0])
-            total += np.bincount((h >> np.uint64(47)).astype(np.int64), minlength=PLACES)
+            total += np.bincount(places(h), minlength=PLACES)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "n"])
 
@@ -74,7 +89,7 @@ def frequencies(docs: DataFrame, text: str) -> np.ndarray:
 def word_sets(texts: list[str], rarity: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
     """Lines' sets, words in order of rarity: word hashes, start of each set, its size, its text's number and place, its id and signature."""
     h, line, doc, place = line_words(texts)
-    key = (line.astype(np.uint64) << np.uint64(44)) | (rarity[(h >> np.uint64(47)).astype(np.int64)].astype(np.uint64) << np.uint64(38)) | (h & np.uint64((1 << 38) - 1))
+    key = (line.astype(np.uint64) << np.uint64(44)) | (rarity[places(h)].astype(np.uint64) << np.uint64(38)) | (h & np.uint64((1 << 38) - 1))
     order = np.argsort(key, kind="stable")
     h, line = h[order], line[order]
     new = np.ones(len(h), bool)
@@ -99,19 +114,66 @@ def overlap(n: np.ndarray, m: np.ndarray, t: Fraction) -> np.ndarray:
     return -(-(a * (n + m)) // b)
 
 
-def _postings(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int):
+def _send(rarity: np.ndarray, t: Fraction, min_words: int, buckets: int, cuts: np.ndarray):
+    """A row for each line with its set's id, and for each bucket of keys the postings of a batch of texts.
+
+    A posting has a hint of where its document comes, the number of the range of ids between the cuts.
+    """
+    hot = rarity == HOT
+
+    def hints(ids: pa.Array) -> np.ndarray:
+        if not pa.types.is_integer(ids.type):
+            return np.zeros(len(ids), np.uint16)
+        low = np.iinfo(ids.type.to_pandas_dtype()).min
+        return np.searchsorted(cuts, ids.fill_null(low).to_numpy(), side="right").astype(np.uint16)
+
+    def postings(h: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray, sig: np.ndarray, new: np.ndarray, hint: np.ndarray) -> tuple[np.ndarray, ...]:
+        prefix = np.where(new, n - (-(-(t.numerator * n) // t.denominator)) + 1, 0)
+        owner = np.repeat(np.arange(len(n)), prefix)
+        pos = np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+        words = h[start[owner] + pos]
+        often = hot[places(words)]
+        keys, own, at = [words[~often]], [owner[~often]], [pos[~often]]
+        if often.any():
+            w, o, p = words[often], owner[often], pos[often]
+            more = np.minimum(prefix[o] + 1, n[o]) - p - 1
+            who = np.repeat(np.arange(len(w)), more)
+            step = np.arange(len(who)) - np.repeat(np.cumsum(more) - more, more) + 1
+            keys.append(mix(w[who] * np.uint64(3) + mix(h[start[o[who]] + p[who] + step])))
+            own.append(o[who])
+            at.append(p[who])
+        keys, own, at = np.concatenate(keys), np.concatenate(own), np.concatenate(at)
+        keys = mix(keys)
+        return (keys >> np.uint64(32)).astype(np.uint32), ids[own], sig[own], n[own].astype(np.int32), at.astype(np.int32), hint[own], ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
+            bucket = cols.pop()
+            order = np.argsort(bucket, kind="stable")
+            bucket, cols = bucket[order], [c[order] for c in cols]
+            cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(order)]
+            blobs = [pack_blob(*[c[i:j] for c in cols]) for i, j in zip(cut[:-1], cut[1:])]
+            k = len(blobs)
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "h", "line", "id", "held"])
+
         for batch in batches:
-            row = 0
+            row, kind, order_of = 0, batch.column(0).type, hints(batch.column(0))
             for part in text_batches(batch.column(2)):
                 h, start, n, doc, place, ids, sig = word_sets(part, rarity, min_words)
-                docs = pa.array(doc + row)
+                docs, hint = pa.array(doc + row), order_of[doc + row]
                 row += len(part)
-                if not len(n):
-                    continue
                 k = len(n)
-                # every line is listed, but a set that this task has met before has no keys again
+                if not k:
+                    continue
+                bucket = pa.array((ids % np.uint64(buckets)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([bucket, batch.column(0).take(docs), batch.column(1).take(docs), pa.array(place.astype(np.int32)), pa.array(ids.view(np.int64)), pa.nulls(k, pa.binary())], names=["bucket", "doc_id", "h", "line", "id", "held"])
+                # a set that this task has met before has its postings already
                 if len(seen) > SEEN:
                     seen.clear()
                 new = np.zeros(k, bool)
@@ -119,122 +181,179 @@ def _postings(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int):
                     if x not in seen:
                         seen.add(x)
                         new[i] = True
-                prefix = np.where(new, n - (-(-(t.numerator * n) // t.denominator)) + 1, 0)
-                owner = np.repeat(np.arange(k), prefix)
-                pos = np.arange(int(prefix.sum())) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-                words = h[start[owner] + pos]
-                often = hot[(words >> np.uint64(47)).astype(np.int64)]
-                keys, own, at = [words[~often]], [owner[~often]], [pos[~often]]
-                if often.any():
-                    w, o, p = words[often], owner[often], pos[often]
-                    more = np.minimum(prefix[o] + 1, n[o]) - p - 1
-                    who = np.repeat(np.arange(len(w)), more)
-                    step = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
-                    keys.append(mix(w[who] * np.uint64(3) + mix(h[start[o[who]] + p[who] + step])))
-                    own.append(o[who])
-                    at.append(p[who])
-                keys, own, at = np.concatenate(keys), np.concatenate(own), np.concatenate(at)
-                order = np.argsort(own, kind="stable")
-                keys, at = keys[order], at[order]
-                offsets = np.r_[0, np.cumsum(np.bincount(own, minlength=k))].astype(np.int32)
-                held = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(at.astype(np.int32))], names=["key", "pos"]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(docs), batch.column(1).take(docs), pa.array(place.astype(np.int32)), pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(sig.view(np.int64)), held], names=["doc_id", "h", "line", "id", "n", "sig", "keys"])
+                held.append(postings(h, start, n, ids, sig, new, hint))
+                size += len(held[-1][0])
+                if size > POSTINGS:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
 
     return run
 
 
+def pack_blob(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, hint: np.ndarray) -> bytes:
+    return len(key).to_bytes(4, "little") + key.tobytes() + ids.tobytes() + sig.tobytes() + zstandard.compress(n.tobytes() + pos.tobytes() + hint.tobytes(), 1)
+
+
+def unpack_blob(x: bytes) -> tuple[np.ndarray, ...]:
+    m = int.from_bytes(x[:4], "little")
+    small = zstandard.decompress(x[4 + 20 * m :])
+    return (
+        np.frombuffer(x, np.uint32, m, 4), np.frombuffer(x, np.uint64, m, 4 + 4 * m), np.frombuffer(x, np.uint64, m, 4 + 12 * m),
+        np.frombuffer(small, np.int32, m), np.frombuffer(small, np.int32, m, 4 * m), np.frombuffer(small, np.uint16, m, 8 * m),
+    )
+
+
+def wide_signatures(words: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """Parity signatures of 512 bits, as eight longs, of sets of words."""
+    k = len(offsets) - 1
+    place = mix(words + np.uint64(2)) >> np.uint64(55)
+    owner = np.repeat(np.arange(k), np.diff(offsets))
+    parity = np.zeros(k * 512, np.uint8)
+    np.bitwise_xor.at(parity, owner * 512 + place.astype(np.int64), np.uint8(1))
+    longs = np.packbits(parity.reshape(k, 512), axis=1, bitorder="little").view("<i8")
+    return [pa.array(np.ascontiguousarray(longs[:, j])) for j in range(8)]
+
+
+def bitmap_of(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the longs in column id, always of BITMAP words; others may share their bits."""
+    bits = ids.groupBy((F.col("id").bitwiseAND(F.lit(BITMAP - 1))).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(shiftrightunsigned(id, 58)))")).alias("bits")).toPandas()
+    bitmap = np.zeros(BITMAP, np.uint64)
+    bitmap[bits["word"].to_numpy()] = bits["bits"].to_numpy(np.int64).view(np.uint64)
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return ((bitmap[(ids & np.uint64(BITMAP - 1)).astype(np.int64)] >> (ids >> np.uint64(58))) & np.uint64(1)).astype(bool)
+
+
+def may_have(bitmap: np.ndarray):
+    """A column function: whether the bitmap has a long."""
+
+    def run(ids: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bitmap, ids.fill_null(0).to_numpy().view(np.uint64)))
+
+    run.__annotations__ = {"ids": pa.Array, "return": pa.Array}
+    return arrow_udf(run, "boolean")
+
+
 def _sets(rarity: np.ndarray, min_words: int, bitmap: np.ndarray):
-    """Sets of the lines whose id the bitmap has, once in a batch."""
+    """Sets of the lines whose id the bitmap has; a set may come from several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_ids, out_words = [], []
+        seen: set[int] = set()
         for batch in batches:
             for part in text_batches(batch.column(0)):
                 h, start, n, _, _, ids, _ = word_sets(part, rarity, min_words)
-                want = np.flatnonzero((bitmap[(ids & np.uint64(BITMAP - 1)).astype(np.int64)] >> (ids >> np.uint64(58))) & np.uint64(1))
+                want = np.flatnonzero(in_bitmap(bitmap, ids))
                 if len(want):
-                    _, once = np.unique(ids[want], return_index=True)
-                    for i in want[once]:
-                        out_ids.append(ids[i : i + 1])
-                        out_words.append(h[start[i] : start[i] + n[i]])
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    for i, x in zip(want.tolist(), ids[want].tolist()):
+                        if x not in seen:
+                            seen.add(x)
+                            out_ids.append(ids[i : i + 1])
+                            out_words.append(h[start[i] : start[i] + n[i]])
                 if out_ids:
                     offsets = np.r_[0, np.cumsum([len(w) for w in out_words])].astype(np.int32)
-                    words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out_words).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids).view(np.int64)), words], names=["id", "words"])
+                    flat = np.concatenate(out_words)
+                    words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids).view(np.int64)), words, *wide_signatures(flat, offsets)], names=["id", "words", *WIDE])
                     out_ids, out_words = [], []
 
     return run
 
 
-def _pairs(t: Fraction):
-    """Candidates (a, b) within groups of one key, which come sorted by key, n and id; a group is compared block by block."""
-
-    def compare(ids: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for at in range(0, len(ids), 512):
-            i_n, i_pos, i_sig = n[at : at + 512, None], pos[at : at + 512, None], sig[at : at + 512, None]
-            for to in range(at, len(ids), 2048):
-                j_n = n[None, to : to + 2048]
-                if t.numerator * int(j_n[0, 0]) > t.denominator * int(i_n[-1, 0]):
-                    break  # sizes ascend
-                least = overlap(i_n, j_n, t)
-                apart = i_n + j_n - 2 * least
-                ok = (least <= np.minimum(i_n, j_n)) & (np.bitwise_count(i_sig ^ sig[None, to : to + 2048]) <= apart)
-                ok &= 1 + np.minimum(i_n - i_pos, j_n - pos[None, to : to + 2048]) - 1 >= least
-                i, j = np.nonzero(ok)
-                i, j = ids[at + i], ids[to + j]
-                yield np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
+def _meet(t: Fraction):
+    """Candidates (a, b, d: differing signature bits, best) among the postings of each bucket; rows of lines pass.
+
+    In a group of more than SMALL sets, the best candidate of a set is the closest of those that the hints put before it; the
+    others are kept for sets that the best ones don't settle.
+    """
+
+    def close(n: np.ndarray, m: np.ndarray, p: np.ndarray, o: np.ndarray, s: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        least = overlap(n, m, t)
+        d = np.bitwise_count(s ^ r)
+        return (least <= np.minimum(n, m)) & (d <= n + m - 2 * least) & (np.minimum(n - p, m - o) >= least), d
+
+    def pairs(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, hint: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        order = np.lexsort((hint, ids, (key.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)))
+        key, ids, sig, n, pos, hint = key[order], ids[order], sig[order], n[order].astype(np.int64), pos[order].astype(np.int64), hint[order]
+        once = np.r_[True, (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])]
+        first = np.flatnonzero(np.r_[True, key[once][1:] != key[once][:-1]])
+        sizes = np.diff(np.r_[first, int(once.sum())])
+        many = np.repeat(sizes > 1, sizes)
+        key, ids, sig, n, pos, hint, size = (c[once][many] for c in (key, ids, sig, n, pos, hint, np.repeat(sizes, sizes)[np.cumsum(once) - 1]))
+        rows = size <= SMALL
+        k, i, s, m, p = key[rows], ids[rows], sig[rows], n[rows], pos[rows]
+        for step in range(1, SMALL):
+            x = np.flatnonzero(k[step:] == k[:-step]) if len(k) > step else np.zeros(0, np.int64)
+            if not len(x):
+                break
+            y = x + step
+            ok, d = close(m[x], m[y], p[x], p[y], s[x], s[y])
+            yield i[x][ok], i[y][ok], d[ok], np.ones(int(ok.sum()), bool)
+        k, i, s, m, p, w = key[~rows], ids[~rows], sig[~rows], n[~rows], pos[~rows], hint[~rows]
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+        for f, e in zip(starts, np.r_[starts[1:], len(k)]):
+            none = np.iinfo(np.int64).max
+            best = np.full(e - f, none)
+            for at in range(f, e, 512):
+                a = slice(at, min(at + 512, e))
+                for to in range(at, e, 2048):
+                    if t.numerator * int(m[to]) > t.denominator * int(m[a.stop - 1]):
+                        break  # sizes ascend
+                    b = slice(to, min(to + 2048, e))
+                    ok, d = close(m[a, None], m[None, b], p[a, None], p[None, b], s[a, None], s[None, b])
+                    x, y = np.nonzero(ok)
+                    apart = at + x < to + y
+                    x, y = x[apart], y[apart]
+                    gap, x, y = d[x, y].astype(np.int64) << 40, at + x, to + y
+                    yield i[x], i[y], gap >> 40, np.zeros(len(x), bool)
+                    for one, two in ((x, y), (y, x)):
+                        before = w[two] <= w[one]
+                        np.minimum.at(best, one[before] - f, gap[before] + two[before])
+            one = np.flatnonzero(best != none)
+            two = best[one] & ((1 << 40) - 1)
+            yield i[f + one], i[two], best[one] >> 40, np.ones(len(one), bool)
+
+    def settle(held: list[bytes]) -> pa.RecordBatch:
+        found = list(pairs(*[np.concatenate(c) for c in zip(*map(unpack_blob, held))]))
+        a, b, d, best = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, kind_) for j, kind_ in enumerate((np.uint64, np.uint64, np.int64, bool)))
+        a, b, d = a.view(np.int64), b.view(np.int64), d.astype(np.int32)
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((~best, hi, lo))
+        lo, hi, d, best = lo[order], hi[order], d[order], best[order]
+        new = (np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])] if len(lo) else np.zeros(0, bool)) & (lo != hi)
+        k = int(new.sum())
+        return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new]), pa.array(d[new]), pa.array(best[new]), pa.nulls(k, kind[0]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=NAMES)
+
+    kind: list[pa.DataType] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        for batch in _and_last(batches):
-            if batch is not None:
-                if not batch.num_rows:
-                    continue
-                kept.append(tuple(c.to_numpy() for c in batch.columns))
-                if kept[-1][0][-1] == kept[0][0][0]:
-                    continue
-            if not kept:
-                return
-            key, ids, n, pos, sig = (np.concatenate(c) for c in zip(*kept))
-            n, pos, sig = n.astype(np.int64), pos.astype(np.int64), sig.view(np.uint64)
-            end = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
-            kept = [] if batch is None else [(key[end:], ids[end:], n[end:], pos[end:], sig.view(np.int64)[end:])]
-            new = np.r_[True, (ids[1:end] != ids[: end - 1]) | (key[1:end] != key[: end - 1])][:end]
-            key, ids, n, pos, sig = key[:end][new], ids[:end][new], n[:end][new], pos[:end][new], sig[:end][new]
-            if not len(key):
-                continue
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sizes = np.diff(np.r_[first, len(key)])
-            a, b = [], []
-            rows = np.repeat((sizes > 1) & (sizes <= 12), sizes)
-            k, i, m, p, s = key[rows], ids[rows], n[rows], pos[rows], sig[rows]
-            for d in range(1, 12):
-                if len(k) <= d:
-                    break
-                x = np.flatnonzero(k[d:] == k[:-d])
-                if not len(x):
-                    break
-                y = x + d
-                least = overlap(m[x], m[y], t)
-                ok = (least <= m[x]) & (np.bitwise_count(s[x] ^ s[y]) <= m[x] + m[y] - 2 * least) & (np.minimum(m[x] - p[x], m[y] - p[y]) >= least) & (i[x] != i[y])
-                a.append(np.minimum(i[x], i[y])[ok])
-                b.append(np.maximum(i[x], i[y])[ok])
-            for f, size in zip(first[sizes > 12], sizes[sizes > 12]):
-                for x, y in compare(ids[f : f + size], n[f : f + size], pos[f : f + size], sig[f : f + size]):
-                    a.append(x)
-                    b.append(y)
-            if a:
-                found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+        held: list[bytes] = []
+        now = None
+        for batch in batches:
+            kind[:] = [batch.column(1).type]
+            lines = batch.filter(batch.column(5).is_null())
+            if lines.num_rows:
+                k = lines.num_rows
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.bool_()), *[lines.column(j) for j in (1, 2, 3, 4)]], names=NAMES)
+            sent = batch.filter(batch.column(5).is_valid())
+            for bucket, x in zip(sent.column(0).to_pylist(), sent.column(5).to_pylist()):
+                if bucket != now and held:
+                    yield settle(held)
+                    held = []
+                now = bucket
+                held.append(x)
+        if held:
+            yield settle(held)
 
     return run
 
 
-def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
 def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = 0.8, min_words: int = 5) -> DataFrame:
     """One row for each different (doc_id, text) with a removed line: doc_id, h (hash of the text), removed (places of lines, from 0)."""
     spark = docs.sparkSession
@@ -246,28 +365,68 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     min_words = max(min_words, 2)
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("text is not null")
     often = frequencies(own, "text")
-    rarity = np.minimum(63, np.log2(1.0 + often) * 2.2).astype(np.uint8)
-    hot = often > LIMIT
-    found = scratch.write(own.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_postings(rarity, hot, exact, min_words), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, h bigint, line int, id bigint, n int, sig bigint, keys array<struct<key:bigint,pos:int>>"))
+    rarity = np.where(often > LIMIT, HOT, np.minimum(HOT - 1, np.log2(1.0 + often) * 4)).astype(np.uint8)
+    size = int(str(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET) if size < 1 << 60 else 0)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    cuts = np.zeros(0, np.int64)
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        cuts = np.array(sorted(set(own.agg(F.percentile_approx("doc_id", [i / 1000 for i in range(1, 1000)], 10_000)).first()[0] or [])), np.int64)
+    sent = own.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_send(rarity, exact, min_words, buckets, cuts), f"bucket int, doc_id {kind}, h bigint, line int, id bigint, held binary")
+    met = scratch.write(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(exact), f"a bigint, b bigint, d int, best boolean, doc_id {kind}, h bigint, line int, id bigint"))
+    found, pairs = met.filter("a is null").select("doc_id", "h", "line", "id"), met.filter("a is not null")
     line = F.struct("doc_id", "h", "line")
-    first = found.groupBy("id").agg(F.min(line).alias("first"))
-    keyed = found.select("id", "n", "sig", F.explode("keys").alias("k")).select("k.key", "id", "n", "k.pos", "sig")
-    sorted_ = keyed.repartition("key").sortWithinPartitions("key", "n", "id")
-    pairs = scratch.write(sorted_.mapInArrow(_pairs(exact), "a bigint, b bigint").distinct())
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    bits = wanted.groupBy((F.col("id").bitwiseAND(F.lit(BITMAP - 1))).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(shiftrightunsigned(id, 58)))")).alias("bits")).toPandas()
-    bitmap = np.zeros(BITMAP, np.uint64)
-    bitmap[bits["word"].to_numpy()] = bits["bits"].to_numpy(np.int64).view(np.uint64)
-    sets = own.select("text").mapInArrow(_sets(rarity, min_words, bitmap), "id bigint, words array<bigint>")
-    sets = scratch.write(sets.join(wanted.distinct(), "id", "left_semi").groupBy("id").agg(F.first("words").alias("words")))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
+    first = scratch.write(found.groupBy("id").agg(F.min(line).alias("first"), F.count("*").alias("n")))
+    # bitmaps keep rows that don't matter out of the joins: most sets have no candidate and stand once
+    bitmap = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    known = first.filter(may_have(bitmap)(F.col("id"))).select("id", "first")
+    sets = scratch.write(own.select("text").mapInArrow(_sets(rarity, min_words, bitmap), "id bigint, words array<bigint>, " + ", ".join(f"{c} bigint" for c in WIDE)))
+    # the best candidates first; the others only for the sets that those don't settle, of which there are few where groups are large
+    settled = scratch.write(_settled(pairs.filter("best"), known, sets, exact, scratch))
+    others = pairs.filter("not best")
+    open_ = others.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(settled, "id", "left_anti")
+    still = may_have(bitmap_of(open_))
+    late = _settled(others.filter(still(F.col("a")) | still(F.col("b"))), known, sets, exact, scratch, settled)
+    similar = scratch.write(settled.unionByName(late).distinct().withColumn("similar", F.lit(True)))
+    near = may_have(bitmap_of(similar.select("id")))
+    hit = first.filter((F.col("n") > 1) | near(F.col("id"))).join(similar, "id", "left").filter((F.col("n") > 1) | F.col("similar")).drop("n")
+    hit = scratch.write(hit)
+    losing = may_have(bitmap_of(hit.select("id")))
+    gone = found.filter(losing(F.col("id"))).join(hit, "id").filter((F.col("first") < line) | F.col("similar"))
+    return settle(gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed-lines", scratch)
+
+
+def _settled(pairs: DataFrame, first: DataFrame, sets: DataFrame, t: Fraction, scratch: Scratch, done: DataFrame | None = None) -> DataFrame:
+    """Ids of sets with an earlier similar one among the candidates (a, b); those ``done`` aren't tried again.
+
+    Of two similar sets the one that comes first as a line stands, and a set's lines after its first go anyway, so a set needs one earlier partner.
+    """
+    of = lambda c: first.select(F.col("id").alias(c), F.col("first").alias(f"first_{c}"))
+    ahead = F.col("first_a") < F.col("first_b")
+    both = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    ordered = both.select(F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("earlier"))
+    if done is not None:
+        ordered = ordered.join(done.withColumnRenamed("id", "later"), "later", "left_anti")
+    # wide signatures drop pairs that the short ones couldn't
+    wide = sets.groupBy("id").agg(*[F.first(c).alias(c) for c in WIDE], F.first(F.size("words")).alias("n"))
+    x, y = (wide.select(F.col("id").alias(c), *[F.col(o).alias(f"{c}_{o}") for o in (*WIDE, "n")]) for c in ("later", "earlier"))
+    differ = sum((F.bit_count(F.col(f"later_{c}").bitwiseXOR(F.col(f"earlier_{c}"))) for c in WIDE[1:]), F.bit_count(F.col("later_s0").bitwiseXOR(F.col("earlier_s0"))))
+    n = F.col("later_n") + F.col("earlier_n")
+    least = F.ceil(F.lit(t.numerator) * n / F.lit(t.numerator + t.denominator)).cast("int")
+    ranked = scratch.write(ordered.join(x, "later").join(y, "earlier").withColumn("d", differ).filter(F.col("d") <= n - 2 * least).select("later", "earlier", "d"))
+    # the likeliest partner is verified first, and the others for those sets only that it doesn't settle
+    likely = scratch.write(ranked.groupBy("later").agg(F.min(F.struct("d", "earlier")).alias("best")).select("later", F.col("best.earlier").alias("earlier")))
+    sure = scratch.write(_verified(likely, sets, t))
+    rest = scratch.write(ranked.select("later", "earlier").join(sure, "later", "left_anti").join(likely, ["later", "earlier"], "left_anti"))
+    return sure.unionByName(_verified(rest, sets, t)).distinct().select(F.col("later").alias("id"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The later ones of written pairs whose sets are as similar as t; only the sets of the pairs move."""
+    own = sets.select("id", "words").filter(may_have(bitmap_of(pairs.select(F.explode(F.array("later", "earlier")).alias("id"))))(F.col("id")))
+    both = pairs.join(own.select(F.col("id").alias("later"), F.col("words").alias("x")), "later").join(own.select(F.col("id").alias("earlier"), F.col("words").alias("y")), "earlier")
     common = F.size(F.array_intersect("x", "y"))
-    near = both.filter(common * exact.denominator >= exact.numerator * (F.size("x") + F.size("y") - common)).select("a", "b")
-    links = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = links.join(first.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("first").alias("other"))
-    best = first.join(other.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("first", "other").alias("best"))
-    gone = found.select("doc_id", "h", "line", "id").join(best, "id").filter(F.col("best") < line)
-    return gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    return both.filter(common * t.denominator >= t.numerator * (F.size("x") + F.size("y") - common)).select("later").distinct()
 
 
 def without(texts: pa.Array, removed: pa.Array) -> pa.Array:
@@ -285,11 +444,17 @@ def without(texts: pa.Array, removed: pa.Array) -> pa.Array:
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = 0.8, min_words: int = 5) -> DataFrame:
     """The rows of ``docs`` with the removed lines taken out of the text."""
     names = [fresh(n, docs) for n in ("line_id", "line_hash", "line_removed")]
-    gone = similar_lines(docs, doc_id, text, t, min_words).toDF(*names)
+    gone = similar_lines(docs, doc_id, text, t, min_words)
+    # texts that surely lose nothing needn't meet the removed lines
+    lose = may_have(bitmap_of(gone.select(F.col("h").alias("id"))))
+    gone = gone.toDF(*names)
     held = fresh("line_own", docs)
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col(names[0])) & (F.col(held) == F.col(names[1]))
-    both = docs.withColumn(held, F.xxhash64(F.col(f"`{text}`"))).join(gone, same, "left")
+    hashed = docs.withColumn(held, F.xxhash64(F.col(f"`{text}`")))
+    near = fresh("line_near", docs)
+    marked = hashed.withColumn(near, lose(F.col(held)) & F.col(f"`{text}`").isNotNull())
+    both = marked.filter(F.col(near)).drop(near).join(gone, same, "left")
     new = F.when(F.col(names[2]).isNull(), F.col(f"`{text}`")).otherwise(arrow_udf(without, "string")(F.col(f"`{text}`"), F.col(names[2])))
     out = both.withColumn(held, new)
     cols = [F.col(held).alias(c) if c == text else F.when(F.col(names[2]).isNull(), F.col("`n_chars`")).otherwise(F.length(held)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols)
+    return out.select(*cols).unionByName(marked.filter(~F.col(near)).select(*[F.col(f"`{c}`") for c in docs.columns]))

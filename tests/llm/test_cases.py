@@ -325,7 +325,7 @@ def test_hot_words_make_pair_keys():
     rows = random_lines(60, 8, [f"w{i}" for i in range(25)])
     t, rarity = Fraction(4, 5), np.full(line_dedup.PLACES, line_dedup.HOT, np.uint8)
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([x for _, x in rows])], names=["doc_id", "h", "text"])
-    sent = [b for b in line_dedup._send(rarity, t, 5, 3)(iter([batch]))]
+    sent = [b for b in line_dedup._send(rarity, t, 5, 3, np.zeros(0, np.int64))(iter([batch]))]
     table = pa.Table.from_batches(sent).sort_by("bucket").combine_chunks()
     met = pa.Table.from_batches(list(line_dedup._meet(t)(iter(table.to_batches())))).to_pylist()
     pairs = {frozenset((r["a"], r["b"])) for r in met if r["a"] is not None}
