@@ -230,6 +230,11 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = components(links(own.select("fp"), scratch, distance), scratch)
     rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = settle(rooted.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.h"), "kept-documents", scratch)
+    return first_rows(docs, kept, doc_id, text)
+
+
+def first_rows(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names by doc_id and h, the text's hash; of rows equal in both, one."""
     names = [fresh(n, docs) for n in ("kept_id", "kept_hash", "kept_own", "kept_turn")]
     kept = kept.toDF(*names[:2])
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col(names[0])) & (F.col(names[2]) == F.col(names[1]))
