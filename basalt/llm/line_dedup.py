@@ -42,6 +42,8 @@ HOT = 63
 POSTINGS = 200_000
 #: Bytes of input for each bucket of keys, by which their number is chosen.
 BUCKET = 16 << 20
+#: Lines whose numbers fit into a sort key of 64 bits beside 44 bits of a word.
+LINES = 1 << 20
 WIDE = [f"s{j}" for j in range(8)]
 NAMES = ["a", "b", "d", "best", "doc_id", "h", "line", "id"]
 #: Sets of a group all of whose pairs are tried at once.
@@ -89,8 +91,11 @@ def frequencies(docs: DataFrame, text: str) -> np.ndarray:
 def word_sets(texts: list[str], rarity: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
     """Lines' sets, words in order of rarity: word hashes, start of each set, its size, its text's number and place, its id and signature."""
     h, line, doc, place = line_words(texts)
-    key = (line.astype(np.uint64) << np.uint64(44)) | (rarity[places(h)].astype(np.uint64) << np.uint64(38)) | (h & np.uint64((1 << 38) - 1))
-    order = np.argsort(key, kind="stable")
+    rare, low = rarity[places(h)].astype(np.uint64), h & np.uint64((1 << 38) - 1)
+    if len(doc) <= LINES:
+        order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rare << np.uint64(38)) | low, kind="stable")
+    else:
+        order = np.lexsort((low, rare, line))
     h, line = h[order], line[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
