@@ -133,6 +133,8 @@ def _send(rarity: np.ndarray, t: Fraction, min_words: int, buckets: int, cuts: n
         return np.searchsorted(cuts, ids.fill_null(low).to_numpy(), side="right").astype(np.uint16)
 
     def postings(h: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray, sig: np.ndarray, new: np.ndarray, hint: np.ndarray) -> tuple[np.ndarray, ...]:
+        # sets so small that one word more or less makes them unlike have only equal partners, which share their id
+        new = new & (t.denominator * n >= t.numerator * (n + 1))
         prefix = np.where(new, n - (-(-(t.numerator * n) // t.denominator)) + 1, 0)
         owner = np.repeat(np.arange(len(n)), prefix)
         pos = np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
@@ -367,7 +369,7 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     exact = Fraction(t).limit_denominator(1000)
     if exact <= Fraction(1, 2):
         raise ValueError("two shared words are only certain for t over 0.5")
-    min_words = max(min_words, 2)
+    min_words = max(min_words, 1)
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("text is not null")
     often = frequencies(own, "text")
     rarity = np.where(often > LIMIT, HOT, np.minimum(HOT - 1, np.log2(1.0 + often) * 4)).astype(np.uint8)

@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take lines out that are at least 0.8 alike to an earlier one."""
-    return line_dedup.dedup_lines(docs, t=0.8, min_words=5)
+    """Take lines out that are at least 0.8 alike to an earlier one, short ones too."""
+    return line_dedup.dedup_lines(docs, t=0.8, min_words=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

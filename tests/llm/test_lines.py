@@ -16,3 +16,24 @@ def test_lines_beyond_a_million():
         part = line_dedup.word_sets(["\n".join(lines[at : at + 60])], rarity, 1)
         assert (whole[5][at : at + 60] == part[5]).all() and (whole[6][at : at + 60] == part[6]).all()
         assert (whole[0][3 * at : 3 * at + 180] == part[0]).all()
+
+
+def test_short_lines_of_the_stage(spark):
+    """Equal word sets of any size go, and sets of four words meet those of five; others of few words stay."""
+    import corpus_pipeline
+
+    rows = [(1, "All rights reserved.\nHome\na b c d"), (2, "first\nreserved. All rights\nHome Home\na b c d e"), (3, "Home\na b c\na b\n\nb a a"), (4, "f g h i j\nf g h i")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: "first", 3: "a b c\na b\n", 4: "f g h i j"}
+
+
+def test_all_lines_match_brute_force(spark):
+    import random
+
+    from tests.llm.test_cases import brute_lines
+
+    rng = random.Random(6)
+    rows = [(i, "\n".join(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 8))) for _ in range(rng.randrange(1, 6)))) for i in range(120)]
+    got = {r.doc_id: r.removed for r in line_dedup.similar_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), min_words=1).collect()}
+    assert got == brute_lines(rows, least=1)
