@@ -583,6 +583,12 @@ def sorted_run_check(spark, d):
     return files.out_of_order(logs.event_log(spark, d).filter("seq < 500"), pos="seq").select("seq", "k")
 
 
+@q("SELECT seq, k FROM (SELECT seq, k, lag(k) OVER (ORDER BY seq) AS b FROM ev) WHERE b >= k", "ev")
+def sorted_run_check_all(spark, d):
+    """sorted_run_check over the whole event log."""
+    return files.out_of_order(logs.event_log(spark, d), pos="seq").select("seq", "k")
+
+
 @q("SELECT number FROM fl WHERE number NOT IN (SELECT number FROM fl WHERE level < 2)", "fl")
 def vacuum_candidates(spark, d):
     own = files_of(spark, d)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from basalt.operators import resolve
+
 
 def write_run(log: DataFrame, path: str, key: str = "k", seq: str = "seq", files: int | None = None, codec: str = "zstd", bloom: bool = False) -> None:
     """A sorted run: files of disjoint key ranges, sorted by key and newest first, so that scans prune by Parquet statistics."""
@@ -19,10 +21,19 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def out_of_order(run: DataFrame, key: str = "k", pos: str = "pos", part: str | None = None) -> DataFrame:
-    """Rows whose key isn't above the one before in the run: a writer of sorted files must refuse them."""
-    by = Window.partitionBy(part) if part else Window.partitionBy(F.lit(0))
-    return run.withColumn("before", F.lag(key).over(by.orderBy(pos))).filter(F.col("before") >= F.col(key)).drop("before")
+def out_of_order(run: DataFrame, key: str = "k", pos: str = "pos", part: str | None = None, parts: int = 64) -> DataFrame:
+    """Rows whose key isn't above the one before in the run: a writer of sorted files must refuse them.
+
+    Without ``part`` the run is cut into ranges of the position, and a range's first row follows the last key of the ranges before, of which there is one for each range.
+    """
+    if part:
+        return run.withColumn("before", F.lag(key).over(Window.partitionBy(part).orderBy(pos))).filter(F.col("before") >= F.col(key)).drop("before")
+    ranged = run.withColumn("_part", resolve.range_part(F.col(pos), resolve.cuts(run, pos, parts)))
+    tops = ranged.groupBy("_part").agg(F.max_by(F.struct(F.col(key).alias("key")), F.struct(pos)).alias("_top"))
+    carried = tops.select("_part", F.lag("_top.key").over(Window.orderBy("_part")).alias("_carried"))
+    by = Window.partitionBy("_part").orderBy(pos)
+    near = ranged.withColumn("_turn", F.row_number().over(by)).withColumn("_before", F.lag(key).over(by)).join(F.broadcast(carried), "_part")
+    return near.filter(F.when(F.col("_turn") == 1, F.col("_carried")).otherwise(F.col("_before")) >= F.col(key)).select(*[F.col(f"`{c}`") for c in run.columns])
 
 
 def ingest(log: DataFrame, files: DataFrame, seq: str = "seq", behind: bool = False) -> DataFrame:
