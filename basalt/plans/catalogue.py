@@ -125,11 +125,12 @@ def kv_may_exist(spark, d):
 # deletions
 
 TOMBS = "tombs AS (SELECT p_partkey * 37 % 1000 AS begin_k, p_partkey * 37 % 1000 + p_size % 20 AS end_k, p_partkey * 13 % 5000 AS seq FROM part WHERE p_partkey % 7 = 0)"
+ALL_TOMBS = TOMBS.replace(" WHERE p_partkey % 7 = 0", "")
 
 
-def tombstones(spark, d):
+def tombstones(spark, d, every=False):
     p = F.col("p_partkey")
-    own = logs.table(spark, d, "part").filter(p % 7 == 0)
+    own = logs.table(spark, d, "part").filter(F.lit(every) | (p % 7 == 0))
     return own.select(F.lit("default").alias("cf"), (p * 37 % 1000).alias("begin_k"), (p * 37 % 1000 + F.col("p_size") % 20).alias("end_k"), (p * 13 % 5000).alias("seq"))
 
 
@@ -154,6 +155,18 @@ def kv_tombstone_fragments(spark, d):
     return resolve.fragments(tombstones(spark, d)).select("begin_k", "end_k", "seq")
 
 
+@q(f"SELECT k, seq, v FROM (SELECT * FROM ord QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) o WHERE op NOT IN (0, 7) AND NOT EXISTS (SELECT 1 FROM tombs t WHERE t.begin_k <= o.k AND o.k < t.end_k AND t.seq > o.seq)".replace("SELECT k, seq", f"WITH {WITH['ord']}, {ALL_TOMBS} SELECT k, seq", 1))
+def kv_range_delete_all(spark, d):
+    """kv_range_delete with a tombstone from every part."""
+    return resolve.resolve(logs.order_log(spark, d), tombstones=tombstones(spark, d, every=True)).select("k", "seq", "v")
+
+
+@q(f"WITH {ALL_TOMBS}, live AS (SELECT * FROM tombs WHERE begin_k < end_k), pts AS (SELECT begin_k AS p FROM live UNION SELECT end_k FROM live), seg AS (SELECT p AS begin_k, lead(p) OVER (ORDER BY p) AS end_k FROM pts) SELECT s.begin_k, s.end_k, max(t.seq) AS seq FROM seg s JOIN live t ON t.begin_k <= s.begin_k AND s.end_k <= t.end_k GROUP BY s.begin_k, s.end_k")
+def kv_tombstone_fragments_all(spark, d):
+    """kv_tombstone_fragments of every part's tombstone."""
+    return resolve.fragments(tombstones(spark, d, every=True)).select("begin_k", "end_k", "seq")
+
+
 # merge operators
 
 
