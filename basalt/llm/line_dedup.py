@@ -2,23 +2,31 @@
 
 Lines are sets of words. Words are ordered by rarity over the whole corpus; two sets with a
 Jaccard index of at least t share a word in their prefixes, the first n - ceil(t n) + 1 words of
-each. Prefix words are the keys of the join; sizes, positions and a 64-bit parity
+each. Prefix words are the keys of the join; sizes, positions and a parity
 signature (each word flips one bit, so differing bits bound differing words) drop most pairs inside a key's
 group, and what is left is verified on the sets. A line goes if an earlier one, by
 (doc_id, text, place), is that similar; lines are judged on the input, so removed ones count too.
 
 A word that more than LIMIT lines may hold isn't a key by itself: it is one together
-with each later word of a prefix longer by one, which similar lines share too.
+with each later word of a prefix longer by one, which similar lines share too. A key that still has more
+than GROUP sets is refined by one more word in a further round, and a task stops sending a key's postings
+at that number, so no group of postings grows without bound. In a large group a set takes its closest candidates
+only; a set that they don't settle takes all, in a round of its own. So no group's pairs are all written.
 
-Defined results: a null text has no lines and stays null. Lines of fewer than ``min_words`` different words stay.
+Sets are told apart by 64-bit hashes of their words: among s different sets about s * s / 2**65 pairs are taken
+for equal, 0.0004 for a hundred million sets.
+
+Defined results: a null text has no lines and stays null, an empty one has one line without words. Lines of fewer than
+``min_words`` different words, and those without a word, stay. Texts and lines may be of any length. An empty table gives an empty one.
 Rows equal in doc_id and text are one document and get one result. Null doc_ids come first.
-Further columns stay as they are, and n_chars, where there is one, follows the text.
+Further columns stay as they are, whatever their names, and n_chars, where there is one, follows the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +44,27 @@ from basalt.plans.ship import ship
 PLACES = 1 << 17
 #: Most lines that may hold a word which is a key alone.
 LIMIT = 5_000
-#: The class of words in more than LIMIT lines; rarer ones have lower classes.
-HOT = 63
+#: Words of the corpus for each bucket of keys, by which their number is chosen.
+BUCKET = 2_000_000
 #: Postings that a task holds before it sends them.
 POSTINGS = 200_000
-#: Bytes of input for each bucket of keys, by which their number is chosen.
-BUCKET = 16 << 20
+#: Postings of one key that a task sends, and sets of a group that are compared; beyond either the key is refined by one more word.
+GROUP = 8_192
 #: Lines whose numbers fit into a sort key of 64 bits beside 44 bits of a word.
 LINES = 1 << 20
-WIDE = [f"s{j}" for j in range(8)]
-NAMES = ["a", "b", "d", "best", "doc_id", "h", "line", "id"]
-#: Sets of a group all of whose pairs are tried at once.
-SMALL = 12
+#: Longest sets whose signature has 64 bits; those of longer ones have 256.
+SHORT = 48
+NAMES = ["a", "b", "d", "doc_id", "h", "line", "id"]
+#: Sets of a group all of whose pairs are candidates.
+SMALL = 8
+#: Candidates that a set takes from a larger group, and how many if the closest is doubtful.
+CLOSE, DOUBTFUL = 3, 48
 #: Sets that a task remembers.
 SEEN = 500_000
 #: Words of the bitmap of ids whose sets are needed for verification; it lets more ids pass where they are many.
 BITMAP = 1 << 17
+#: What a row of no pair is: the name of a key to refine, a set with the name of a key that has further candidates for it.
+REFINE, FURTHER = -1, -2
 
 
 def line_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,8 +101,13 @@ def frequencies(docs: DataFrame, text: str) -> np.ndarray:
     return total
 
 
+def rarities(often: np.ndarray) -> np.ndarray:
+    """Classes of frequencies, two for each power of two; 2**31 and more are one."""
+    return np.minimum(63, np.log2(1.0 + often) * 2).astype(np.uint8)
+
+
 def word_sets(texts: list[str], rarity: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """Lines' sets, words in order of rarity: word hashes, start of each set, its size, its text's number and place, its id and signature."""
+    """Lines' sets, words in order of rarity: word hashes, start of each set, its size, its text's number and place, its id and signature (a row of four longs)."""
     h, line, doc, place = line_words(texts)
     rare, low = rarity[places(h)].astype(np.uint64), h & np.uint64((1 << 38) - 1)
     if len(doc) <= LINES:
@@ -106,11 +124,24 @@ def word_sets(texts: list[str], rarity: np.ndarray, min_words: int) -> tuple[np.
     h, n, doc, place = h[stay], n[ok], doc[ok], place[ok]
     start = np.cumsum(n) - n
     if not len(n):
-        none = np.zeros(0, np.uint64)
-        return h, start, n, doc, place, none, none
+        return h, start, n, doc, place, np.zeros(0, np.uint64), np.zeros((0, 4), np.uint64)
     ids = mix(np.add.reduceat(mix(h + np.uint64(1)), start) + n.astype(np.uint64))
-    sig = np.bitwise_xor.reduceat(np.uint64(1) << (mix(h) >> np.uint64(58)), start)
-    return h, start, n, doc, place, ids, sig
+    return h, start, n, doc, place, ids, signatures(h, start, n)
+
+
+def signatures(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Parity signatures, a row of four longs for each set: the first is of all words, the others are of those of long sets."""
+    bit = mix(h)
+    one = np.uint64(1) << (bit >> np.uint64(58))
+    sig = np.zeros((len(n), 4), np.uint64)
+    long = n > SHORT
+    if not long.any():
+        sig[:, 0] = np.bitwise_xor.reduceat(one, start)
+        return sig
+    word = np.where(np.repeat(long, n), bit & np.uint64(3), np.uint64(0))
+    for j in range(4):
+        sig[:, j] = np.bitwise_xor.reduceat(np.where(word == j, one, np.uint64(0)), start)
+    return sig
 
 
 def overlap(n: np.ndarray, m: np.ndarray, t: Fraction) -> np.ndarray:
@@ -119,12 +150,61 @@ def overlap(n: np.ndarray, m: np.ndarray, t: Fraction) -> np.ndarray:
     return -(-(a * (n + m)) // b)
 
 
-def _send(rarity: np.ndarray, t: Fraction, min_words: int, buckets: int, cuts: np.ndarray):
+def rounds_of(t: Fraction) -> int:
+    """How often a key may be refined: sets that can be similar without being equal share as many words as the smallest of them has."""
+    return max(0, -(-t.numerator // (t.denominator - t.numerator)) - 2) if t < 1 else 0
+
+
+def key_name(key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """A key's name in bitmaps, from what its postings carry."""
+    return mix(key.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(32)))
+
+
+def prefix_keys(h: np.ndarray, start: np.ndarray, n: np.ndarray, new: np.ndarray, hot: np.ndarray, t: Fraction, buckets: int, refined: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Key, bucket, owner and place of the first word of the postings of the new sets.
+
+    The first common word of similar sets is in both prefixes, of n - ceil(t n) + 1 words; the second one in prefixes
+    longer by one, and so on. A hot word is a key only with one more, a key that a bitmap of ``refined`` has only with one more again;
+    with such bitmaps only what the last of them refines is sent.
+    """
+    # sets so small that one word more or less makes them unlike have only equal partners, which share their id
+    new = new & (t.denominator * n >= t.numerator * (n + 1))
+    prefix = np.where(new, n - (-(-(t.numerator * n) // t.denominator)) + 1, 0)
+
+    def named(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (key >> np.uint64(32)).astype(np.uint32), ((key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+
+    def longer(key: np.ndarray, own: np.ndarray, first: np.ndarray, last: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        more = np.maximum(np.minimum(prefix[own] + words, n[own]) - last - 1, 0)
+        who = np.repeat(np.arange(len(key)), more)
+        at = last[who] + np.arange(len(who)) - np.repeat(np.cumsum(more) - more, more) + 1
+        return mix(key[who] * np.uint64(3) + mix(h[start[own[who]] + at])), own[who], first[who], at, words[who] + 1
+
+    own = np.repeat(np.arange(len(n)), prefix)
+    pos = np.arange(len(own)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+    words = h[start[own] + pos]
+    often = hot[places(words)]
+    held = (mix(words), own, pos, pos, np.ones(len(own), np.int64))
+    if often.any():
+        held = tuple(np.concatenate(c) for c in zip((c[~often] for c in held), longer(*(c[often] for c in held))))
+    for bitmap in refined:
+        deeper = in_bitmap(bitmap, key_name(*named(held[0])))
+        held = longer(*(c[deeper] for c in held))
+    key, bucket = named(held[0])
+    return key, bucket, held[1], held[2]
+
+
+SENT = "bucket int, doc_id {id}, h bigint, line int, id bigint, held binary"
+
+
+def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buckets: int, cuts: np.ndarray, refined: list[np.ndarray] | None = None, wanted: np.ndarray | None = None):
     """A row for each line with its set's id, and for each bucket of keys the postings of a batch of texts.
 
-    A posting has a hint of where its document comes, the number of the range of ids between the cuts.
+    A posting has a hint of where its document comes, the number of the range of ids between the cuts: the least of a set's postings
+    is that of its first line. With ``refined`` keys, or only those that the bitmap ``wanted`` has, no lines are sent.
+    A task that meets a key too often sends it for refinement, and no more of its postings.
     """
-    hot = rarity == HOT
+    partly = bool(refined) or wanted is not None
 
     def hints(ids: pa.Array) -> np.ndarray:
         if not pa.types.is_integer(ids.type):
@@ -132,95 +212,89 @@ def _send(rarity: np.ndarray, t: Fraction, min_words: int, buckets: int, cuts: n
         low = np.iinfo(ids.type.to_pandas_dtype()).min
         return np.searchsorted(cuts, ids.fill_null(low).to_numpy(), side="right").astype(np.uint16)
 
-    def postings(h: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray, sig: np.ndarray, new: np.ndarray, hint: np.ndarray) -> tuple[np.ndarray, ...]:
-        # sets so small that one word more or less makes them unlike have only equal partners, which share their id
-        new = new & (t.denominator * n >= t.numerator * (n + 1))
-        prefix = np.where(new, n - (-(-(t.numerator * n) // t.denominator)) + 1, 0)
-        owner = np.repeat(np.arange(len(n)), prefix)
-        pos = np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-        words = h[start[owner] + pos]
-        often = hot[places(words)]
-        keys, own, at = [words[~often]], [owner[~often]], [pos[~often]]
-        if often.any():
-            w, o, p = words[often], owner[often], pos[often]
-            more = np.minimum(prefix[o] + 1, n[o]) - p - 1
-            who = np.repeat(np.arange(len(w)), more)
-            step = np.arange(len(who)) - np.repeat(np.cumsum(more) - more, more) + 1
-            keys.append(mix(w[who] * np.uint64(3) + mix(h[start[o[who]] + p[who] + step])))
-            own.append(o[who])
-            at.append(p[who])
-        keys, own, at = np.concatenate(keys), np.concatenate(own), np.concatenate(at)
-        keys = mix(keys)
-        return (keys >> np.uint64(32)).astype(np.uint32), ids[own], sig[own], n[own].astype(np.int32), at.astype(np.int32), hint[own], ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        met = np.zeros(1 << 16, np.int64)
+        last = len(refined or ()) >= rounds_of(t) or wanted is not None
+
+        def row(bucket: np.ndarray, ids: np.ndarray | None, blobs: list[bytes] | None) -> pa.RecordBatch:
+            k = len(bucket)
+            own = pa.nulls(k, pa.int64()) if ids is None else pa.array(ids.view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), own, pa.nulls(k, pa.binary()) if blobs is None else pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "h", "line", "id", "held"])
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             cols = [np.concatenate(c) for c in zip(*held)]
             held.clear()
-            bucket = cols.pop()
+            bucket = cols.pop(1)
+            if not last:
+                # a place's count is an upper bound of its keys'; keys that are refined without need lose nothing
+                place = (key_name(cols[0], bucket) >> np.uint64(48)).astype(np.int64)
+                np.add(met, np.bincount(place, minlength=len(met)), out=met)
+                over = met[place] > GROUP
+                if over.any():
+                    key, first = np.unique(key_name(cols[0], bucket)[over], return_index=True)
+                    yield row(bucket[over][first], key, None)
+                    bucket, cols = bucket[~over], [c[~over] for c in cols]
+                if not len(bucket):
+                    return
             order = np.argsort(bucket, kind="stable")
             bucket, cols = bucket[order], [c[order] for c in cols]
             cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(order)]
-            blobs = [pack_blob(*[c[i:j] for c in cols]) for i, j in zip(cut[:-1], cut[1:])]
-            k = len(blobs)
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "h", "line", "id", "held"])
+            yield row(bucket[cut[:-1]], None, [pack_blob(*[c[i:j] for c in cols]) for i, j in zip(cut[:-1], cut[1:])])
 
+        kind = pa.null()
         for batch in batches:
-            row, kind, order_of = 0, batch.column(0).type, hints(batch.column(0))
+            at, kind, order_of = 0, batch.column(0).type, hints(batch.column(0))
             for part in text_batches(batch.column(2)):
                 h, start, n, doc, place, ids, sig = word_sets(part, rarity, min_words)
-                docs, hint = pa.array(doc + row), order_of[doc + row]
-                row += len(part)
+                docs, hint = pa.array(doc + at), order_of[doc + at]
+                at += len(part)
                 k = len(n)
                 if not k:
                     continue
-                bucket = pa.array((ids % np.uint64(buckets)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([bucket, batch.column(0).take(docs), batch.column(1).take(docs), pa.array(place.astype(np.int32)), pa.array(ids.view(np.int64)), pa.nulls(k, pa.binary())], names=["bucket", "doc_id", "h", "line", "id", "held"])
-                # a set that this task has met before has its postings already
+                if not partly:
+                    bucket = pa.array((ids % np.uint64(buckets)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([bucket, batch.column(0).take(docs), batch.column(1).take(docs), pa.array(place.astype(np.int32)), pa.array(ids.view(np.int64)), pa.nulls(k, pa.binary())], names=["bucket", "doc_id", "h", "line", "id", "held"])
+                # a set that this task has met before, not later in the order, has its postings already
                 if len(seen) > SEEN:
                     seen.clear()
                 new = np.zeros(k, bool)
-                for i, x in enumerate(ids.tolist()):
-                    if x not in seen:
-                        seen.add(x)
+                for i, (x, w) in enumerate(zip(ids.tolist(), hint.tolist())):
+                    if seen.get(x, 1 << 16) > w:
+                        seen[x] = w
                         new[i] = True
-                held.append(postings(h, start, n, ids, sig, new, hint))
-                size += len(held[-1][0])
+                key, bucket, own, pos = prefix_keys(h, start, n, new, hot, t, buckets, refined or [])
+                if wanted is not None:
+                    some = in_bitmap(wanted, key_name(key, bucket))
+                    key, bucket, own, pos = key[some], bucket[some], own[some], pos[some]
+                if not len(key):
+                    continue
+                held.append((key, bucket, ids[own], sig[own], n[own].astype(np.int32), pos.astype(np.int32), hint[own]))
+                size += len(key)
                 if size > POSTINGS:
-                    yield flush()
+                    yield from flush()
                     size = 0
         if size:
-            yield flush()
+            yield from flush()
 
     return run
 
 
 def pack_blob(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, hint: np.ndarray) -> bytes:
-    return len(key).to_bytes(4, "little") + key.tobytes() + ids.tobytes() + sig.tobytes() + zstandard.compress(n.tobytes() + pos.tobytes() + hint.tobytes(), 1)
+    long = sig[n > SHORT, 1:]
+    return len(key).to_bytes(4, "little") + len(long).to_bytes(4, "little") + key.tobytes() + ids.tobytes() + sig[:, 0].tobytes() + long.tobytes() + zstandard.compress(n.tobytes() + pos.tobytes() + hint.tobytes(), 1)
 
 
 def unpack_blob(x: bytes) -> tuple[np.ndarray, ...]:
-    m = int.from_bytes(x[:4], "little")
-    small = zstandard.decompress(x[4 + 20 * m :])
-    return (
-        np.frombuffer(x, np.uint32, m, 4), np.frombuffer(x, np.uint64, m, 4 + 4 * m), np.frombuffer(x, np.uint64, m, 4 + 12 * m),
-        np.frombuffer(small, np.int32, m), np.frombuffer(small, np.int32, m, 4 * m), np.frombuffer(small, np.uint16, m, 8 * m),
-    )
-
-
-def wide_signatures(words: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    """Parity signatures of 512 bits, as eight longs, of sets of words."""
-    k = len(offsets) - 1
-    place = mix(words + np.uint64(2)) >> np.uint64(55)
-    owner = np.repeat(np.arange(k), np.diff(offsets))
-    parity = np.zeros(k * 512, np.uint8)
-    np.bitwise_xor.at(parity, owner * 512 + place.astype(np.int64), np.uint8(1))
-    longs = np.packbits(parity.reshape(k, 512), axis=1, bitorder="little").view("<i8")
-    return [pa.array(np.ascontiguousarray(longs[:, j])) for j in range(8)]
+    m, w = int.from_bytes(x[:4], "little"), int.from_bytes(x[4:8], "little")
+    small = zstandard.decompress(x[8 + 20 * m + 24 * w :])
+    n = np.frombuffer(small, np.int32, m)
+    sig = np.zeros((m, 4), np.uint64)
+    sig[:, 0] = np.frombuffer(x, np.uint64, m, 8 + 12 * m)
+    sig[n > SHORT, 1:] = np.frombuffer(x, np.uint64, 3 * w, 8 + 20 * m).reshape(w, 3)
+    return np.frombuffer(x, np.uint32, m, 8), np.frombuffer(x, np.uint64, m, 8 + 4 * m), sig, n, np.frombuffer(small, np.int32, m, 4 * m), np.frombuffer(small, np.uint16, m, 8 * m)
 
 
 def bitmap_of(ids: DataFrame) -> np.ndarray:
@@ -267,25 +341,121 @@ def _sets(rarity: np.ndarray, min_words: int, bitmap: np.ndarray):
                     offsets = np.r_[0, np.cumsum([len(w) for w in out_words])].astype(np.int32)
                     flat = np.concatenate(out_words)
                     words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids).view(np.int64)), words, *wide_signatures(flat, offsets)], names=["id", "words", *WIDE])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids).view(np.int64)), words], names=["id", "words"])
                     out_ids, out_words = [], []
 
     return run
 
 
-def _meet(t: Fraction):
-    """Candidates (a, b, d: differing signature bits, best) among the postings of each bucket; rows of lines pass.
+def _meet(t: Fraction, last: bool = False, open_: np.ndarray | None = None):
+    """Candidates (a, b, d: differing signature bits) among the postings of each bucket; rows of lines and of keys to refine pass.
 
-    In a group of more than SMALL sets, the best candidate of a set is the closest of those that the hints put before it; the
-    others are kept for sets that the best ones don't settle.
+    Sets of a large group take the closest of the candidates that the hints don't put behind them, and a row tells if there are further ones.
+    A group over GROUP is refined, unless its keys are the ``last``. With a bitmap ``open_`` all candidates of its sets are taken.
     """
-
-    def close(n: np.ndarray, m: np.ndarray, p: np.ndarray, o: np.ndarray, s: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        least = overlap(n, m, t)
-        d = np.bitwise_count(s ^ r)
-        return (least <= np.minimum(n, m)) & (d <= n + m - 2 * least) & (np.minimum(n - p, m - o) >= least), d
-
-    def pairs(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, hint: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    tables: list[np.ndarray] = []
+
+    def least_of(total: np.ndarray) -> np.ndarray:
+        """Least number of common words by the sum of two sizes."""
+        most = int(total.max(initial=0)) + 1
+        if not tables or len(tables[0]) < most:
+            tables[:] = [overlap(np.arange(2 * most), 0, t)]
+        return tables[0][total]
+
+    def sift(x: np.ndarray, y: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs (x, y) that can be similar, their differing bits and the most that they may have."""
+        a, b = n[x], n[y]
+        least = least_of(a + b)
+        gap = a + b - 2 * least
+        d = np.bitwise_count(sig[x, 0] ^ sig[y, 0]).astype(np.int64)
+        ok = (least <= np.minimum(a, b)) & (np.minimum(a - pos[x], b - pos[y]) >= least) & ((d <= gap) | (a > SHORT) | (b > SHORT))
+        x, y, d, gap, both = x[ok], y[ok], d[ok], gap[ok], (a > SHORT)[ok]
+        # signatures of different lengths are compared folded to one word
+        other = (b > SHORT)[ok]
+        wide = np.flatnonzero(both | other)
+        if len(wide):
+            p, q = sig[x[wide]], sig[y[wide]]
+            same = (both & other)[wide]
+            d[wide] = np.where(same, np.bitwise_count(p ^ q).sum(axis=1), np.bitwise_count(np.bitwise_xor.reduce(p, axis=1) ^ np.bitwise_xor.reduce(q, axis=1)))
+            ok = d <= gap
+            x, y, d, gap = x[ok], y[ok], d[ok], gap[ok]
+        return x, y, d, gap
+
+    def closest(one: np.ndarray, two: np.ndarray, d: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each ``one`` its closest candidates; and which have further ones."""
+        order = np.lexsort((two, d, one))
+        one, two, d, gap = one[order], two[order], d[order], gap[order]
+        first = np.flatnonzero(np.r_[True, one[1:] != one[:-1]]) if len(one) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[first, len(one)])
+        rank = np.arange(len(one)) - np.repeat(first, sizes)
+        doubt = np.repeat(2 * d[first] > gap[first], sizes)
+        stay = rank < np.where(doubt, DOUBTFUL, CLOSE)
+        return one[stay], two[stay], d[stay], gap[stay], np.unique(one[~stay])
+
+    def large(f: int, e: int, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, hint: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Candidates among the sets f to e, in order of size."""
+        found: list[tuple[np.ndarray, ...]] = []
+        further = [np.zeros(0, np.int64)]
+        held = 0
+        top = np.where(n[f:e] > SHORT, np.bitwise_xor.reduce(sig[f:e], axis=1), sig[f:e, 0])
+
+        def squeeze() -> None:
+            one, two, d, gap, more = closest(*(np.concatenate(c) for c in zip(*found)))
+            found[:] = [(one, two, d, gap)]
+            further.append(more)
+
+        def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+            total = int(n[a].max() + n[b].max())
+            most = total - 2 * int(overlap(np.int64(total), 0, t)) + 1
+            x, y = np.nonzero(np.bitwise_count(top[a - f, None] ^ top[None, b - f]) <= most)
+            x, y = a[x], b[y]
+            apart = x != y
+            return x[apart], y[apart]
+
+        def take(x: np.ndarray, y: np.ndarray, both: bool) -> None:
+            nonlocal held
+            x, y, d, gap = sift(x, y, sig, n, pos)
+            for one, two in ((x, y), (y, x)) if both else ((x, y),):
+                behind = hint[two] <= hint[one]
+                found.append((one[behind], two[behind], d[behind], gap[behind]))
+                held += len(found[-1][0])
+            if held > 400_000 and open_ is None:
+                squeeze()
+                held = len(found[0][0])
+
+        act = f + np.flatnonzero(rows[f:e])
+        if last and open_ is None and e - f > GROUP:
+            # most of a group without end are copies of a pattern: the sets that come first are tried by all, and the rest only by those that they leave open
+            lead = np.sort(f + np.argsort(hint[f:e], kind="stable")[:256])
+            for at in range(0, len(act), 4096):
+                take(*near(act[at : at + 4096], lead), False)
+            if found:
+                squeeze()
+                one, _, d, gap = found[0]
+                sure = np.unique(one[2 * d <= gap])
+                further.append(sure)
+                act = np.setdiff1d(act, sure, assume_unique=True)
+        if len(act) == e - f:
+            for at in range(f, e, 512):
+                a = np.arange(at, min(at + 512, e))
+                for to in range(at, e, 2048):
+                    if t.numerator * int(n[to]) > t.denominator * int(n[a[-1]]):
+                        break  # sizes ascend
+                    x, y = near(a, np.arange(to, min(to + 2048, e)))
+                    take(x[x < y], y[x < y], True)
+        else:
+            for at in range(0, len(act), 512):
+                a = act[at : at + 512]
+                low, high = np.searchsorted(n[f:e], [-(-int(n[a[0]]) * t.numerator // t.denominator), int(n[a[-1]]) * t.denominator // t.numerator + 1])
+                for to in range(f + int(low), f + int(high), 2048):
+                    take(*near(a, np.arange(to, min(to + 2048, f + int(high)))), False)
+        if found and open_ is None:
+            squeeze()
+        one, two, d = (np.concatenate([c[j] for c in found]) if found else np.zeros(0, np.int64) for j in range(3))
+        return one, two, d, np.unique(np.concatenate(further))
+
+    def settle(bucket: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        key, ids, sig, n, pos, hint = (np.concatenate(c) for c in zip(*map(unpack_blob, held)))
         order = np.lexsort((hint, ids, (key.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)))
         key, ids, sig, n, pos, hint = key[order], ids[order], sig[order], n[order].astype(np.int64), pos[order].astype(np.int64), hint[order]
         once = np.r_[True, (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])]
@@ -293,49 +463,52 @@ def _meet(t: Fraction):
         sizes = np.diff(np.r_[first, int(once.sum())])
         many = np.repeat(sizes > 1, sizes)
         key, ids, sig, n, pos, hint, size = (c[once][many] for c in (key, ids, sig, n, pos, hint, np.repeat(sizes, sizes)[np.cumsum(once) - 1]))
-        rows = size <= SMALL
-        k, i, s, m, p = key[rows], ids[rows], sig[rows], n[rows], pos[rows]
+        name = key_name(key, np.full(len(key), bucket))
+        if not last and open_ is None and (size > GROUP).any():
+            deeper = size > GROUP
+            yield rows_of(np.unique(name[deeper]), None, REFINE)
+            key, ids, sig, n, pos, hint, size, name = (c[~deeper] for c in (key, ids, sig, n, pos, hint, size, name))
+        rows = np.ones(len(ids), bool) if open_ is None else in_bitmap(open_, ids)
+        one, two, gap = [], [], []
+        small = np.flatnonzero(size <= SMALL)
+        k = key[small]
         for step in range(1, SMALL):
             x = np.flatnonzero(k[step:] == k[:-step]) if len(k) > step else np.zeros(0, np.int64)
             if not len(x):
                 break
-            y = x + step
-            ok, d = close(m[x], m[y], p[x], p[y], s[x], s[y])
-            yield i[x][ok], i[y][ok], d[ok], np.ones(int(ok.sum()), bool)
-        k, i, s, m, p, w = key[~rows], ids[~rows], sig[~rows], n[~rows], pos[~rows], hint[~rows]
+            x, y, d, _ = sift(small[x], small[x + step], sig, n, pos)
+            some = rows[x] | rows[y]
+            one.append(x[some])
+            two.append(y[some])
+            gap.append(d[some])
+        big = np.flatnonzero(size > SMALL)
+        k = key[big]
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
         for f, e in zip(starts, np.r_[starts[1:], len(k)]):
-            none = np.iinfo(np.int64).max
-            best = np.full(e - f, none)
-            for at in range(f, e, 512):
-                a = slice(at, min(at + 512, e))
-                for to in range(at, e, 2048):
-                    if t.numerator * int(m[to]) > t.denominator * int(m[a.stop - 1]):
-                        break  # sizes ascend
-                    b = slice(to, min(to + 2048, e))
-                    ok, d = close(m[a, None], m[None, b], p[a, None], p[None, b], s[a, None], s[None, b])
-                    x, y = np.nonzero(ok)
-                    apart = at + x < to + y
-                    x, y = x[apart], y[apart]
-                    gap, x, y = d[x, y].astype(np.int64) << 40, at + x, to + y
-                    yield i[x], i[y], gap >> 40, np.zeros(len(x), bool)
-                    for one, two in ((x, y), (y, x)):
-                        before = w[two] <= w[one]
-                        np.minimum.at(best, one[before] - f, gap[before] + two[before])
-            one = np.flatnonzero(best != none)
-            two = best[one] & ((1 << 40) - 1)
-            yield i[f + one], i[two], best[one] >> 40, np.ones(len(one), bool)
-
-    def settle(held: list[bytes]) -> pa.RecordBatch:
-        found = list(pairs(*[np.concatenate(c) for c in zip(*map(unpack_blob, held))]))
-        a, b, d, best = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, kind_) for j, kind_ in enumerate((np.uint64, np.uint64, np.int64, bool)))
-        a, b, d = a.view(np.int64), b.view(np.int64), d.astype(np.int32)
+            f, e = int(big[f]), int(big[e - 1]) + 1
+            if not rows[f:e].any():
+                continue
+            x, y, d, more = large(f, e, sig, n, pos, hint, rows)
+            one.append(x)
+            two.append(y)
+            gap.append(d)
+            if len(more):
+                yield rows_of(ids[more], name[more], FURTHER)
+        if not one:
+            return
+        x, y, d = np.concatenate(one), np.concatenate(two), np.concatenate(gap)
+        a, b = ids[x].view(np.int64), ids[y].view(np.int64)
         lo, hi = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((~best, hi, lo))
-        lo, hi, d, best = lo[order], hi[order], d[order], best[order]
-        new = (np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])] if len(lo) else np.zeros(0, bool)) & (lo != hi)
-        k = int(new.sum())
-        return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new]), pa.array(d[new]), pa.array(best[new]), pa.nulls(k, kind[0]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=NAMES)
+        order = np.lexsort((hi, lo))
+        lo, hi, d = lo[order], hi[order], d[order]
+        new = np.ones(len(lo), bool)
+        new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        yield rows_of(lo[new], hi[new], d[new])
+
+    def rows_of(a: np.ndarray, b: np.ndarray | None, d: np.ndarray | int) -> pa.RecordBatch:
+        k = len(a)
+        d = np.full(k, d) if isinstance(d, int) else d
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.nulls(k, pa.int64()) if b is None else pa.array(b.view(np.int64)), pa.array(d.astype(np.int32)), pa.nulls(k, kind[0]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=NAMES)
 
     kind: list[pa.DataType] = []
 
@@ -344,24 +517,27 @@ def _meet(t: Fraction):
         now = None
         for batch in batches:
             kind[:] = [batch.column(1).type]
-            lines = batch.filter(batch.column(5).is_null())
+            passing = batch.filter(batch.column(5).is_null())
+            lines, keys = passing.filter(passing.column(3).is_valid()), passing.filter(passing.column(3).is_null())
             if lines.num_rows:
                 k = lines.num_rows
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.bool_()), *[lines.column(j) for j in (1, 2, 3, 4)]], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), *[lines.column(j) for j in (1, 2, 3, 4)]], names=NAMES)
+            if keys.num_rows:
+                yield rows_of(keys.column(4).to_numpy().view(np.uint64), None, REFINE)
             sent = batch.filter(batch.column(5).is_valid())
             for bucket, x in zip(sent.column(0).to_pylist(), sent.column(5).to_pylist()):
                 if bucket != now and held:
-                    yield settle(held)
+                    yield from settle(now, held)
                     held = []
                 now = bucket
                 held.append(x)
         if held:
-            yield settle(held)
+            yield from settle(now, held)
 
     return run
 
 
-def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = 0.8, min_words: int = 5) -> DataFrame:
+def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = 0.8, min_words: int = 1) -> DataFrame:
     """One row for each different (doc_id, text) with a removed line: doc_id, h (hash of the text), removed (places of lines, from 0)."""
     spark = docs.sparkSession
     ship(spark)
@@ -372,29 +548,63 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     min_words = max(min_words, 1)
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("text is not null")
     often = frequencies(own, "text")
-    rarity = np.where(often > LIMIT, HOT, np.minimum(HOT - 1, np.log2(1.0 + often) * 4)).astype(np.uint8)
-    size = int(str(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET) if size < 1 << 60 else 0)
+    rarity, hot = rarities(often), often > LIMIT
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(often.sum()) // BUCKET))
     kind = docs.schema[doc_id].dataType.simpleString()
     cuts = np.zeros(0, np.int64)
     if kind in ("tinyint", "smallint", "int", "bigint"):
         cuts = np.array(sorted(set(own.agg(F.percentile_approx("doc_id", [i / 1000 for i in range(1, 1000)], 10_000)).first()[0] or [])), np.int64)
-    sent = own.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_send(rarity, exact, min_words, buckets, cuts), f"bucket int, doc_id {kind}, h bigint, line int, id bigint, held binary")
-    met = scratch.write(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(exact), f"a bigint, b bigint, d int, best boolean, doc_id {kind}, h bigint, line int, id bigint"))
-    found, pairs = met.filter("a is null").select("doc_id", "h", "line", "id"), met.filter("a is not null")
+    hashed = own.select("doc_id", F.xxhash64("text").alias("h"), "text")
+
+    def met(last: bool, open_: np.ndarray | None = None, **which) -> DataFrame:
+        sent = hashed.mapInArrow(_send(rarity, hot, exact, min_words, buckets, cuts, **which), SENT.format(id=kind))
+        return scratch.write(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(exact, last, open_), f"a bigint, b bigint, d int, doc_id {kind}, h bigint, line int, id bigint"))
+
+    rounds = rounds_of(exact)
+    turns = [met(rounds == 0)]
+    found = turns[0].filter("line is not null").select("doc_id", "h", "line", "id")
+    refined: list[np.ndarray] = []
+    while len(refined) < rounds:
+        deeper = turns[-1].filter(F.col("d") == REFINE)
+        if deeper.isEmpty():
+            break
+        refined.append(bitmap_of(deeper.select(F.col("a").alias("id"))))
+        turns.append(met(len(refined) == rounds, refined=list(refined)))
     line = F.struct("doc_id", "h", "line")
     first = scratch.write(found.groupBy("id").agg(F.min(line).alias("first"), F.count("*").alias("n")))
-    # bitmaps keep rows that don't matter out of the joins: most sets have no candidate and stand once
-    bitmap = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    known = first.filter(may_have(bitmap)(F.col("id"))).select("id", "first")
-    sets = scratch.write(own.select("text").mapInArrow(_sets(rarity, min_words, bitmap), "id bigint, words array<bigint>, " + ", ".join(f"{c} bigint" for c in WIDE)))
-    # the best candidates first; the others only for the sets that those don't settle, of which there are few where groups are large
-    settled = scratch.write(_settled(pairs.filter("best"), known, sets, exact, scratch))
-    others = pairs.filter("not best")
-    open_ = others.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(settled, "id", "left_anti")
-    still = may_have(bitmap_of(open_))
-    late = _settled(others.filter(still(F.col("a")) | still(F.col("b"))), known, sets, exact, scratch, settled)
-    similar = scratch.write(settled.unionByName(late).distinct().withColumn("similar", F.lit(True)))
+
+    def settled(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+        """Ids of the sets with an earlier similar one among the candidates (a, b, d); those ``done`` aren't tried again.
+
+        Of two similar sets the one that comes first as a line stands, and a set's lines after its first go anyway, so a set needs one earlier partner.
+        """
+        needed = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        known = first.filter(may_have(needed)(F.col("id"))).select("id", "first")
+        sets = own.select("text").mapInArrow(_sets(rarity, min_words, needed), "id bigint, words array<bigint>")
+        sets = scratch.write(sets.groupBy("id").agg(F.first("words").alias("words")))
+        of = lambda c: known.select(F.col("id").alias(c), F.col("first").alias(f"first_{c}"))
+        ahead = F.col("first_a") < F.col("first_b")
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        ordered = both.select(F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("earlier"), "d")
+        if done is not None:
+            ordered = ordered.join(done.withColumnRenamed("id", "later"), "later", "left_anti")
+        ordered = scratch.write(ordered)
+        # the likeliest partner is verified first, and the others for those sets only that it doesn't settle
+        likely = scratch.write(ordered.groupBy("later").agg(F.min(F.struct("d", "earlier")).alias("best")).select("later", F.col("best.earlier").alias("earlier")))
+        sure = scratch.write(_verified(likely, sets, exact))
+        rest = scratch.write(ordered.select("later", "earlier").join(sure, "later", "left_anti").join(likely, ["later", "earlier"], "left_anti").distinct())
+        return scratch.write(sure.unionByName(_verified(rest, sets, exact)).distinct().select(F.col("later").alias("id")))
+
+    candidates = lambda table: table.filter("d >= 0").select("a", "b", "d")
+    similar = settled(reduce(DataFrame.unionByName, map(candidates, turns)), None)
+    # sets that none of the closest candidates settled, though there were others
+    open_ = reduce(DataFrame.unionByName, (x.filter(F.col("d") == FURTHER).select(F.col("a").alias("id"), F.col("b").alias("key")) for x in turns)).join(similar, "id", "left_anti")
+    open_ = scratch.write(open_)
+    if not open_.isEmpty():
+        own_ids, keys = bitmap_of(open_.select("id")), bitmap_of(open_.select(F.col("key").alias("id")))
+        again = [candidates(met(True, own_ids, refined=refined[:k], wanted=keys)) for k in range(len(turns))]
+        similar = similar.unionByName(settled(reduce(DataFrame.unionByName, again), similar))
+    similar = scratch.write(similar.withColumn("similar", F.lit(True)))
     near = may_have(bitmap_of(similar.select("id")))
     hit = first.filter((F.col("n") > 1) | near(F.col("id"))).join(similar, "id", "left").filter((F.col("n") > 1) | F.col("similar")).drop("n")
     hit = scratch.write(hit)
@@ -403,31 +613,6 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     return settle(gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed-lines", scratch)
 
 
-def _settled(pairs: DataFrame, first: DataFrame, sets: DataFrame, t: Fraction, scratch: Scratch, done: DataFrame | None = None) -> DataFrame:
-    """Ids of sets with an earlier similar one among the candidates (a, b); those ``done`` aren't tried again.
-
-    Of two similar sets the one that comes first as a line stands, and a set's lines after its first go anyway, so a set needs one earlier partner.
-    """
-    of = lambda c: first.select(F.col("id").alias(c), F.col("first").alias(f"first_{c}"))
-    ahead = F.col("first_a") < F.col("first_b")
-    both = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
-    ordered = both.select(F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("earlier"))
-    if done is not None:
-        ordered = ordered.join(done.withColumnRenamed("id", "later"), "later", "left_anti")
-    # wide signatures drop pairs that the short ones couldn't
-    wide = sets.groupBy("id").agg(*[F.first(c).alias(c) for c in WIDE], F.first(F.size("words")).alias("n"))
-    x, y = (wide.select(F.col("id").alias(c), *[F.col(o).alias(f"{c}_{o}") for o in (*WIDE, "n")]) for c in ("later", "earlier"))
-    differ = sum((F.bit_count(F.col(f"later_{c}").bitwiseXOR(F.col(f"earlier_{c}"))) for c in WIDE[1:]), F.bit_count(F.col("later_s0").bitwiseXOR(F.col("earlier_s0"))))
-    n = F.col("later_n") + F.col("earlier_n")
-    least = F.ceil(F.lit(t.numerator) * n / F.lit(t.numerator + t.denominator)).cast("int")
-    ranked = scratch.write(ordered.join(x, "later").join(y, "earlier").withColumn("d", differ).filter(F.col("d") <= n - 2 * least).select("later", "earlier", "d"))
-    # the likeliest partner is verified first, and the others for those sets only that it doesn't settle
-    likely = scratch.write(ranked.groupBy("later").agg(F.min(F.struct("d", "earlier")).alias("best")).select("later", F.col("best.earlier").alias("earlier")))
-    sure = scratch.write(_verified(likely, sets, t))
-    rest = scratch.write(ranked.select("later", "earlier").join(sure, "later", "left_anti").join(likely, ["later", "earlier"], "left_anti"))
-    return sure.unionByName(_verified(rest, sets, t)).distinct().select(F.col("later").alias("id"))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """The later ones of written pairs whose sets are as similar as t; only the sets of the pairs move."""
     own = sets.select("id", "words").filter(may_have(bitmap_of(pairs.select(F.explode(F.array("later", "earlier")).alias("id"))))(F.col("id")))
@@ -448,7 +633,7 @@ def without(texts: pa.Array, removed: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = 0.8, min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = 0.8, min_words: int = 1) -> DataFrame:
     """The rows of ``docs`` with the removed lines taken out of the text."""
     names = [fresh(n, docs) for n in ("line_id", "line_hash", "line_removed")]
     gone = similar_lines(docs, doc_id, text, t, min_words)

@@ -11,20 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op8_set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_lines counts the pieces between line ends; removed_lines are the places, from 0, of those that go."""
-    return _removed_lines(spark, sf_dir, 5)
-
-
-def op8_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over every line with a word."""
-    return _removed_lines(spark, sf_dir, 1)
-
-
-def _removed_lines(spark: SparkSession, sf_dir: str, min_words: int) -> DataFrame:
+    """n_lines counts the pieces between line ends; removed_lines are the places, from 0, of those that go. Every line with a word is judged."""
     from basalt.llm import line_dedup
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = line_dedup.similar_lines(docs, t=0.8, min_words=min_words).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "removed")
+    gone = line_dedup.similar_lines(docs, t=0.8).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "removed")
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     sized = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"))
     both = sized.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
@@ -37,7 +28,7 @@ WITH l AS (
 ), s AS (
   SELECT doc_id, place, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM l
 ), k AS (
-  SELECT words, len(words) AS n, min((doc_id, place)) AS first, row_number() OVER () AS id FROM s WHERE len(words) >= 5 GROUP BY words
+  SELECT words, len(words) AS n, min((doc_id, place)) AS first, row_number() OVER () AS id FROM s WHERE len(words) >= 1 GROUP BY words
 ), w AS (
   SELECT id, n, unnest(words) AS word FROM k
 ), df AS (
@@ -63,8 +54,6 @@ SELECT d.doc_id, coalesce(len(string_split(any_value(d.text), chr(10))), 0) AS n
 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-OP8_ALL_SQL = OP8_SQL.replace("len(words) >= 5", "len(words) >= 1")
-
 
 def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basalt.llm import quality
@@ -226,5 +215,5 @@ def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_association_rules, op3_relational_format, op4_deletion_variants, op5_recompression, op6_cube_mixing, op7_rank_synchronous, op8_set_similarity, op8_all_lines, op9_repetition_coverage, op10_grouping_genetic)}
-SQL: dict[str, str] = {"op2_association_rules": OP2_SQL, "op5_recompression": OP5_SQL, "op8_set_similarity": OP8_SQL, "op8_all_lines": OP8_ALL_SQL, "op3_relational_format": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_association_rules, op3_relational_format, op4_deletion_variants, op5_recompression, op6_cube_mixing, op7_rank_synchronous, op8_set_similarity, op9_repetition_coverage, op10_grouping_genetic)}
+SQL: dict[str, str] = {"op2_association_rules": OP2_SQL, "op5_recompression": OP5_SQL, "op8_set_similarity": OP8_SQL, "op3_relational_format": OP3_SQL}

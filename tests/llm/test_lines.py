@@ -1,6 +1,9 @@
 """Line dedup on lines of every number and size."""
 
+import random
+
 import numpy as np
+import pytest
 
 from basalt.llm import line_dedup
 
@@ -29,11 +32,37 @@ def test_short_lines_of_the_stage(spark):
 
 
 def test_all_lines_match_brute_force(spark):
-    import random
-
     from tests.llm.test_cases import brute_lines
 
     rng = random.Random(6)
     rows = [(i, "\n".join(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 8))) for _ in range(rng.randrange(1, 6)))) for i in range(120)]
-    got = {r.doc_id: r.removed for r in line_dedup.similar_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), min_words=1).collect()}
+    got = {r.doc_id: r.removed for r in line_dedup.similar_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == brute_lines(rows, least=1)
+
+
+def long_lines(n, seed, words=400):
+    """Lines of 20 to 120 words out of a few patterns, many of them near copies of one another."""
+    rng = random.Random(seed)
+    base = [[f"w{rng.randrange(words)}" for _ in range(rng.choice((20, 45, 60, 120)))] for _ in range(12)]
+    rows = []
+    for i in range(n):
+        lines = []
+        for _ in range(rng.randrange(1, 5)):
+            w = list(rng.choice(base))
+            for _ in range(rng.randrange(0, len(w) // 6)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(words)}"
+            lines.append(" ".join(w))
+        rows.append((i, "\n".join(lines)))
+    return rows
+
+
+@pytest.mark.parametrize("group, limit, close, doubtful", [(8192, 5000, 3, 48), (20, 10, 1, 1), (8192, 0, 1, 2), (8, 3, 1, 1)])
+def test_large_groups_match_brute_force(spark, monkeypatch, group, limit, close, doubtful):
+    """Refined keys, few candidates a set and groups without end lose no similar pair."""
+    from tests.llm.test_cases import brute_lines
+
+    for name, value in (("GROUP", group), ("LIMIT", limit), ("CLOSE", close), ("DOUBTFUL", doubtful)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rows = long_lines(150, 4)
+    got = {r.doc_id: r.removed for r in line_dedup.similar_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_lines(rows)
