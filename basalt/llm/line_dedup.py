@@ -31,7 +31,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
@@ -55,8 +55,8 @@ LINES = 1 << 20
 #: Longest sets whose signature has 64 bits; those of longer ones have 256.
 SHORT = 48
 NAMES = ["a", "b", "d", "doc_id", "h", "line", "id"]
-#: Sets of a group all of whose pairs are candidates.
-SMALL = 8
+#: Largest groups that are compared together with others.
+MIDDLE = 256
 #: Candidates that a set takes from a larger group, and how many if the closest is doubtful.
 CLOSE, DOUBTFUL = 3, 48
 #: Sets that a task remembers.
@@ -111,7 +111,7 @@ def word_sets(texts: list[str], rarity: np.ndarray, min_words: int) -> tuple[np.
     h, line, doc, place = line_words(texts)
     rare, low = rarity[places(h)].astype(np.uint64), h & np.uint64((1 << 38) - 1)
     if len(doc) <= LINES:
-        order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rare << np.uint64(38)) | low, kind="stable")
+        order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rare << np.uint64(38)) | low)
     else:
         order = np.lexsort((low, rare, line))
     h, line = h[order], line[order]
@@ -197,14 +197,14 @@ def prefix_keys(h: np.ndarray, start: np.ndarray, n: np.ndarray, new: np.ndarray
 SENT = "bucket int, doc_id {id}, h bigint, line int, id bigint, held binary"
 
 
-def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buckets: int, cuts: np.ndarray, refined: list[np.ndarray] | None = None, wanted: np.ndarray | None = None):
+def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buckets: int, cuts: np.ndarray, refined: list[np.ndarray] | None = None):
     """A row for each line with its set's id, and for each bucket of keys the postings of a batch of texts.
 
     A posting has a hint of where its document comes, the number of the range of ids between the cuts: the least of a set's postings
-    is that of its first line. With ``refined`` keys, or only those that the bitmap ``wanted`` has, no lines are sent.
+    is that of its first line. With ``refined`` keys no lines are sent.
     A task that meets a key too often sends it for refinement, and no more of its postings.
     """
-    partly = bool(refined) or wanted is not None
+    partly = bool(refined)
 
     def hints(ids: pa.Array) -> np.ndarray:
         if not pa.types.is_integer(ids.type):
@@ -217,7 +217,7 @@ def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buck
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         met = np.zeros(1 << 16, np.int64)
-        last = len(refined or ()) >= rounds_of(t) or wanted is not None
+        last = len(refined or ()) >= rounds_of(t)
 
         def row(bucket: np.ndarray, ids: np.ndarray | None, blobs: list[bytes] | None) -> pa.RecordBatch:
             k = len(bucket)
@@ -266,9 +266,6 @@ def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buck
                         seen[x] = w
                         new[i] = True
                 key, bucket, own, pos = prefix_keys(h, start, n, new, hot, t, buckets, refined or [])
-                if wanted is not None:
-                    some = in_bitmap(wanted, key_name(key, bucket))
-                    key, bucket, own, pos = key[some], bucket[some], own[some], pos[some]
                 if not len(key):
                     continue
                 held.append((key, bucket, ids[own], sig[own], n[own].astype(np.int32), pos.astype(np.int32), hint[own]))
@@ -347,11 +344,30 @@ def _sets(rarity: np.ndarray, min_words: int, bitmap: np.ndarray):
     return run
 
 
-def _meet(t: Fraction, last: bool = False, open_: np.ndarray | None = None):
+def _groups(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buckets: int, refined: list[np.ndarray], wanted: np.ndarray):
+    """Key, id and words of the sets under the keys that the bitmap ``wanted`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_batches(batch.column(0)):
+                h, start, n, _, _, ids, _ = word_sets(part, rarity, min_words)
+                key, bucket, own, _ = prefix_keys(h, start, n, np.ones(len(n), bool), hot, t, buckets, refined)
+                name = key_name(key, bucket)
+                some = np.flatnonzero(in_bitmap(wanted, name))
+                if len(some):
+                    own = own[some]
+                    offsets = np.r_[0, np.cumsum(n[own])].astype(np.int32)
+                    flat = np.concatenate([h[a : a + m] for a, m in zip(start[own], n[own])])
+                    yield pa.RecordBatch.from_arrays([pa.array(name[some].view(np.int64)), pa.array(ids[own].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], names=["key", "id", "words"])
+
+    return run
+
+
+def _meet(t: Fraction, last: bool = False):
     """Candidates (a, b, d: differing signature bits) among the postings of each bucket; rows of lines and of keys to refine pass.
 
     Sets of a large group take the closest of the candidates that the hints don't put behind them, and a row tells if there are further ones.
-    A group over GROUP is refined, unless its keys are the ``last``. With a bitmap ``open_`` all candidates of its sets are taken.
+    A group over GROUP is refined, unless its keys are the ``last``.
     """
     tables: list[np.ndarray] = []
 
@@ -392,18 +408,57 @@ def _meet(t: Fraction, last: bool = False, open_: np.ndarray | None = None):
         stay = rank < np.where(doubt, DOUBTFUL, CLOSE)
         return one[stay], two[stay], d[stay], gap[stay], np.unique(one[~stay])
 
-    def large(f: int, e: int, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, hint: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    class Found:
+        """Pairs so far, of which each set keeps the closest; and the sets that have further ones."""
+
+        def __init__(self, hint: np.ndarray):
+            self.hint, self.parts, self.more, self.held = hint, [], [np.zeros(0, np.int64)], 0
+
+        def add(self, x: np.ndarray, y: np.ndarray, d: np.ndarray, gap: np.ndarray, both: bool) -> None:
+            for one, two in ((x, y), (y, x)) if both else ((x, y),):
+                behind = self.hint[two] <= self.hint[one]
+                self.parts.append((one[behind], two[behind], d[behind], gap[behind]))
+                self.held += len(self.parts[-1][0])
+            if self.held > 400_000:
+                self.squeeze()
+
+        def squeeze(self) -> tuple[np.ndarray, ...]:
+            if not self.parts:
+                return (np.zeros(0, np.int64),) * 4
+            *best, more = closest(*(np.concatenate(c) for c in zip(*self.parts)))
+            self.parts, self.held = [tuple(best)], len(best[0])
+            self.more.append(more)
+            return tuple(best)
+
+        def result(self) -> tuple[np.ndarray, ...]:
+            one, two, d, _ = self.squeeze()
+            return one, two, d, np.unique(np.concatenate(self.more))
+
+    def middle(at: np.ndarray, key: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, hint: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Candidates within all groups of some size, each set with the one after it, then with the next, as far as sizes allow."""
+        found = Found(hint)
+        key, sizes = key[at], n[at]
+        top = np.where(sizes > SHORT, np.bitwise_xor.reduce(sig[at], axis=1), sig[at, 0])
+        most = 2 * sizes * t.denominator // t.numerator  # of the two sizes together, as far as they may be alike
+        most = (most - 2 * overlap(most, 0, t) + 2).astype(np.int64)
+        x = np.arange(len(at))
+        for step in range(1, int(size[at].max(initial=1))):
+            x = x[: np.searchsorted(x, len(at) - step)]
+            y = x + step
+            go = (key[y] == key[x]) & (t.numerator * sizes[y] <= t.denominator * sizes[x])
+            x = x[go]
+            if not len(x):
+                break
+            y = x + step
+            some = np.bitwise_count(top[x] ^ top[y]) <= most[x]
+            found.add(*sift(at[x[some]], at[y[some]], sig, n, pos), True)
+        return found.result()
+
+    def large(f: int, e: int, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, hint: np.ndarray) -> tuple[np.ndarray, ...]:
         """Candidates among the sets f to e, in order of size."""
-        found: list[tuple[np.ndarray, ...]] = []
-        further = [np.zeros(0, np.int64)]
-        held = 0
+        found = Found(hint)
         top = np.where(n[f:e] > SHORT, np.bitwise_xor.reduce(sig[f:e], axis=1), sig[f:e, 0])
 
-        def squeeze() -> None:
-            one, two, d, gap, more = closest(*(np.concatenate(c) for c in zip(*found)))
-            found[:] = [(one, two, d, gap)]
-            further.append(more)
-
         def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
             total = int(n[a].max() + n[b].max())
             most = total - 2 * int(overlap(np.int64(total), 0, t)) + 1
@@ -412,29 +467,16 @@ def _meet(t: Fraction, last: bool = False, open_: np.ndarray | None = None):
             apart = x != y
             return x[apart], y[apart]
 
-        def take(x: np.ndarray, y: np.ndarray, both: bool) -> None:
-            nonlocal held
-            x, y, d, gap = sift(x, y, sig, n, pos)
-            for one, two in ((x, y), (y, x)) if both else ((x, y),):
-                behind = hint[two] <= hint[one]
-                found.append((one[behind], two[behind], d[behind], gap[behind]))
-                held += len(found[-1][0])
-            if held > 400_000 and open_ is None:
-                squeeze()
-                held = len(found[0][0])
-
-        act = f + np.flatnonzero(rows[f:e])
-        if last and open_ is None and e - f > GROUP:
+        act = np.arange(f, e)
+        if last and e - f > GROUP:
             # most of a group without end are copies of a pattern: the sets that come first are tried by all, and the rest only by those that they leave open
             lead = np.sort(f + np.argsort(hint[f:e], kind="stable")[:256])
             for at in range(0, len(act), 4096):
-                take(*near(act[at : at + 4096], lead), False)
-            if found:
-                squeeze()
-                one, _, d, gap = found[0]
-                sure = np.unique(one[2 * d <= gap])
-                further.append(sure)
-                act = np.setdiff1d(act, sure, assume_unique=True)
+                found.add(*sift(*near(act[at : at + 4096], lead), sig, n, pos), False)
+            one, _, d, gap = found.squeeze()
+            sure = np.unique(one[2 * d <= gap])
+            found.more.append(sure)
+            act = np.setdiff1d(act, sure, assume_unique=True)
         if len(act) == e - f:
             for at in range(f, e, 512):
                 a = np.arange(at, min(at + 512, e))
@@ -442,17 +484,14 @@ def _meet(t: Fraction, last: bool = False, open_: np.ndarray | None = None):
                     if t.numerator * int(n[to]) > t.denominator * int(n[a[-1]]):
                         break  # sizes ascend
                     x, y = near(a, np.arange(to, min(to + 2048, e)))
-                    take(x[x < y], y[x < y], True)
+                    found.add(*sift(x[x < y], y[x < y], sig, n, pos), True)
         else:
             for at in range(0, len(act), 512):
                 a = act[at : at + 512]
                 low, high = np.searchsorted(n[f:e], [-(-int(n[a[0]]) * t.numerator // t.denominator), int(n[a[-1]]) * t.denominator // t.numerator + 1])
                 for to in range(f + int(low), f + int(high), 2048):
-                    take(*near(a, np.arange(to, min(to + 2048, f + int(high)))), False)
-        if found and open_ is None:
-            squeeze()
-        one, two, d = (np.concatenate([c[j] for c in found]) if found else np.zeros(0, np.int64) for j in range(3))
-        return one, two, d, np.unique(np.concatenate(further))
+                    found.add(*sift(*near(a, np.arange(to, min(to + 2048, f + int(high)))), sig, n, pos), False)
+        return found.result()
 
     def settle(bucket: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         key, ids, sig, n, pos, hint = (np.concatenate(c) for c in zip(*map(unpack_blob, held)))
@@ -464,38 +503,28 @@ def _meet(t: Fraction, last: bool = False, open_: np.ndarray | None = None):
         many = np.repeat(sizes > 1, sizes)
         key, ids, sig, n, pos, hint, size = (c[once][many] for c in (key, ids, sig, n, pos, hint, np.repeat(sizes, sizes)[np.cumsum(once) - 1]))
         name = key_name(key, np.full(len(key), bucket))
-        if not last and open_ is None and (size > GROUP).any():
+        if not last and (size > GROUP).any():
             deeper = size > GROUP
             yield rows_of(np.unique(name[deeper]), None, REFINE)
             key, ids, sig, n, pos, hint, size, name = (c[~deeper] for c in (key, ids, sig, n, pos, hint, size, name))
-        rows = np.ones(len(ids), bool) if open_ is None else in_bitmap(open_, ids)
         one, two, gap = [], [], []
-        small = np.flatnonzero(size <= SMALL)
-        k = key[small]
-        for step in range(1, SMALL):
-            x = np.flatnonzero(k[step:] == k[:-step]) if len(k) > step else np.zeros(0, np.int64)
-            if not len(x):
-                break
-            x, y, d, _ = sift(small[x], small[x + step], sig, n, pos)
-            some = rows[x] | rows[y]
-            one.append(x[some])
-            two.append(y[some])
-            gap.append(d[some])
-        big = np.flatnonzero(size > SMALL)
+        x, y, d, more = middle(np.flatnonzero(size <= MIDDLE), key, sig, n, pos, hint, size)
+        one.append(x)
+        two.append(y)
+        gap.append(d)
+        if len(more):
+            yield rows_of(ids[more], name[more], FURTHER)
+        big = np.flatnonzero(size > MIDDLE)
         k = key[big]
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
         for f, e in zip(starts, np.r_[starts[1:], len(k)]):
             f, e = int(big[f]), int(big[e - 1]) + 1
-            if not rows[f:e].any():
-                continue
-            x, y, d, more = large(f, e, sig, n, pos, hint, rows)
+            x, y, d, more = large(f, e, sig, n, pos, hint)
             one.append(x)
             two.append(y)
             gap.append(d)
             if len(more):
                 yield rows_of(ids[more], name[more], FURTHER)
-        if not one:
-            return
         x, y, d = np.concatenate(one), np.concatenate(two), np.concatenate(gap)
         a, b = ids[x].view(np.int64), ids[y].view(np.int64)
         lo, hi = np.minimum(a, b), np.maximum(a, b)
@@ -556,12 +585,12 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         cuts = np.array(sorted(set(own.agg(F.percentile_approx("doc_id", [i / 1000 for i in range(1, 1000)], 10_000)).first()[0] or [])), np.int64)
     hashed = own.select("doc_id", F.xxhash64("text").alias("h"), "text")
 
-    def met(last: bool, open_: np.ndarray | None = None, **which) -> DataFrame:
-        sent = hashed.mapInArrow(_send(rarity, hot, exact, min_words, buckets, cuts, **which), SENT.format(id=kind))
-        return scratch.write(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(exact, last, open_), f"a bigint, b bigint, d int, doc_id {kind}, h bigint, line int, id bigint"))
+    def met(last: bool, refined: list[np.ndarray]) -> DataFrame:
+        sent = hashed.mapInArrow(_send(rarity, hot, exact, min_words, buckets, cuts, refined), SENT.format(id=kind))
+        return scratch.write(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(exact, last), f"a bigint, b bigint, d int, doc_id {kind}, h bigint, line int, id bigint"))
 
     rounds = rounds_of(exact)
-    turns = [met(rounds == 0)]
+    turns = [met(rounds == 0, [])]
     found = turns[0].filter("line is not null").select("doc_id", "h", "line", "id")
     refined: list[np.ndarray] = []
     while len(refined) < rounds:
@@ -569,12 +598,12 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         if deeper.isEmpty():
             break
         refined.append(bitmap_of(deeper.select(F.col("a").alias("id"))))
-        turns.append(met(len(refined) == rounds, refined=list(refined)))
+        turns.append(met(len(refined) == rounds, list(refined)))
     line = F.struct("doc_id", "h", "line")
     first = scratch.write(found.groupBy("id").agg(F.min(line).alias("first"), F.count("*").alias("n")))
 
-    def settled(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
-        """Ids of the sets with an earlier similar one among the candidates (a, b, d); those ``done`` aren't tried again.
+    def settled(pairs: DataFrame) -> DataFrame:
+        """Ids of the sets with an earlier similar one among the candidates (a, b, d).
 
         Of two similar sets the one that comes first as a line stands, and a set's lines after its first go anyway, so a set needs one earlier partner.
         """
@@ -585,25 +614,30 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         of = lambda c: known.select(F.col("id").alias(c), F.col("first").alias(f"first_{c}"))
         ahead = F.col("first_a") < F.col("first_b")
         both = pairs.join(of("a"), "a").join(of("b"), "b")
-        ordered = both.select(F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("earlier"), "d")
-        if done is not None:
-            ordered = ordered.join(done.withColumnRenamed("id", "later"), "later", "left_anti")
-        ordered = scratch.write(ordered)
+        ordered = scratch.write(both.select(F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("earlier"), "d"))
         # the likeliest partner is verified first, and the others for those sets only that it doesn't settle
         likely = scratch.write(ordered.groupBy("later").agg(F.min(F.struct("d", "earlier")).alias("best")).select("later", F.col("best.earlier").alias("earlier")))
         sure = scratch.write(_verified(likely, sets, exact))
         rest = scratch.write(ordered.select("later", "earlier").join(sure, "later", "left_anti").join(likely, ["later", "earlier"], "left_anti").distinct())
         return scratch.write(sure.unionByName(_verified(rest, sets, exact)).distinct().select(F.col("later").alias("id")))
 
-    candidates = lambda table: table.filter("d >= 0").select("a", "b", "d")
-    similar = settled(reduce(DataFrame.unionByName, map(candidates, turns)), None)
+    def exhausted(open_: DataFrame) -> DataFrame:
+        """The same of sets (id, key) among all sets under those keys; the words come with the keys."""
+        keys = bitmap_of(open_.select(F.col("key").alias("id")))
+        parts = [own.select("text").mapInArrow(_groups(rarity, hot, exact, min_words, buckets, refined[:k], keys), "key bigint, id bigint, words array<bigint>") for k in range(len(turns))]
+        groups = scratch.write(reduce(DataFrame.unionByName, parts).groupBy("key", "id").agg(F.first("words").alias("words")))
+        dated = groups.join(first.select("id", "first"), "id")
+        x, y = (dated.select("key", *[F.col(c).alias(f"{c}_{o}") for c in ("id", "first", "words")]) for o in "ab")
+        both = open_.withColumnRenamed("id", "id_a").join(x, ["key", "id_a"]).join(y, "key").filter("first_b < first_a")
+        return both.filter(_alike("words_a", "words_b", exact)).select(F.col("id_a").alias("id")).distinct()
+
+    pairs = reduce(DataFrame.unionByName, (x.filter("d >= 0").select("a", "b", "d") for x in turns))
+    similar = settled(pairs)
     # sets that none of the closest candidates settled, though there were others
-    open_ = reduce(DataFrame.unionByName, (x.filter(F.col("d") == FURTHER).select(F.col("a").alias("id"), F.col("b").alias("key")) for x in turns)).join(similar, "id", "left_anti")
-    open_ = scratch.write(open_)
+    further = reduce(DataFrame.unionByName, (x.filter(F.col("d") == FURTHER).select(F.col("a").alias("id"), F.col("b").alias("key")) for x in turns))
+    open_ = scratch.write(further.join(similar, "id", "left_anti").distinct())
     if not open_.isEmpty():
-        own_ids, keys = bitmap_of(open_.select("id")), bitmap_of(open_.select(F.col("key").alias("id")))
-        again = [candidates(met(True, own_ids, refined=refined[:k], wanted=keys)) for k in range(len(turns))]
-        similar = similar.unionByName(settled(reduce(DataFrame.unionByName, again), similar))
+        similar = similar.unionByName(exhausted(open_))
     similar = scratch.write(similar.withColumn("similar", F.lit(True)))
     near = may_have(bitmap_of(similar.select("id")))
     hit = first.filter((F.col("n") > 1) | near(F.col("id"))).join(similar, "id", "left").filter((F.col("n") > 1) | F.col("similar")).drop("n")
@@ -617,8 +651,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """The later ones of written pairs whose sets are as similar as t; only the sets of the pairs move."""
     own = sets.select("id", "words").filter(may_have(bitmap_of(pairs.select(F.explode(F.array("later", "earlier")).alias("id"))))(F.col("id")))
     both = pairs.join(own.select(F.col("id").alias("later"), F.col("words").alias("x")), "later").join(own.select(F.col("id").alias("earlier"), F.col("words").alias("y")), "earlier")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common * t.denominator >= t.numerator * (F.size("x") + F.size("y") - common)).select("later").distinct()
+    return both.filter(_alike("x", "y", t)).select("later").distinct()
+
+
+def _alike(x: str, y: str, t: Fraction) -> Column:
+    common = F.size(F.array_intersect(x, y))
+    return common * t.denominator >= t.numerator * (F.size(x) + F.size(y) - common)
 
 
 def without(texts: pa.Array, removed: pa.Array) -> pa.Array:
