@@ -33,6 +33,12 @@ def text_batches(column: pa.Array) -> Iterator[list[str]]:
         yield [x or "" for x in column.slice(at, CHUNK).to_pylist()]
 
 
+def byte_batches(column: pa.Array) -> Iterator[list[bytes]]:
+    """The same as UTF-8."""
+    for at in range(0, len(column), CHUNK):
+        yield [x or b"" for x in column.slice(at, CHUNK).cast(pa.binary()).to_pylist()]
+
+
 def texts(column: pa.Array) -> Iterator[str]:
     """The same, one by one."""
     for batch in text_batches(column):

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from basalt.llm.common import fresh, text_batches
+from basalt.llm.common import fresh, byte_batches
 from basalt.llm.words import mix, pack_texts, word_hashes
 from basalt.plans.scratch import Scratch, settle
 from basalt.plans.ship import ship
@@ -43,13 +43,13 @@ from basalt.plans.ship import ship
 #: Places of the table of word frequencies; a word's frequency is taken as its place's, an upper bound.
 PLACES = 1 << 17
 #: Most lines that may hold a word which is a key alone.
-LIMIT = 5_000
+LIMIT = 20_000
 #: Words of the corpus for each bucket of keys, by which their number is chosen.
 BUCKET = 2_000_000
 #: Postings that a task holds before it sends them.
 POSTINGS = 200_000
 #: Postings of one key that a task sends, and sets of a group that are compared; beyond either the key is refined by one more word.
-GROUP = 8_192
+GROUP = 32_768
 #: Lines whose numbers fit into a sort key of 64 bits beside 44 bits of a word.
 LINES = 1 << 20
 #: Longest sets whose signature has 64 bits; those of longer ones have 256.
@@ -58,18 +58,18 @@ NAMES = ["a", "b", "d", "doc_id", "h", "line", "id"]
 #: Largest groups that are compared together with others.
 MIDDLE = 256
 #: Candidates that a set takes from a larger group, and how many if the closest is doubtful.
-CLOSE, DOUBTFUL = 3, 48
-#: Sets that a task remembers.
-SEEN = 500_000
+CLOSE, DOUBTFUL = 3, 512
+#: Places of the table of sets that a task remembers.
+SEEN = 1 << 19
 #: Words of the bitmap of ids whose sets are needed for verification; it lets more ids pass where they are many.
 BITMAP = 1 << 17
 #: What a row of no pair is: the name of a key to refine, a set with the name of a key that has further candidates for it.
 REFINE, FURTHER = -1, -2
 
 
-def line_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: hash, line (numbered through); of each line with a word: its text's number and its place in it."""
-    data, ends = pack_texts([t.encode() for t in texts])
+    data, ends = pack_texts(texts)
     h, start, _ = word_hashes(data)
     marks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     line = np.searchsorted(marks, start)
@@ -86,8 +86,8 @@ def places(h: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(PLACES, np.int64)
     for batch in batches:
-        for part in text_batches(batch.column(0)):
-            h, _, _ = word_hashes(pack_texts([t.encode() for t in part])[0])
+        for part in byte_batches(batch.column(0)):
+            h, _, _ = word_hashes(pack_texts(part)[0])
             total += np.bincount(places(h), minlength=PLACES)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "n"])
@@ -106,7 +106,7 @@ def rarities(often: np.ndarray) -> np.ndarray:
     return np.minimum(63, np.log2(1.0 + often) * 2).astype(np.uint8)
 
 
-def word_sets(texts: list[str], rarity: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+def word_sets(texts: list[bytes], rarity: np.ndarray, min_words: int, signed: bool = True) -> tuple[np.ndarray, ...]:
     """Lines' sets, words in order of rarity: word hashes, start of each set, its size, its text's number and place, its id and signature (a row of four longs)."""
     h, line, doc, place = line_words(texts)
     rare, low = rarity[places(h)].astype(np.uint64), h & np.uint64((1 << 38) - 1)
@@ -126,7 +126,7 @@ def word_sets(texts: list[str], rarity: np.ndarray, min_words: int) -> tuple[np.
     if not len(n):
         return h, start, n, doc, place, np.zeros(0, np.uint64), np.zeros((0, 4), np.uint64)
     ids = mix(np.add.reduceat(mix(h + np.uint64(1)), start) + n.astype(np.uint64))
-    return h, start, n, doc, place, ids, signatures(h, start, n)
+    return h, start, n, doc, place, ids, signatures(h, start, n) if signed else np.zeros((0, 4), np.uint64)
 
 
 def signatures(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -197,23 +197,24 @@ def prefix_keys(h: np.ndarray, start: np.ndarray, n: np.ndarray, new: np.ndarray
 SENT = "bucket int, doc_id {id}, h bigint, line int, id bigint, held binary"
 
 
-def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buckets: int, cuts: np.ndarray, refined: list[np.ndarray] | None = None):
+def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buckets: int, refined: list[np.ndarray] | None = None):
     """A row for each line with its set's id, and for each bucket of keys the postings of a batch of texts.
 
-    A posting has a hint of where its document comes, the number of the range of ids between the cuts: the least of a set's postings
-    is that of its first line. With ``refined`` keys no lines are sent.
+    A posting tells where its line comes, as far as numbers can: the least of a set's postings is that of its first line. With ``refined`` keys no lines are sent.
     A task that meets a key too often sends it for refinement, and no more of its postings.
     """
     partly = bool(refined)
 
-    def hints(ids: pa.Array) -> np.ndarray:
-        if not pa.types.is_integer(ids.type):
-            return np.zeros(len(ids), np.uint16)
-        low = np.iinfo(ids.type.to_pandas_dtype()).min
-        return np.searchsorted(cuts, ids.fill_null(low).to_numpy(), side="right").astype(np.uint16)
+    def ranks(ids: pa.Array) -> tuple[np.ndarray, int]:
+        """Numbers in the order of the ids, equal where the order is open; and 1 if lines of equal ones are in the order of their places."""
+        if pa.types.is_integer(ids.type):
+            return ids.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(), 1
+        if pa.types.is_string(ids.type):
+            return np.array([int.from_bytes((x or "").encode()[:7].ljust(7, b"\0")) - (x is None) for x in ids.to_pylist()], np.int64), 0
+        return np.zeros(len(ids), np.int64), 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
+        seen, doc_of, line_of = np.zeros(SEEN, np.uint64), np.full(SEEN, np.iinfo(np.int64).max), np.zeros(SEEN, np.int32)
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         met = np.zeros(1 << 16, np.int64)
@@ -246,10 +247,10 @@ def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buck
 
         kind = pa.null()
         for batch in batches:
-            at, kind, order_of = 0, batch.column(0).type, hints(batch.column(0))
-            for part in text_batches(batch.column(2)):
+            at, kind, (order_of, exact) = 0, batch.column(0).type, ranks(batch.column(0))
+            for part in byte_batches(batch.column(2)):
                 h, start, n, doc, place, ids, sig = word_sets(part, rarity, min_words)
-                docs, hint = pa.array(doc + at), order_of[doc + at]
+                docs, rank, turn = pa.array(doc + at), order_of[doc + at], (place * exact).astype(np.int32)
                 at += len(part)
                 k = len(n)
                 if not k:
@@ -258,17 +259,13 @@ def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buck
                     bucket = pa.array((ids % np.uint64(buckets)).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([bucket, batch.column(0).take(docs), batch.column(1).take(docs), pa.array(place.astype(np.int32)), pa.array(ids.view(np.int64)), pa.nulls(k, pa.binary())], names=["bucket", "doc_id", "h", "line", "id", "held"])
                 # a set that this task has met before, not later in the order, has its postings already
-                if len(seen) > SEEN:
-                    seen.clear()
-                new = np.zeros(k, bool)
-                for i, (x, w) in enumerate(zip(ids.tolist(), hint.tolist())):
-                    if seen.get(x, 1 << 16) > w:
-                        seen[x] = w
-                        new[i] = True
+                slot = (ids >> np.uint64(32)).astype(np.int64) % SEEN
+                new = (seen[slot] != ids) | (doc_of[slot] > rank) | ((doc_of[slot] == rank) & (line_of[slot] > turn))
+                seen[slot[new]], doc_of[slot[new]], line_of[slot[new]] = ids[new], rank[new], turn[new]
                 key, bucket, own, pos = prefix_keys(h, start, n, new, hot, t, buckets, refined or [])
                 if not len(key):
                     continue
-                held.append((key, bucket, ids[own], sig[own], n[own].astype(np.int32), pos.astype(np.int32), hint[own]))
+                held.append((key, bucket, ids[own], sig[own], n[own].astype(np.int32), pos.astype(np.int32), turn[own], rank[own]))
                 size += len(key)
                 if size > POSTINGS:
                     yield from flush()
@@ -279,9 +276,9 @@ def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buck
     return run
 
 
-def pack_blob(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, hint: np.ndarray) -> bytes:
+def pack_blob(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, turn: np.ndarray, rank: np.ndarray) -> bytes:
     long = sig[n > SHORT, 1:]
-    return len(key).to_bytes(4, "little") + len(long).to_bytes(4, "little") + key.tobytes() + ids.tobytes() + sig[:, 0].tobytes() + long.tobytes() + zstandard.compress(n.tobytes() + pos.tobytes() + hint.tobytes(), 1)
+    return len(key).to_bytes(4, "little") + len(long).to_bytes(4, "little") + key.tobytes() + ids.tobytes() + sig[:, 0].tobytes() + long.tobytes() + zstandard.compress(n.tobytes() + pos.tobytes() + turn.tobytes() + rank.tobytes(), 1)
 
 
 def unpack_blob(x: bytes) -> tuple[np.ndarray, ...]:
@@ -291,7 +288,7 @@ def unpack_blob(x: bytes) -> tuple[np.ndarray, ...]:
     sig = np.zeros((m, 4), np.uint64)
     sig[:, 0] = np.frombuffer(x, np.uint64, m, 8 + 12 * m)
     sig[n > SHORT, 1:] = np.frombuffer(x, np.uint64, 3 * w, 8 + 20 * m).reshape(w, 3)
-    return np.frombuffer(x, np.uint32, m, 8), np.frombuffer(x, np.uint64, m, 8 + 4 * m), sig, n, np.frombuffer(small, np.int32, m, 4 * m), np.frombuffer(small, np.uint16, m, 8 * m)
+    return np.frombuffer(x, np.uint32, m, 8), np.frombuffer(x, np.uint64, m, 8 + 4 * m), sig, n, np.frombuffer(small, np.int32, m, 4 * m), np.frombuffer(small, np.int32, m, 8 * m), np.frombuffer(small, np.int64, m, 12 * m)
 
 
 def bitmap_of(ids: DataFrame) -> np.ndarray:
@@ -323,8 +320,8 @@ def _sets(rarity: np.ndarray, min_words: int, bitmap: np.ndarray):
         out_ids, out_words = [], []
         seen: set[int] = set()
         for batch in batches:
-            for part in text_batches(batch.column(0)):
-                h, start, n, _, _, ids, _ = word_sets(part, rarity, min_words)
+            for part in byte_batches(batch.column(0)):
+                h, start, n, _, _, ids, _ = word_sets(part, rarity, min_words, False)
                 want = np.flatnonzero(in_bitmap(bitmap, ids))
                 if len(want):
                     if len(seen) > SEEN:
@@ -349,8 +346,8 @@ def _groups(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, bu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_batches(batch.column(0)):
-                h, start, n, _, _, ids, _ = word_sets(part, rarity, min_words)
+            for part in byte_batches(batch.column(0)):
+                h, start, n, _, _, ids, _ = word_sets(part, rarity, min_words, False)
                 key, bucket, own, _ = prefix_keys(h, start, n, np.ones(len(n), bool), hot, t, buckets, refined)
                 name = key_name(key, bucket)
                 some = np.flatnonzero(in_bitmap(wanted, name))
@@ -494,7 +491,11 @@ def _meet(t: Fraction, last: bool = False):
         return found.result()
 
     def settle(bucket: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        key, ids, sig, n, pos, hint = (np.concatenate(c) for c in zip(*map(unpack_blob, held)))
+        key, ids, sig, n, pos, turn, rank = (np.concatenate(c) for c in zip(*map(unpack_blob, held)))
+        order = np.lexsort((turn, rank))
+        ahead = (rank[order[1:]] != rank[order[:-1]]) | (turn[order[1:]] != turn[order[:-1]])
+        hint = np.empty(len(key), np.int64)
+        hint[order] = np.cumsum(np.r_[0, ahead])
         order = np.lexsort((hint, ids, (key.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)))
         key, ids, sig, n, pos, hint = key[order], ids[order], sig[order], n[order].astype(np.int64), pos[order].astype(np.int64), hint[order]
         once = np.r_[True, (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])]
@@ -580,13 +581,10 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     rarity, hot = rarities(often), often > LIMIT
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(often.sum()) // BUCKET))
     kind = docs.schema[doc_id].dataType.simpleString()
-    cuts = np.zeros(0, np.int64)
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        cuts = np.array(sorted(set(own.agg(F.percentile_approx("doc_id", [i / 1000 for i in range(1, 1000)], 10_000)).first()[0] or [])), np.int64)
     hashed = own.select("doc_id", F.xxhash64("text").alias("h"), "text")
 
     def met(last: bool, refined: list[np.ndarray]) -> DataFrame:
-        sent = hashed.mapInArrow(_send(rarity, hot, exact, min_words, buckets, cuts, refined), SENT.format(id=kind))
+        sent = hashed.mapInArrow(_send(rarity, hot, exact, min_words, buckets, refined), SENT.format(id=kind))
         return scratch.write(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(exact, last), f"a bigint, b bigint, d int, doc_id {kind}, h bigint, line int, id bigint"))
 
     rounds = rounds_of(exact)

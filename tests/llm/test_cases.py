@@ -325,12 +325,12 @@ def test_hot_words_make_pair_keys():
     rows = random_lines(60, 8, [f"w{i}" for i in range(25)])
     t, rarity, hot = Fraction(4, 5), np.zeros(line_dedup.PLACES, np.uint8), np.ones(line_dedup.PLACES, bool)
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([x for _, x in rows])], names=["doc_id", "h", "text"])
-    sent = [b for b in line_dedup._send(rarity, hot, t, 5, 3, np.zeros(0, np.int64))(iter([batch]))]
+    sent = [b for b in line_dedup._send(rarity, hot, t, 5, 3)(iter([batch]))]
     table = pa.Table.from_batches(sent).sort_by("bucket").combine_chunks()
     met = pa.Table.from_batches(list(line_dedup._meet(t)(iter(table.to_batches())))).to_pylist()
     pairs = {frozenset((r["a"], r["b"])) for r in met if r["a"] is not None and r["b"] is not None}
     sets = {}
-    for part in ([x for _, x in rows],):
+    for part in ([x.encode() for _, x in rows],):
         h, start, n, _, _, ids, _ = line_dedup.word_sets(part, rarity, 5)
         for k in range(len(n)):
             sets[int(ids[k : k + 1].view(np.int64)[0])] = set(h[start[k] : start[k] + n[k]].tolist())

@@ -13,10 +13,10 @@ def test_lines_beyond_a_million():
     n = (1 << 20) + 50
     lines = [f"a{i} b{i} c{i % 7}" for i in range(n)]
     rarity = np.arange(line_dedup.PLACES, dtype=np.uint64).astype(np.uint8) % 60
-    whole = line_dedup.word_sets(["\n".join(lines)], rarity, 1)
+    whole = line_dedup.word_sets(["\n".join(lines).encode()], rarity, 1)
     assert len(whole[2]) == n and (whole[2] == 3).all()
     for at in (0, n - 60):
-        part = line_dedup.word_sets(["\n".join(lines[at : at + 60])], rarity, 1)
+        part = line_dedup.word_sets(["\n".join(lines[at : at + 60]).encode()], rarity, 1)
         assert (whole[5][at : at + 60] == part[5]).all() and (whole[6][at : at + 60] == part[6]).all()
         assert (whole[0][3 * at : 3 * at + 180] == part[0]).all()
 
@@ -64,5 +64,9 @@ def test_large_groups_match_brute_force(spark, monkeypatch, group, limit, close,
     for name, value in (("GROUP", group), ("LIMIT", limit), ("CLOSE", close), ("DOUBTFUL", doubtful), ("MIDDLE", middle)):
         monkeypatch.setattr(line_dedup, name, value)
     rows = long_lines(150, 4)
-    got = {r.doc_id: r.removed for r in line_dedup.similar_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == brute_lines(rows)
+    want = brute_lines(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.similar_lines(docs).collect()} == want
+    if group == 20:
+        named = docs.selectExpr("format_string('same beginning %05d', doc_id) as doc_id", "text")
+        assert {int(r.doc_id[-5:]): r.removed for r in line_dedup.similar_lines(named).collect()} == want
