@@ -52,7 +52,7 @@ POSTINGS = 200_000
 GROUP = 32_768
 #: Lines whose numbers fit into a sort key of 64 bits beside 44 bits of a word.
 LINES = 1 << 20
-#: Longest sets whose signature has 64 bits; those of longer ones have 256.
+#: Longest sets whose signature has 64 bits; those of longer ones have 128.
 SHORT = 48
 NAMES = ["a", "b", "d", "doc_id", "h", "line", "id"]
 #: Largest groups that are compared together with others.
@@ -107,7 +107,7 @@ def rarities(often: np.ndarray) -> np.ndarray:
 
 
 def word_sets(texts: list[bytes], rarity: np.ndarray, min_words: int, signed: bool = True) -> tuple[np.ndarray, ...]:
-    """Lines' sets, words in order of rarity: word hashes, start of each set, its size, its text's number and place, its id and signature (a row of four longs)."""
+    """Lines' sets, words in order of rarity: word hashes, start of each set, its size, its text's number and place, its id and signature (a row of two longs)."""
     h, line, doc, place = line_words(texts)
     rare, low = rarity[places(h)].astype(np.uint64), h & np.uint64((1 << 38) - 1)
     if len(doc) <= LINES:
@@ -124,22 +124,22 @@ def word_sets(texts: list[bytes], rarity: np.ndarray, min_words: int, signed: bo
     h, n, doc, place = h[stay], n[ok], doc[ok], place[ok]
     start = np.cumsum(n) - n
     if not len(n):
-        return h, start, n, doc, place, np.zeros(0, np.uint64), np.zeros((0, 4), np.uint64)
+        return h, start, n, doc, place, np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
     ids = mix(np.add.reduceat(mix(h + np.uint64(1)), start) + n.astype(np.uint64))
-    return h, start, n, doc, place, ids, signatures(h, start, n) if signed else np.zeros((0, 4), np.uint64)
+    return h, start, n, doc, place, ids, signatures(h, start, n) if signed else np.zeros((0, 2), np.uint64)
 
 
 def signatures(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Parity signatures, a row of four longs for each set: the first is of all words, the others are of those of long sets."""
+    """Parity signatures, a row of two longs for each set; short ones have one."""
     bit = mix(h)
     one = np.uint64(1) << (bit >> np.uint64(58))
-    sig = np.zeros((len(n), 4), np.uint64)
+    sig = np.zeros((len(n), 2), np.uint64)
     long = n > SHORT
     if not long.any():
         sig[:, 0] = np.bitwise_xor.reduceat(one, start)
         return sig
-    word = np.where(np.repeat(long, n), bit & np.uint64(3), np.uint64(0))
-    for j in range(4):
+    word = np.where(np.repeat(long, n), bit & np.uint64(1), np.uint64(0))
+    for j in range(2):
         sig[:, j] = np.bitwise_xor.reduceat(np.where(word == j, one, np.uint64(0)), start)
     return sig
 
@@ -277,17 +277,17 @@ def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buck
 
 
 def pack_blob(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, turn: np.ndarray, rank: np.ndarray) -> bytes:
-    long = sig[n > SHORT, 1:]
+    long = sig[n > SHORT, 1]
     return len(key).to_bytes(4, "little") + len(long).to_bytes(4, "little") + key.tobytes() + ids.tobytes() + sig[:, 0].tobytes() + long.tobytes() + zstandard.compress(n.tobytes() + pos.tobytes() + turn.tobytes() + rank.tobytes(), 1)
 
 
 def unpack_blob(x: bytes) -> tuple[np.ndarray, ...]:
     m, w = int.from_bytes(x[:4], "little"), int.from_bytes(x[4:8], "little")
-    small = zstandard.decompress(x[8 + 20 * m + 24 * w :])
+    small = zstandard.decompress(x[8 + 20 * m + 8 * w :])
     n = np.frombuffer(small, np.int32, m)
-    sig = np.zeros((m, 4), np.uint64)
+    sig = np.zeros((m, 2), np.uint64)
     sig[:, 0] = np.frombuffer(x, np.uint64, m, 8 + 12 * m)
-    sig[n > SHORT, 1:] = np.frombuffer(x, np.uint64, 3 * w, 8 + 20 * m).reshape(w, 3)
+    sig[n > SHORT, 1] = np.frombuffer(x, np.uint64, w, 8 + 20 * m)
     return np.frombuffer(x, np.uint32, m, 8), np.frombuffer(x, np.uint64, m, 8 + 4 * m), sig, n, np.frombuffer(small, np.int32, m, 4 * m), np.frombuffer(small, np.int32, m, 8 * m), np.frombuffer(small, np.int64, m, 12 * m)
 
 
@@ -361,7 +361,7 @@ def _groups(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, bu
 
 
 def _meet(t: Fraction, last: bool = False):
-    """Candidates (a, b, d: differing signature bits) among the postings of each bucket; rows of lines and of keys to refine pass.
+    """Candidates (a, b that may come before it, d: differing signature bits) among the postings of each bucket; rows of lines and of keys to refine pass.
 
     Sets of a large group take the closest of the candidates that the hints don't put behind them, and a row tells if there are further ones.
     A group over GROUP is refined, unless its keys are the ``last``.
@@ -528,12 +528,11 @@ def _meet(t: Fraction, last: bool = False):
                 yield rows_of(ids[more], name[more], FURTHER)
         x, y, d = np.concatenate(one), np.concatenate(two), np.concatenate(gap)
         a, b = ids[x].view(np.int64), ids[y].view(np.int64)
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((hi, lo))
-        lo, hi, d = lo[order], hi[order], d[order]
-        new = np.ones(len(lo), bool)
-        new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-        yield rows_of(lo[new], hi[new], d[new])
+        order = np.lexsort((b, a))
+        a, b, d = a[order], b[order], d[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        yield rows_of(a[new], b[new], d[new])
 
     def rows_of(a: np.ndarray, b: np.ndarray | None, d: np.ndarray | int) -> pa.RecordBatch:
         k = len(a)
@@ -601,23 +600,20 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     first = scratch.write(found.groupBy("id").agg(F.min(line).alias("first"), F.count("*").alias("n")))
 
     def settled(pairs: DataFrame) -> DataFrame:
-        """Ids of the sets with an earlier similar one among the candidates (a, b, d).
+        """Ids of the sets a with an earlier similar one among the candidates (a, b, d); whether b is earlier is seen when it is verified.
 
         Of two similar sets the one that comes first as a line stands, and a set's lines after its first go anyway, so a set needs one earlier partner.
         """
         needed = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         known = first.filter(may_have(needed)(F.col("id"))).select("id", "first")
         sets = own.select("text").mapInArrow(_sets(rarity, min_words, needed), "id bigint, words array<bigint>")
-        sets = scratch.write(sets.groupBy("id").agg(F.first("words").alias("words")))
-        of = lambda c: known.select(F.col("id").alias(c), F.col("first").alias(f"first_{c}"))
-        ahead = F.col("first_a") < F.col("first_b")
-        both = pairs.join(of("a"), "a").join(of("b"), "b")
-        ordered = scratch.write(both.select(F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("earlier"), "d"))
+        sets = scratch.write(sets.groupBy("id").agg(F.first("words").alias("words")).join(known, "id"))
         # the likeliest partner is verified first, and the others for those sets only that it doesn't settle
-        likely = scratch.write(ordered.groupBy("later").agg(F.min(F.struct("d", "earlier")).alias("best")).select("later", F.col("best.earlier").alias("earlier")))
+        likely = scratch.write(pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
         sure = scratch.write(_verified(likely, sets, exact))
-        rest = scratch.write(ordered.select("later", "earlier").join(sure, "later", "left_anti").join(likely, ["later", "earlier"], "left_anti").distinct())
-        return scratch.write(sure.unionByName(_verified(rest, sets, exact)).distinct().select(F.col("later").alias("id")))
+        unsure = may_have(bitmap_of(likely.join(sure, "a", "left_anti").select(F.col("a").alias("id"))))
+        rest = pairs.filter(unsure(F.col("a"))).select("a", "b").distinct().join(sure, "a", "left_anti").join(likely, ["a", "b"], "left_anti")
+        return scratch.write(sure.unionByName(_verified(scratch.write(rest), sets, exact)).distinct().select(F.col("a").alias("id")))
 
     def exhausted(open_: DataFrame) -> DataFrame:
         """The same of sets (id, key) among all sets under those keys; the words come with the keys."""
@@ -646,10 +642,11 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The later ones of written pairs whose sets are as similar as t; only the sets of the pairs move."""
-    own = sets.select("id", "words").filter(may_have(bitmap_of(pairs.select(F.explode(F.array("later", "earlier")).alias("id"))))(F.col("id")))
-    both = pairs.join(own.select(F.col("id").alias("later"), F.col("words").alias("x")), "later").join(own.select(F.col("id").alias("earlier"), F.col("words").alias("y")), "earlier")
-    return both.filter(_alike("x", "y", t)).select("later").distinct()
+    """The a of written pairs whose b is earlier and as similar as t; only the sets of the pairs move."""
+    own = sets.filter(may_have(bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id"))))(F.col("id")))
+    x, y = (own.select(F.col("id").alias(c), F.col("first").alias(f"first_{c}"), F.col("words").alias(f"words_{c}")) for c in "ab")
+    both = pairs.join(x, "a").join(y, "b").filter("first_b < first_a")
+    return both.filter(_alike("words_a", "words_b", t)).select("a").distinct()
 
 
 def _alike(x: str, y: str, t: Fraction) -> Column:
