@@ -42,6 +42,8 @@ from basalt.plans.ship import ship
 
 #: Places of the table of word frequencies; a word's frequency is taken as its place's, an upper bound.
 PLACES = 1 << 17
+#: Ranges of that table, each of which is summed in one task.
+PARTS = 8
 #: Most lines that may hold a word which is a key alone.
 LIMIT = 20_000
 #: Words of the corpus for each bucket of keys, by which their number is chosen.
@@ -54,6 +56,7 @@ GROUP = 32_768
 LINES = 1 << 20
 #: Longest sets whose signature has 64 bits; those of longer ones have 128.
 SHORT = 48
+LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 NAMES = ["a", "b", "d", "doc_id", "h", "line", "id"]
 #: Largest groups that are compared together with others.
 MIDDLE = 256
@@ -84,21 +87,36 @@ def places(h: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's words, a row for each of PARTS ranges of places."""
     total = np.zeros(PLACES, np.int64)
     for batch in batches:
         for part in byte_batches(batch.column(0)):
             h, _, _ = word_hashes(pack_texts(part)[0])
             total += np.bincount(places(h), minlength=PLACES)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "n"])
+    yield _counted(np.arange(PARTS), total.reshape(PARTS, -1))
+
+
+def _counted(part: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([zstandard.compress(c.tobytes(), 1) for c in counts], pa.binary())], names=["part", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts = np.frombuffer(zstandard.decompress(x.as_py()), np.int64)
+            total[part] = total[part] + counts if part in total else counts
+    if total:
+        yield _counted(np.array(list(total)), np.array(list(total.values())))
 
 
 def frequencies(docs: DataFrame, text: str) -> np.ndarray:
     """How often words of each place occur; PLACES numbers, whatever the corpus."""
-    rows = docs.select(text).mapInArrow(_frequencies, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(PLACES, np.int64)
-    total[rows["place"].to_numpy()] = rows["n"].to_numpy()
-    return total
+    ddl = "part int, counts binary"
+    total = np.zeros((PARTS, PLACES // PARTS), np.int64)
+    for part, counts in docs.select(text).mapInArrow(_frequencies, ddl).repartitionById(PARTS, "part").mapInArrow(_summed, ddl).collect():
+        total[part] = np.frombuffer(zstandard.decompress(bytes(counts)), np.int64)
+    return total.reshape(-1)
 
 
 def rarities(often: np.ndarray) -> np.ndarray:
@@ -194,11 +212,11 @@ def prefix_keys(h: np.ndarray, start: np.ndarray, n: np.ndarray, new: np.ndarray
     return key, bucket, held[1], held[2]
 
 
-SENT = "bucket int, doc_id {id}, h bigint, line int, id bigint, held binary"
+SENT = "bucket int, doc_id {id}, h bigint, line array<int>, id array<bigint>, held binary"
 
 
 def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buckets: int, refined: list[np.ndarray] | None = None):
-    """A row for each line with its set's id, and for each bucket of keys the postings of a batch of texts.
+    """A row for each text with its lines and their sets' ids, and for each bucket of keys the postings of a batch of texts.
 
     A posting tells where its line comes, as far as numbers can: the least of a set's postings is that of its first line. With ``refined`` keys no lines are sent.
     A task that meets a key too often sends it for refinement, and no more of its postings.
@@ -222,8 +240,8 @@ def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buck
 
         def row(bucket: np.ndarray, ids: np.ndarray | None, blobs: list[bytes] | None) -> pa.RecordBatch:
             k = len(bucket)
-            own = pa.nulls(k, pa.int64()) if ids is None else pa.array(ids.view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), own, pa.nulls(k, pa.binary()) if blobs is None else pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "h", "line", "id", "held"])
+            own = pa.nulls(k, LONGS) if ids is None else pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32)), pa.array(ids.view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, INTS), own, pa.nulls(k, pa.binary()) if blobs is None else pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "h", "line", "id", "held"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             cols = [np.concatenate(c) for c in zip(*held)]
@@ -250,14 +268,15 @@ def _send(rarity: np.ndarray, hot: np.ndarray, t: Fraction, min_words: int, buck
             at, kind, (order_of, exact) = 0, batch.column(0).type, ranks(batch.column(0))
             for part in byte_batches(batch.column(2)):
                 h, start, n, doc, place, ids, sig = word_sets(part, rarity, min_words)
-                docs, rank, turn = pa.array(doc + at), order_of[doc + at], (place * exact).astype(np.int32)
+                rank, turn, base = order_of[doc + at], (place * exact).astype(np.int32), at
                 at += len(part)
-                k = len(n)
-                if not k:
+                if not len(n):
                     continue
                 if not partly:
-                    bucket = pa.array((ids % np.uint64(buckets)).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([bucket, batch.column(0).take(docs), batch.column(1).take(docs), pa.array(place.astype(np.int32)), pa.array(ids.view(np.int64)), pa.nulls(k, pa.binary())], names=["bucket", "doc_id", "h", "line", "id", "held"])
+                    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                    docs, cuts = pa.array(doc[first] + base), pa.array(np.r_[first, len(doc)].astype(np.int32))
+                    lists = pa.ListArray.from_arrays(cuts, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(ids.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array((ids[first] % np.uint64(buckets)).astype(np.int32)), batch.column(0).take(docs), batch.column(1).take(docs), *lists, pa.nulls(len(first), pa.binary())], names=["bucket", "doc_id", "h", "line", "id", "held"])
                 # a set that this task has met before, not later in the order, has its postings already
                 slot = (ids >> np.uint64(32)).astype(np.int64) % SEEN
                 new = (seen[slot] != ids) | (doc_of[slot] > rank) | ((doc_of[slot] == rank) & (line_of[slot] > turn))
@@ -537,7 +556,7 @@ def _meet(t: Fraction, last: bool = False):
     def rows_of(a: np.ndarray, b: np.ndarray | None, d: np.ndarray | int) -> pa.RecordBatch:
         k = len(a)
         d = np.full(k, d) if isinstance(d, int) else d
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.nulls(k, pa.int64()) if b is None else pa.array(b.view(np.int64)), pa.array(d.astype(np.int32)), pa.nulls(k, kind[0]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.nulls(k, pa.int64()) if b is None else pa.array(b.view(np.int64)), pa.array(d.astype(np.int32)), pa.nulls(k, kind[0]), pa.nulls(k, pa.int64()), pa.nulls(k, INTS), pa.nulls(k, LONGS)], names=NAMES)
 
     kind: list[pa.DataType] = []
 
@@ -552,7 +571,7 @@ def _meet(t: Fraction, last: bool = False):
                 k = lines.num_rows
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), *[lines.column(j) for j in (1, 2, 3, 4)]], names=NAMES)
             if keys.num_rows:
-                yield rows_of(keys.column(4).to_numpy().view(np.uint64), None, REFINE)
+                yield rows_of(keys.column(4).flatten().to_numpy().view(np.uint64), None, REFINE)
             sent = batch.filter(batch.column(5).is_valid())
             for bucket, x in zip(sent.column(0).to_pylist(), sent.column(5).to_pylist()):
                 if bucket != now and held:
@@ -584,11 +603,11 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
     def met(last: bool, refined: list[np.ndarray]) -> DataFrame:
         sent = hashed.mapInArrow(_send(rarity, hot, exact, min_words, buckets, refined), SENT.format(id=kind))
-        return scratch.write(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(exact, last), f"a bigint, b bigint, d int, doc_id {kind}, h bigint, line int, id bigint"))
+        return scratch.write(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(exact, last), f"a bigint, b bigint, d int, doc_id {kind}, h bigint, line array<int>, id array<bigint>"))
 
     rounds = rounds_of(exact)
     turns = [met(rounds == 0, [])]
-    found = turns[0].filter("line is not null").select("doc_id", "h", "line", "id")
+    found = turns[0].filter("line is not null").select("doc_id", "h", F.inline(F.arrays_zip("line", "id")))
     refined: list[np.ndarray] = []
     while len(refined) < rounds:
         deeper = turns[-1].filter(F.col("d") == REFINE)
