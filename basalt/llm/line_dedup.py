@@ -11,7 +11,7 @@ A word that more than LIMIT lines may hold isn't a key by itself: it is one toge
 with each later word of a prefix longer by one, which similar lines share too. A key that still has more
 than GROUP sets is refined by one more word in a further round, and a task stops sending a key's postings
 at that number, so no group of postings grows without bound. In a large group a set takes its closest candidates
-only; a set that they don't settle takes all, in a round of its own. So no group's pairs are all written.
+only, and more of them are written beside; a set that they don't settle takes all, in a round of its own. So no group's pairs are all written.
 
 Sets are told apart by 64-bit hashes of their words: among s different sets about s * s / 2**65 pairs are taken
 for equal, 0.0004 for a hundred million sets.
@@ -60,14 +60,14 @@ LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 NAMES = ["a", "b", "d", "doc_id", "h", "line", "id"]
 #: Largest groups that are compared together with others.
 MIDDLE = 256
-#: Candidates that a set takes from a larger group, and how many if the closest is doubtful.
-CLOSE, DOUBTFUL = 3, 512
+#: Candidates that a set takes from a group, how many more are written beside, and how many it takes if the closest is doubtful.
+CLOSE, BESIDE, DOUBTFUL = 3, 128, 512
 #: Places of the table of sets that a task remembers.
 SEEN = 1 << 19
 #: Words of the bitmap of ids whose sets are needed for verification; it lets more ids pass where they are many.
 BITMAP = 1 << 17
-#: What a row of no pair is: the name of a key to refine, a set with the name of a key that has further candidates for it.
-REFINE, FURTHER = -1, -2
+#: What a row of no pair is: the name of a key to refine, a set's candidates that are written beside, a set with the name of a key that has still more for it.
+REFINE, ALSO, FURTHER = -1, -2, -3
 
 
 def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -413,42 +413,44 @@ def _meet(t: Fraction, last: bool = False):
             x, y, d, gap = x[ok], y[ok], d[ok], gap[ok]
         return x, y, d, gap
 
-    def closest(one: np.ndarray, two: np.ndarray, d: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For each ``one`` its closest candidates; and which have further ones."""
+    def ranked(one: np.ndarray, two: np.ndarray, d: np.ndarray, gap: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+        """The rows by ``one``, the closest first; their ranks; whether the closest of each is doubtful."""
         order = np.lexsort((two, d, one))
         one, two, d, gap = one[order], two[order], d[order], gap[order]
         first = np.flatnonzero(np.r_[True, one[1:] != one[:-1]]) if len(one) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[first, len(one)])
         rank = np.arange(len(one)) - np.repeat(first, sizes)
-        doubt = np.repeat(2 * d[first] > gap[first], sizes)
-        stay = rank < np.where(doubt, DOUBTFUL, CLOSE)
-        return one[stay], two[stay], d[stay], gap[stay], np.unique(one[~stay])
+        return (one, two, d, gap), rank, np.repeat(2 * d[first] > gap[first], sizes)
 
     class Found:
         """Pairs so far, of which each set keeps the closest; and the sets that have further ones."""
 
         def __init__(self, hint: np.ndarray):
-            self.hint, self.parts, self.more, self.held = hint, [], [np.zeros(0, np.int64)], 0
+            self.hint, self.parts, self.more, self.held, self.most = hint, [], [np.zeros(0, np.int64)], 0, 400_000
 
         def add(self, x: np.ndarray, y: np.ndarray, d: np.ndarray, gap: np.ndarray, both: bool) -> None:
             for one, two in ((x, y), (y, x)) if both else ((x, y),):
                 behind = self.hint[two] <= self.hint[one]
                 self.parts.append((one[behind], two[behind], d[behind], gap[behind]))
                 self.held += len(self.parts[-1][0])
-            if self.held > 400_000:
+            if self.held > self.most:
                 self.squeeze()
-
-        def squeeze(self) -> tuple[np.ndarray, ...]:
-            if not self.parts:
-                return (np.zeros(0, np.int64),) * 4
-            *best, more = closest(*(np.concatenate(c) for c in zip(*self.parts)))
-            self.parts, self.held = [tuple(best)], len(best[0])
-            self.more.append(more)
-            return tuple(best)
+                self.most = max(400_000, 2 * self.held)
+
+        def squeeze(self) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+            """What is kept, and which of it is taken."""
+            empty = np.zeros(0, np.int64)
+            cols, rank, doubt = ranked(*(np.concatenate(c) for c in zip(*self.parts)) if self.parts else (empty,) * 4)
+            stay = rank < np.where(doubt, DOUBTFUL, CLOSE + BESIDE)
+            self.more.append(np.unique(cols[0][~stay]))
+            cols = tuple(c[stay] for c in cols)
+            self.parts, self.held = [cols], len(cols[0])
+            return cols, (doubt | (rank < CLOSE))[stay]
 
         def result(self) -> tuple[np.ndarray, ...]:
-            one, two, d, _ = self.squeeze()
-            return one, two, d, np.unique(np.concatenate(self.more))
+            """Candidates taken, those beside, and the sets that have still more."""
+            (one, two, d, _), taken = self.squeeze()
+            return one[taken], two[taken], d[taken], one[~taken], two[~taken], np.unique(np.concatenate(self.more))
 
     def middle(at: np.ndarray, key: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, hint: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Candidates within all groups of some size, each set with the one after it, then with the next, as far as sizes allow."""
@@ -489,7 +491,7 @@ def _meet(t: Fraction, last: bool = False):
             lead = np.sort(f + np.argsort(hint[f:e], kind="stable")[:256])
             for at in range(0, len(act), 4096):
                 found.add(*sift(*near(act[at : at + 4096], lead), sig, n, pos), False)
-            one, _, d, gap = found.squeeze()
+            (one, _, d, gap), _ = found.squeeze()
             sure = np.unique(one[2 * d <= gap])
             found.more.append(sure)
             act = np.setdiff1d(act, sure, assume_unique=True)
@@ -528,23 +530,24 @@ def _meet(t: Fraction, last: bool = False):
             yield rows_of(np.unique(name[deeper]), None, REFINE)
             key, ids, sig, n, pos, hint, size, name = (c[~deeper] for c in (key, ids, sig, n, pos, hint, size, name))
         one, two, gap = [], [], []
-        x, y, d, more = middle(np.flatnonzero(size <= MIDDLE), key, sig, n, pos, hint, size)
-        one.append(x)
-        two.append(y)
-        gap.append(d)
-        if len(more):
-            yield rows_of(ids[more], name[more], FURTHER)
-        big = np.flatnonzero(size > MIDDLE)
-        k = key[big]
-        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-        for f, e in zip(starts, np.r_[starts[1:], len(k)]):
-            f, e = int(big[f]), int(big[e - 1]) + 1
-            x, y, d, more = large(f, e, sig, n, pos, hint)
+
+        def tell(x: np.ndarray, y: np.ndarray, d: np.ndarray, also: np.ndarray, beside: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
             one.append(x)
             two.append(y)
             gap.append(d)
+            if len(also):
+                first = np.flatnonzero(np.r_[True, also[1:] != also[:-1]])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(also)].astype(np.int32)), pa.array(ids[beside].view(np.int64)))
+                yield rows_of(ids[also[first]], None, ALSO, lists)
             if len(more):
                 yield rows_of(ids[more], name[more], FURTHER)
+
+        yield from tell(*middle(np.flatnonzero(size <= MIDDLE), key, sig, n, pos, hint, size))
+        big = np.flatnonzero(size > MIDDLE)
+        k = key[big]
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+        for f, e in zip(starts, np.r_[starts[1:], len(k)]):
+            yield from tell(*large(int(big[f]), int(big[e - 1]) + 1, sig, n, pos, hint))
         x, y, d = np.concatenate(one), np.concatenate(two), np.concatenate(gap)
         a, b = ids[x].view(np.int64), ids[y].view(np.int64)
         order = np.lexsort((b, a))
@@ -553,10 +556,10 @@ def _meet(t: Fraction, last: bool = False):
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         yield rows_of(a[new], b[new], d[new])
 
-    def rows_of(a: np.ndarray, b: np.ndarray | None, d: np.ndarray | int) -> pa.RecordBatch:
+    def rows_of(a: np.ndarray, b: np.ndarray | None, d: np.ndarray | int, beside: pa.Array | None = None) -> pa.RecordBatch:
         k = len(a)
         d = np.full(k, d) if isinstance(d, int) else d
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.nulls(k, pa.int64()) if b is None else pa.array(b.view(np.int64)), pa.array(d.astype(np.int32)), pa.nulls(k, kind[0]), pa.nulls(k, pa.int64()), pa.nulls(k, INTS), pa.nulls(k, LONGS)], names=NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.nulls(k, pa.int64()) if b is None else pa.array(b.view(np.int64)), pa.array(d.astype(np.int32)), pa.nulls(k, kind[0]), pa.nulls(k, pa.int64()), pa.nulls(k, INTS), pa.nulls(k, LONGS) if beside is None else beside], names=NAMES)
 
     kind: list[pa.DataType] = []
 
@@ -618,12 +621,12 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     line = F.struct("doc_id", "h", "line")
     first = scratch.write(found.groupBy("id").agg(F.min(line).alias("first"), F.count("*").alias("n")))
 
-    def settled(pairs: DataFrame) -> DataFrame:
-        """Ids of the sets a with an earlier similar one among the candidates (a, b, d); whether b is earlier is seen when it is verified.
+    def settled(pairs: DataFrame, beside: DataFrame) -> DataFrame:
+        """Ids of the sets a with an earlier similar one among the candidates (a, b, d) or, where those fail, those beside (a, id); whether b is earlier is seen when it is verified.
 
         Of two similar sets the one that comes first as a line stands, and a set's lines after its first go anyway, so a set needs one earlier partner.
         """
-        needed = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        needed = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(beside.select(F.explode("id").alias("id"))))
         known = first.filter(may_have(needed)(F.col("id"))).select("id", "first")
         sets = own.select("text").mapInArrow(_sets(rarity, min_words, needed), "id bigint, words array<bigint>")
         sets = scratch.write(sets.groupBy("id").agg(F.first("words").alias("words")).join(known, "id"))
@@ -631,8 +634,9 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         likely = scratch.write(pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
         sure = scratch.write(_verified(likely, sets, exact))
         unsure = may_have(bitmap_of(likely.join(sure, "a", "left_anti").select(F.col("a").alias("id"))))
-        rest = pairs.filter(unsure(F.col("a"))).select("a", "b").distinct().join(sure, "a", "left_anti").join(likely, ["a", "b"], "left_anti")
-        return scratch.write(sure.unionByName(_verified(scratch.write(rest), sets, exact)).distinct().select(F.col("a").alias("id")))
+        rest = pairs.select("a", "b").unionByName(beside.filter(unsure(F.col("a"))).select("a", F.explode("id").alias("b"))).filter(unsure(F.col("a")))
+        rest = scratch.write(rest.distinct().join(sure, "a", "left_anti").join(likely, ["a", "b"], "left_anti"))
+        return scratch.write(sure.unionByName(_verified(rest, sets, exact)).distinct().select(F.col("a").alias("id")))
 
     def exhausted(open_: DataFrame) -> DataFrame:
         """The same of sets (id, key) among all sets under those keys; the words come with the keys."""
@@ -645,8 +649,8 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         return both.filter(_alike("words_a", "words_b", exact)).select(F.col("id_a").alias("id")).distinct()
 
     pairs = reduce(DataFrame.unionByName, (x.filter("d >= 0").select("a", "b", "d") for x in turns))
-    similar = settled(pairs)
-    # sets that none of the closest candidates settled, though there were others
+    similar = settled(pairs, reduce(DataFrame.unionByName, (x.filter(F.col("d") == ALSO).select("a", "id") for x in turns)))
+    # sets that none of these settled, though there were still more
     further = reduce(DataFrame.unionByName, (x.filter(F.col("d") == FURTHER).select(F.col("a").alias("id"), F.col("b").alias("key")) for x in turns))
     open_ = scratch.write(further.join(similar, "id", "left_anti").distinct())
     if not open_.isEmpty():

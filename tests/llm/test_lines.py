@@ -56,12 +56,12 @@ def long_lines(n, seed, words=400):
     return rows
 
 
-@pytest.mark.parametrize("group, limit, close, doubtful, middle", [(8192, 5000, 3, 48, 256), (20, 10, 1, 1, 6), (8192, 0, 1, 2, 30), (8, 3, 1, 1, 4)])
-def test_large_groups_match_brute_force(spark, monkeypatch, group, limit, close, doubtful, middle):
+@pytest.mark.parametrize("group, limit, close, beside, doubtful, middle", [(8192, 5000, 3, 128, 48, 256), (20, 10, 1, 2, 1, 6), (8192, 0, 1, 0, 2, 30), (8, 3, 1, 0, 1, 4)])
+def test_large_groups_match_brute_force(spark, monkeypatch, group, limit, close, beside, doubtful, middle):
     """Refined keys, few candidates a set and groups without end lose no similar pair."""
     from tests.llm.test_cases import brute_lines
 
-    for name, value in (("GROUP", group), ("LIMIT", limit), ("CLOSE", close), ("DOUBTFUL", doubtful), ("MIDDLE", middle)):
+    for name, value in (("GROUP", group), ("LIMIT", limit), ("CLOSE", close), ("BESIDE", beside), ("DOUBTFUL", doubtful), ("MIDDLE", middle)):
         monkeypatch.setattr(line_dedup, name, value)
     rows = long_lines(150, 4)
     want = brute_lines(rows)
