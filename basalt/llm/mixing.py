@@ -5,12 +5,15 @@ size. The whole part is taken; the fractional part is an inclusion probability.
 documents move their probabilities through the null space of two balances, the number of
 documents and of tokens, three at a time, so that each step settles one document and
 both totals stay. At most two documents of a block remain; they form the next
-level's blocks, until a source has one block, whose last two land where the tokens come closest.
+level's blocks, until a source has one block. Of that the flight leaves LANDING documents, small ones as large ones are settled
+first, and they land where the tokens come closest.
 
-Defined results: a null text has size 0. Sources go by code point, null last, and take the
+Defined results: a null text has size 0, and so has an empty one; a text of any length is counted whole. Sources go by code point, null last, and take the
 weights in turn. Rows equal in source, doc_id and text are taken together. Reruns agree,
 whatever the partitions: blocks and random numbers come from hashes. No document is
-taken more than twice. An empty table, or one without words, gives targets of 0.
+taken more than twice. An empty table, or one without words, gives targets of 0. Further columns of any
+names stay with ``mix``. Equal rows count as one document of their size together, so a source that consists of one
+such lump comes no nearer to its target than the lump allows.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ import math
 import random
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,34 +31,45 @@ from basalt.plans.scratch import Scratch, settle
 
 #: Documents of a block.
 BLOCK = 20_000
-#: Documents of a source that are so few that the landing tries every choice.
-FEW = 14
-
-
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+#: Documents of the landing problem, whatever the source: of its last block, the flight leaves that many, small ones.
+LANDING = 12
+
+def ranked(own: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with their rank, from 0, by code point of the source, null last: ranges of sources count on their own, and go on where the ranges before them end."""
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = scratch.write(own.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    counts = dict(dealt.groupBy("part").count().collect())  # a row for each partition
+    before, total = {}, 0
+    for part in sorted(counts):
+        before[part] = total
+        total += counts[part]
+    base = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.withColumn("rank", place + base[F.col("part").cast("long")]).drop("part")
+
+
+def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size and target, from rows of source and size.
 
-    Targets are in proportion to the weights except where they would exceed ``most`` times the source's size: with
-    the sources in order of size over weight, those that stop are the first ones, and what they leave is shared by the rest.
+    Targets are in proportion to the weights except where they would exceed ``most`` times the source's size: such sources stop there, and what
+    they leave is shared by the rest, until none is above. Each turn is an aggregation over the sources, of which there may be many.
     """
     own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    cap = F.col("source_size") * F.lit(float(most))
-    named = own.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))).withColumn("cap", cap)
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    zero = F.lit(0.0)
-    rest = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(order), zero)
-    heavy = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(order), zero)
-    level = named.withColumn("level", rest / heavy)
-    level = level.withColumn("stops", F.col("cap") <= F.col("w") * F.col("level"))
-    free = F.min(F.when(~F.col("stops"), F.struct((F.col("cap") / F.col("w")).alias("r"), F.col("level").alias("level")))).over(everything)
-    target = F.when(F.col("stops"), F.col("cap")).otherwise(F.col("w") * free.level)
-    return level.select("source", "source_size", target.alias("target"))
-
-
-def fly(size: np.ndarray, p: np.ndarray, rng: random.Random) -> np.ndarray:
-    """Probabilities after the flight: all but two at most are 0 or 1, and the sums of p and of size * p stay. Large documents are settled first."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    named = scratch.write(ranked(own, scratch).select("source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap")))
+    whole, heavy = named.agg(F.sum("source_size"), F.sum("w")).first()
+    level, stopped = 0.0, -1
+    while heavy:
+        stops = F.col("cap") <= F.col("w") * F.lit(level)
+        n, cap, w = named.filter(stops).agg(F.count("*"), F.sum("cap"), F.sum("w")).first() if level else (0, None, None)
+        if n == stopped or (w or 0) >= heavy:
+            break
+        stopped, level = n, (float(whole or 0) * share - (cap or 0.0)) / (heavy - (w or 0.0))
+    return named.select("source", "source_size", F.least("cap", F.col("w") * F.lit(float(level))).alias("target"))
+
+
+def fly(size: np.ndarray, p: np.ndarray, rng: random.Random, rest: int = 2) -> np.ndarray:
+    """Probabilities after the flight: all but ``rest`` at most are 0 or 1, and the sums of p and of size * p stay. Large documents are settled first."""
     p = p.astype(float).tolist()
     todo = [int(i) for i in np.argsort(-size, kind="stable") if 0.0 < p[i] < 1.0]
     todo.reverse()
@@ -65,7 +78,7 @@ def fly(size: np.ndarray, p: np.ndarray, rng: random.Random) -> np.ndarray:
     while True:
         while len(active) < 3 and todo:
             active.append(todo.pop())
-        if len(active) < 2:
+        if len(active) < 2 or len(active) + len(todo) <= rest:
             break
         s = [int(size[i]) for i in active]
         if len(active) == 3:
@@ -89,39 +102,13 @@ def fly(size: np.ndarray, p: np.ndarray, rng: random.Random) -> np.ndarray:
     return np.array(p)
 
 
-def land(size: np.ndarray, before: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The last fractional ones, at most two, rounded so that the tokens come closest, then the number of documents.
-
-    Then one document taken may give way to one left out, where that brings the block's tokens closer to those expected;
-    among a few documents the best choice of all is taken.
-    """
+def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The fractional ones, at most LANDING, rounded so that the tokens come closest, then the number of documents; all others are settled."""
     p = p.copy()
     left = np.flatnonzero((p > 0) & (p < 1))
-    want = float((size[left] * p[left]).sum())
-    number = float(p[left].sum())
-    best = min(range(2 ** len(left)), key=lambda m: (abs(sum(int(size[i]) for k, i in enumerate(left) if m >> k & 1) - want), abs(bin(m).count("1") - number), m))
-    for k, i in enumerate(left):
-        p[i] = float(best >> k & 1)
-    free = np.flatnonzero((before > 0) & (before < 1) & (size > 0))
-    if 0 < len(free) <= FEW:
-        # so few that every choice can be tried
-        want, number = float((size[free] * before[free]).sum()), float(before[free].sum())
-        choice = (np.arange(1 << len(free))[:, None] >> np.arange(len(free))) & 1
-        gap, other = np.abs(choice @ size[free] - want), np.abs(choice.sum(axis=1) - number)
-        p[free] = choice[np.lexsort((other, gap))[0]]
-        return p
-    for _ in range(3):
-        lack = float((size * before).sum() - (size * p).sum())
-        out, taken = free[p[free] == 0], free[p[free] == 1]
-        if not len(out) or not len(taken):
-            break
-        out = out[np.argsort(size[out], kind="stable")]
-        near = np.searchsorted(size[out], size[taken] + lack)
-        tries = [(abs(lack - (int(size[out[j]]) - int(size[i]))), int(i), int(out[j])) for i, n in zip(taken, near) for j in (n - 1, n) if 0 <= j < len(out)]
-        gap, i, j = min(tries)
-        if gap >= abs(lack):
-            break
-        p[i], p[j] = 0.0, 1.0
+    choice = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    gap, other = np.abs(choice @ size[left] - (size[left] * p[left]).sum()), np.abs(choice.sum(axis=1) - p[left].sum())
+    p[left] = choice[np.lexsort((other, np.round(gap, 6)))[0]]
     return p
 
 
@@ -129,14 +116,17 @@ FLIGHT = "doc_id {id}, source string, h bigint, n_rows bigint, size bigint, unit
 
 
 def _level(number: int, seed: int):
-    def run(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values(["h", "doc_id"], kind="stable")
-        unit, p = held["unit"].to_numpy(), held["p"].to_numpy()
-        rng = random.Random(f"{seed}/{number}/{key[0]}/{key[1]}")
-        before, p = p, fly(unit, p, rng)
-        if int(held["blocks"].iloc[0]) == 1:
-            p = land(unit, before, p)
-        return held.assign(p=p)[[f.split()[0] for f in FLIGHT.split(", ")]]
+    def run(key: tuple, held: pa.Table) -> pa.Table:
+        """One block; ids stay in Arrow, as numpy would round those beside a null."""
+        held = held.sort_by([("h", "ascending"), ("doc_id", "ascending")])
+        unit = held.column("unit").to_numpy()
+        rng = random.Random(f"{seed}/{number}/{key[0].as_py()}/{key[1].as_py()}")
+        last = held.column("blocks")[0].as_py() == 1
+        p = fly(unit, held.column("p").to_numpy(), rng, LANDING if last else 2)
+        if last:
+            p = land(unit, p)
+        held = held.set_column(held.column_names.index("p"), "p", pa.array(p))
+        return held.select([f.split()[0] for f in FLIGHT.split(", ")])
 
     return run
 
@@ -149,7 +139,7 @@ def draw(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").alias("text"))
     sized = per_text(own, "text", lambda x: (len(x.encode().split()),), [("size", pa.int64())], "held")
     sized = scratch.write(sized.select("doc_id", "source", F.xxhash64("text").alias("h"), F.col("held.size").alias("size")))
-    wanted = targets(sized, weights, share, most)
+    wanted = targets(sized, scratch, weights, share, most)
     units = sized.groupBy("doc_id", "source", "h", "size").agg(F.count("*").alias("n_rows"))
     named = units.join(wanted.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -165,7 +155,7 @@ def draw(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     while most_units:
         counts = moving.groupBy("source").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("blocks")).withColumnRenamed("source", "of")
         dealt = moving.join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("block", F.pmod(F.xxhash64("h", "doc_id", F.lit(level)), F.col("blocks")))
-        flown = scratch.write(dealt.groupBy("source", "block").applyInPandas(_level(level, seed), FLIGHT.format(id=kind))).drop("blocks")
+        flown = scratch.write(dealt.groupBy("source", "block").applyInArrow(_level(level, seed), FLIGHT.format(id=kind))).drop("blocks")
         done = done.unionByName(flown.filter("not (p > 0 and p < 1)"))
         if most_units <= block:
             break

@@ -231,6 +231,32 @@ def test_mixing_in_many_blocks(spark):
         assert abs(sum(r.size * r.copies for r in own) - own[0].target) < 500
 
 
+def test_mixing_keeps_every_id(spark):
+    """A null id beside ids of 60 bits, and sources by hundreds with one that holds a third."""
+    rows = [(2**60 + i, "w " * (i % 9 + 1), "a") for i in range(40)] + [(None, "w w w", "a")]
+    drawn = mixing.draw(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert sorted(str(r.doc_id) for r in drawn) == sorted(str(r[0]) for r in rows)
+    rows = [(i, "w " * (i % 50 + 1), f"s{i % 211:03d}" if i % 3 else None) for i in range(3000)]
+    drawn = mixing.draw(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    sizes, taken, target = {}, {}, {}
+    for r in drawn:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+        taken[r.source] = taken.get(r.source, 0) + r.size * r.copies
+        target[r.source] = r.target
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: (3, 1, 2)[k % 3] for k, x in enumerate(names)}
+    stop, total = set(), 1.5 * sum(sizes.values())
+    while True:
+        level = (total - sum(2 * sizes[x] for x in stop)) / sum(weight[x] for x in names if x not in stop)
+        more = {x for x in names if x not in stop and weight[x] * level >= 2 * sizes[x]}
+        if not more:
+            break
+        stop |= more
+    for x in names:
+        assert abs(target[x] - (2 * sizes[x] if x in stop else weight[x] * level)) < 1e-6 * total
+        assert abs(taken[x] - target[x]) <= 50
+
+
 def test_flight_keeps_both_balances():
     size = np.array([5, 9, 2, 2, 7, 30, 1, 1, 4, 4, 4, 12])
     p = np.full(len(size), 0.37)
