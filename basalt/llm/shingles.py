@@ -1,13 +1,7 @@
-"""Near-duplicates by the Jaccard index of word shingles.
+"""Sets of word shingles, and the Jaccard index of pairs of them.
 
-A text is the set of its lower-cased shingles of ``width`` words. Candidates come from min-wise hashes, BANDS keys of
-ROWS hashes each: texts that agree in a key meet. Two texts at an index of 0.8 share none of the keys with a
-probability of (1 - 0.8 ** 4) ** 32, about 5e-8, and less above. Every link is then verified on the sets, so no
-two texts are linked below t. First each text is tried against the likeliest of its groups' least members; then all
-pairs of a group are whose ends these links haven't joined, whatever the group's size.
-
-Defined results: a null text is empty; texts without words are alike. Fewer words than a shingle has make one
-shingle. Texts of equal sets are one from the start. A null doc_id keeps its row unless an earlier one is alike.
+A text is the set of its lower-cased shingles of ``width`` words, as 64-bit hashes. Fewer words than a shingle
+has make one shingle; a text without words, or null, has the empty set, whose id is 0.
 """
 
 from __future__ import annotations
@@ -20,21 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import text_batches
-from basalt.llm.components import components
+from basalt.llm.common import byte_batches
 from basalt.llm.line_dedup import SEEN, bitmap_of, in_bitmap, may_have
-from basalt.llm.simhash import first_rows
 from basalt.llm.words import mix, pack_texts, word_hashes
-from basalt.plans.scratch import Scratch, settle
-from basalt.plans.ship import ship
-
-BANDS, ROWS = 32, 4
-_TURNS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The texts' sets of shingle hashes one after another, each sorted; start of each, its size, its id (0 for none)."""
-    data, ends = pack_texts([t.encode().lower() for t in texts])
+    data, ends = pack_texts([t.lower() for t in texts])
     h, at, _ = word_hashes(data)
     words = np.bincount(np.searchsorted(ends, at), minlength=len(texts))
     first = np.cumsum(words) - words
@@ -58,41 +45,13 @@ def shingle_sets(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarr
     return s, start, n, ids
 
 
-def band_keys(s: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """BANDS keys for each of the sets, none of them empty."""
-    keys = np.empty((len(start), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(start), band + 1, np.uint64)
-        for turn in _TURNS[band * ROWS : (band + 1) * ROWS]:
-            key = mix(key * np.uint64(3) + np.minimum.reduceat(s * turn, start))
-        keys[:, band] = key
-    return keys
-
-
-def _keys(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for part in text_batches(batch.column(2)):
-                s, start, n, ids = shingle_sets(part, width)
-                some = n > 0
-                flat = band_keys(s, start[some]).reshape(-1) if some.any() else np.zeros(0, np.uint64)
-                offsets = np.r_[0, np.cumsum(np.where(some, BANDS, 0))].astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
-                own = batch.slice(at, len(part))
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64)), keys], names=["doc_id", "h", "id", "n", "keys"])
-
-    return run
-
-
-def _sets(width: int, bitmap: np.ndarray):
+def set_rows(width: int, bitmap: np.ndarray):
     """Sets of the texts whose id the bitmap has; a set may come from several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in text_batches(batch.column(0)):
+            for part in byte_batches(batch.column(0)):
                 s, start, n, ids = shingle_sets(part, width)
                 if len(seen) > SEEN:
                     seen.clear()
@@ -109,44 +68,9 @@ def _sets(width: int, bitmap: np.ndarray):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """The written pairs (a, b) whose sets are as similar as t; only the sets of the pairs move."""
     own = sets.filter(may_have(bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id"))))(F.col("id")))
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common * t.denominator >= t.numerator * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
-def links(own: DataFrame, docs: DataFrame, scratch: Scratch, width: int, t: Fraction) -> DataFrame:
-    """Verified links (a, b) that join all sets that the keys bring together and that are as similar as t; own: id, n and keys of each set."""
-    keyed = own.select("id", "n", F.explode("keys").alias("key"))
-    lead = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    met = scratch.write(keyed.join(lead, "key"))
-    sets = docs.select("text").mapInArrow(_sets(width, bitmap_of(met.select("id"))), "id bigint, words array<bigint>")
-    sets = scratch.write(sets.groupBy("id").agg(F.first("words").alias("words")))
-    likely = met.filter("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "lead")).alias("best"))
-    likely = scratch.write(likely.select(F.col("id").alias("a"), F.col("best.lead").alias("b")))
-    sure = scratch.write(_verified(likely, sets, t))
-    rooted = met.join(components(sure, scratch).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
-    rooted = scratch.write(rooted.join(mixed, "key"))
-    x, y = (rooted.select("key", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
-    sized = (F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-    tried = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = scratch.write(x.join(y, "key").filter(sized).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    return sure.unionByName(_verified(rest, sets, t))
-
-
-def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, t: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: the smallest doc_id of each group stays (among null ids and repeated rows, one), with its columns as they are."""
-    ship(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "shingles")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
-    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    made = texts.mapInArrow(_keys(width), f"doc_id {kind}, h bigint, id bigint, n bigint, keys array<bigint>")
-    own = scratch.write(made.groupBy("id").agg(F.min(rank).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    roots = components(links(own, texts, scratch, width, Fraction(t).limit_denominator(1000)), scratch)
-    rooted = own.select("id", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    kept = settle(rooted.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.h"), "kept-documents", scratch)
-    return first_rows(docs, kept, doc_id, text)

@@ -2,10 +2,10 @@
 
 import random
 
-import numpy as np
+import pytest
 
 import corpus_pipeline
-from basalt.llm import shingles
+from basalt.llm import similar_texts
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -52,13 +52,33 @@ def test_stage_takes_all_near_copies(spark):
     assert 40 <= len(want) < 240
 
 
-def test_keys_meet_at_the_threshold():
-    """Pairs at an index of 0.8 share a key, nearly always."""
-    rng = np.random.default_rng(1)
-    missed = 0
-    for _ in range(300):
-        s = rng.integers(0, 1 << 63, 100, np.uint64)
-        a, b = s[:90], np.r_[s[:80], s[90:]]
-        keys = shingles.band_keys(np.r_[a, b], np.array([0, 90]))
-        missed += not (keys[0] == keys[1]).any()
-    assert missed == 0
+def test_copies_of_the_threshold_meet():
+    """Texts of which 2 % of the words differ, 0.8 alike in shingles of five, share a key in all but a few of a hundred cases."""
+    rng = random.Random(1)
+    met = 0
+    for _ in range(200):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        copy = list(words)
+        for k in range(5, 300, 50):
+            copy[k] = f"x{rng.randrange(3000)}"
+        fp = similar_texts.word_prints([" ".join(words).encode(), " ".join(copy).encode()])
+        keys = [{int(k) for key, rows, _ in similar_texts.variants(fp) for k, r in zip(key, rows) if r == i} for i in (0, 1)]
+        met += bool(keys[0] & keys[1])
+    assert met >= 190
+
+
+@pytest.mark.parametrize("limit, close", [(32_768, 1), (4, 1)])
+def test_large_groups_keep_their_links(spark, monkeypatch, limit, close):
+    """Copies of a few patterns, more than a text takes partners, and groups that are indexed again."""
+    monkeypatch.setattr(similar_texts, "LIMIT", limit)
+    monkeypatch.setattr(similar_texts, "CLOSE", close)
+    rng = random.Random(9)
+    rows = []
+    for _ in range(4):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for _ in range(25):
+            copy = list(words)
+            copy[rng.randrange(400)] = f"x{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    assert {r.doc_id for r in similar_texts.first_of_groups(docs).collect()} == brute(rows)
