@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import line_dedup, mixing, packing, quality, shingles
+from basalt.llm import line_dedup, mixing, packing, quality, similar_texts
 from basalt.plans.scratch import Scratch
 
 
@@ -20,12 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take lines out that are at least 0.8 alike to an earlier one, short ones too."""
-    return line_dedup.dedup_lines(docs, t=0.8, min_words=1)
+    return line_dedup.dedup_lines(docs, t=0.8)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: shingles of five words, 0.8 or more alike."""
-    return shingles.first_of_groups(docs, width=5, t=0.8)
+    """Keep one document of each group of near-duplicates by SimHash: shingles of five words, 0.8 or more alike."""
+    return similar_texts.first_of_groups(docs, width=5, t=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", lines), ("near-dedup", near_duplicates), ("mixing sources", mix_sources), ("best-fit packing", pack)]
+STAGES = [("quality rules", quality_rules), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing sources", mix_sources), ("best-fit packing", pack)]
 #: The drawn mix and the bred packing aren't expressible in SQL.
 ORACLE_SQL = None
 
