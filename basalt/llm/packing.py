@@ -2,13 +2,13 @@
 
 Documents are tokenized once; a piece is a document's ids with the end id, cut only where
 they exceed the capacity. Blocks of pieces are bred by islands: an island keeps a few
-packings of its block, and crossover injects whole well-filled bins of one packing into
+packings of its block, at first best-fits in random orders, and crossover injects whole well-filled bins of one packing into
 another, drops the bins that then hold something twice, and best-fits the displaced pieces.
 Between epochs the best packing of each island migrates to its neighbour. Well-filled
 bins of the best packing are final; what lies in the others goes on to a next round, where
-it is dealt to fewer blocks, until one block is left.
+it is dealt to fewer blocks, until one block is left or a round has settled less than a tenth.
 
-Defined results: a null or empty text is one piece with the end id alone. Repeated rows are
+Defined results: a null or empty text is one piece with the end id alone, a text of any length as many as it needs. Repeated rows are
 packed as documents of their own. A piece of full capacity is a sequence by itself. Sequence
 numbers are unique, not gapless. An empty table gives an empty table. Further columns are
 left out.
@@ -163,15 +163,14 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, doc_id
 
 @dataclass(frozen=True)
 class Breeding:
-    """block: pieces of a block; islands: islands of a block; epochs: with migration between; size: packings an island keeps; generations: crossovers times size, in an epoch; full: fill from which a bin is final."""
+    """block: pieces of a block; islands: islands of a block; epochs: with migration between; size: packings an island keeps; generations: most crossovers of an epoch, times size; full: fill from which a bin is final."""
 
     block: int = 6000
     islands: int = 2
     epochs: int = 2
-    size: int = 4
-    generations: int = 3
+    size: int = 6
+    generations: int = 10
     full: float = 0.995
-    rounds: int = 4
 
 
 def best_fit(order: list[int], lens: list[int], capacity: int, bins: list[list[int]]) -> list[list[int]]:
@@ -228,31 +227,33 @@ def cross(a: list[list[int]], b: list[list[int]], lens: list[int], capacity: int
     return best_fit(displaced, lens, capacity, inject + kept)
 
 
-def evolve(lens: list[int], capacity: int, given: list[list[list[int]]], seed: int, breeding: Breeding) -> list[list[int]]:
-    """The best packing of one island after one epoch."""
+def evolve(lens: list[int], capacity: int, given: list[list[list[int]]], seed: int, breeding: Breeding) -> tuple[list[list[int]], int]:
+    """The best packing of one island after one epoch, and the number of crossovers that it took.
+
+    An island begins with the packings given and best-fits its items in random orders; it breeds until a packing needs no
+    more bins than the sum of the lengths does.
+    """
     rng = random.Random(seed)
     least = -(-sum(lens) // capacity)
     people = [(fitness(g, lens, capacity), g) for g in given]
-    if not people:
-        first = best_fit(sorted(range(len(lens)), key=lambda i: (-lens[i], i)), lens, capacity, [])
-        people.append((fitness(first, lens, capacity), first))
-    while len(people) < breeding.size and -people[0][0][0] > least:
-        noise = [n * (1 + 0.2 * rng.random()) for n in lens]
-        own = best_fit(sorted(range(len(lens)), key=lambda i: (-noise[i], i)), lens, capacity, [])
+    while len(people) < max(2, breeding.size):
+        order = list(range(len(lens)))
+        rng.shuffle(order)
+        own = best_fit(order, lens, capacity, [])
         people.append((fitness(own, lens, capacity), own))
     people.sort(key=lambda p: p[0], reverse=True)
-    for _ in range(breeding.generations * breeding.size):
-        if -people[0][0][0] <= least:
-            break
+    crossings = 0
+    while crossings < breeding.generations * breeding.size and -people[0][0][0] > least:
         one, two = rng.sample(range(len(people)), 2)
         child = cross(people[min(one, two)][1], people[max(one, two)][1], lens, capacity, rng)
+        crossings += 1
         people.append((fitness(child, lens, capacity), child))
         people.sort(key=lambda p: p[0], reverse=True)
-        del people[breeding.size :]
-    return people[0][1]
+        del people[max(2, breeding.size) :]
+    return people[0][1], crossings
 
 
-STATE = "block bigint, island int, item bigint, length bigint, bin int, elite int, bins int"
+STATE = "block bigint, island int, item bigint, length bigint, bin int, elite int, bins int, crossings int"
 
 
 def _epoch(capacity: int, epoch: int, breeding: Breeding):
@@ -269,10 +270,10 @@ def _epoch(capacity: int, epoch: int, breeding: Breeding):
                 own = own.sort_values(["bin", "at"])
                 cuts = np.flatnonzero(np.diff(own["bin"].to_numpy())) + 1
                 given.append([x.tolist() for x in np.split(own["at"].to_numpy(), cuts)])
-        bins = evolve(lens_of.tolist(), capacity, given, hash((block, island, epoch)), breeding)
+        bins, crossings = evolve(lens_of.tolist(), capacity, given, hash((block, island, epoch)), breeding)
         order = np.array([i for b in bins for i in b], np.int64)
         number = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-        return pd.DataFrame({"block": block, "island": island, "item": items[order], "length": lens_of[order], "bin": number, "elite": island, "bins": len(bins)})
+        return pd.DataFrame({"block": block, "island": island, "item": items[order], "length": lens_of[order], "bin": number, "elite": island, "bins": len(bins), "crossings": crossings})
 
     return run
 
@@ -285,15 +286,14 @@ def pack(items: DataFrame, capacity: int = 4096, breeding: Breeding = Breeding()
     final = []
     whole = items.filter(F.col("length") >= capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = items.filter(F.col("length") < capacity).select("item", "length")
-    n = left.count()
-    for turn in range(breeding.rounds):
-        if not n:
-            break
+    n, before, turn = left.count(), 0, 0
+    while n:
         blocks = max(1, -(-n // breeding.block))
-        last = blocks == 1 or turn == breeding.rounds - 1
+        # another round is worth while unless the one before has left most pieces
+        last = blocks == 1 or turn > 0 and n > 0.9 * before
         dealt = left.withColumn("block", F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(blocks)))
         none = F.lit(-1)
-        state = dealt.select("block", F.explode(F.sequence(F.lit(0), F.lit(breeding.islands - 1))).alias("island"), "item", "length", none.alias("bin"), none.alias("elite"), none.alias("bins"))
+        state = dealt.select("block", F.explode(F.sequence(F.lit(0), F.lit(breeding.islands - 1))).alias("island"), "item", "length", none.alias("bin"), none.alias("elite"), none.alias("bins"), F.lit(0).alias("crossings"))
         for epoch in range(breeding.epochs):
             if epoch:
                 moved = state.withColumn("island", ((F.col("island") + 1) % breeding.islands).cast("int"))
@@ -308,7 +308,7 @@ def pack(items: DataFrame, capacity: int = 4096, breeding: Breeding = Breeding()
         if last:
             break
         left = filled.filter(F.col("fill") < breeding.full * capacity).select(F.explode("held").alias("h")).select("h.item", "h.length")
-        n, before = left.count(), n
+        n, before, turn = left.count(), n, turn + 1
     by_bin = Window.partitionBy("sequence_id").orderBy("item")
     out = whole
     for part in final:

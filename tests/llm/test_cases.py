@@ -396,10 +396,43 @@ def test_crossover_holds_every_item_once():
     two = packing.best_fit(sorted(range(200), key=lambda i: -lens[i]), lens, 4096, [])
     child = packing.cross(one, two, lens, 4096, rng)
     assert sorted(i for b in child for i in b) == list(range(200)) and all(sum(lens[i] for i in b) <= 4096 for b in child)
-    best = packing.evolve(lens, 4096, [], 1, packing.Breeding())
+    best, _ = packing.evolve(lens, 4096, [], 1, packing.Breeding())
     assert sorted(i for b in best for i in b) == list(range(200)) and len(best) <= len(two)
 
 
+def test_breeding_beats_best_fit():
+    """Bins of three that fill exactly: best-fit decreasing needs more of them than breeding, and so does every packing that breeding begins with."""
+    rng = random.Random(3)
+    lens = []
+    for _ in range(40):
+        a, b = rng.randrange(1100, 1500), rng.randrange(1100, 1500)
+        lens += [a, b, 4096 - a - b]
+    plain = packing.best_fit(sorted(range(len(lens)), key=lambda i: -lens[i]), lens, 4096, [])
+    start, none = packing.evolve(lens, 4096, [], 5, packing.Breeding(generations=0))
+    bred, crossings = packing.evolve(lens, 4096, [], 5, packing.Breeding(generations=100))
+    assert none == 0 and crossings > 0 and sorted(i for b in bred for i in b) == list(range(len(lens)))
+    assert max(sum(lens[i] for i in b) for b in bred) <= 4096 and len(bred) < min(len(plain), len(start))
+
+
+def test_packing_breeds(spark, monkeypatch):
+    """On the way from documents to sequences, crossovers happen and the bins come down to the bound."""
+    seen = []
+    write = packing.Scratch.write
+
+    def watch(self, df, *how):
+        out = write(self, df, *how)
+        if "crossings" in out.columns:
+            seen.append(out.groupBy("block").max("crossings").collect())
+        return out
+
+    monkeypatch.setattr(packing.Scratch, "write", watch)
+    rng = random.Random(2)
+    lens = [rng.choice((30, 200, 700, 1500, 2500)) + rng.randrange(60) for _ in range(1500)]
+    packed = packing.pack(spark.createDataFrame(list(enumerate(lens)), "item bigint, length bigint")).collect()
+    assert max(r[1] for rows in seen for r in rows) > 0
+    assert len(packed) == len(lens) and len({r.sequence_id for r in packed}) <= -(-sum(lens) // 4096) + 1
+
+
 def test_words():
     for x in (b"", b" ", b"a", b" a ", b"abcdefgh", b"abcdefghi abcdefgh  abcdefghijklmnopqrst\n", "é\xa0 ü".encode()):
         h, s, e = word_hashes(x)
