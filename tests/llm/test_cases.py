@@ -72,6 +72,17 @@ def test_url_rules(spark):
     assert by == {1: ("a.example.net", "/en/x", "example.net/en/", "allow"), 2: ("example.net", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("b.org", "/fr/", "org/fr/", "allow"), 6: ("example.com", "/de/", "example.com/de/", "block"), 7: ("notexample.com", "/de/", None, "allow")}
 
 
+def test_url_columns_may_clash(spark):
+    names = ["host", "path", "rule", "verdict", "mined", "best", "found", "row", "URL2", "held", "anchor", "open_url", "items", "confidence", "none"]
+    pages = spark.createDataFrame([(1, "http://a.net/", *names), (2, None, *names)], ["page_id", "url", *names])
+    labelled = spark.createDataFrame([(f"http://spam.org/{'/'.join('abcdefghijklmnopqrstuvwxyz')}/{i}", "block") for i in range(6)] + [(f"http://a.org/{i}", "allow") for i in range(20)], "url string, verdict string")
+    got = {r.page_id: r for r in url_filter.judge(pages, labelled).collect()}
+    assert got[1].rule == "net/" and got[1].verdict == "block" and got[1].best == "best" and got[2].verdict == "allow" and got[2].host == "" and got[2].row == "row"
+    assert url_filter.judge(pages.limit(0), labelled).count() == 0
+    long = spark.createDataFrame([(1, "http://spam.org/" + "/".join("abcdefghijklmnopqrstuvwxyz" * 400))], "page_id bigint, url string")
+    assert url_filter.judge(long, labelled).first().verdict == "block"
+
+
 def test_mined_rules_match_brute_force(spark):
     rng = random.Random(5)
     urls = [f"http://{rng.choice(['blog', 'www'])}.{rng.choice(['spam', 'news'])}.example.org/{rng.choice(['a', 'b'])}/{i}" for i in range(400)]
