@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,13 +17,18 @@ _TABLE: list[int] = []
 MASK_DELTA = 0xA282EAD8
 
 
+def _raw(k: Column) -> Column:
+    return k.cast("binary")
+
+
 def fixed_prefix(k: Column, n: int) -> Column:
-    """The first n bytes; null, out of domain, for shorter keys."""
-    return F.when(F.octet_length(k) >= n, F.substring(k, 1, n))
+    """The first n bytes, as binary; null, out of domain, for shorter keys."""
+    return F.when(F.octet_length(k) >= n, F.substring(_raw(k), 1, n))
 
 
 def capped_prefix(k: Column, n: int) -> Column:
-    return F.substring(k, 1, n)
+    """The first n bytes, or all, as binary."""
+    return F.substring(_raw(k), 1, n)
 
 
 def noop_prefix(k: Column) -> Column:
@@ -30,17 +36,18 @@ def noop_prefix(k: Column) -> Column:
 
 
 def remove_prefix(k: Column, n: int) -> Column:
-    return F.substring(k, F.lit(n + 1), F.octet_length(k))
+    return F.substring(_raw(k), F.lit(n + 1), F.octet_length(k))
 
 
 def remove_suffix(k: Column, n: int) -> Column:
-    return F.substring(k, F.lit(1), F.greatest(F.octet_length(k) - n, F.lit(0)))
+    return F.substring(_raw(k), F.lit(1), F.greatest(F.octet_length(k) - n, F.lit(0)))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Number of leading characters that two strings share."""
-    n = F.least(F.length(a), F.length(b))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    """Number of leading bytes that two keys share: where they differ, if they do."""
+    one, two = F.hex(_raw(a)), F.hex(_raw(b))
+    n = F.least(F.octet_length(a), F.octet_length(b))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(one, 2 * i - 1, F.lit(2)) != F.substring(two, 2 * i - 1, F.lit(2)))
     return F.when(n == 0, 0).otherwise(F.coalesce(F.array_min(at) - 1, n))
 
 
@@ -64,7 +71,21 @@ def is_stale(ts_s: Column, ttl: int, now: int) -> Column:
 
 
 def append_ts(v: Column, ts_s: Column) -> Column:
-    return F.concat(v, encode_fixed(ts_s, 4))
+    """The value's bytes with a time in seconds behind them."""
+    return F.concat(_raw(v), encode_fixed(ts_s, 4))
+
+
+def ts_of(v: Column) -> Column:
+    """The time that append_ts put behind a value."""
+    return decode_fixed(F.substring(v, F.octet_length(v) - 3, F.lit(4)), 4)
+
+
+def time_text(ts_s: Column) -> Column:
+    """Seconds since 1970 as a dump writes them, in UTC whatever the session's zone."""
+    at = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ts_s / 86400).cast("int"))
+    clock = F.pmod(ts_s, F.lit(86400))
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    return F.concat(F.replace(at.cast("string"), F.lit("-"), F.lit("/")), F.lit("-"), two(clock / 3600), F.lit(":"), two(F.pmod(clock, F.lit(3600)) / 60), F.lit(":"), two(F.pmod(clock, F.lit(60))))
 
 
 def strip_ts(v: Column) -> Column:
@@ -95,8 +116,28 @@ def crc32c_of(data: bytes, start: int = 0) -> int:
     return c ^ 0xFFFFFFFF
 
 
+def crc32c_all(values: list[bytes]) -> np.ndarray:
+    """Checksums of many byte strings, a byte of all of them at a time, the longest first."""
+    crc32c_of(b"")
+    table, n = np.array(_TABLE, np.uint32), np.array([len(v) for v in values], np.int64)
+    order = np.argsort(-n, kind="stable")
+    data, start = np.frombuffer(b"".join(values), np.uint8), np.cumsum(n) - n
+    c, start, left = np.full(len(n), 0xFFFFFFFF, np.uint32), start[order], np.sort(n)[::-1]
+    for i in range(int(n.max(initial=0))):
+        k = int(np.searchsorted(-left, -i))  # as many are longer than i
+        c[:k] = (c[:k] >> np.uint32(8)) ^ table[(c[:k] ^ data[start[:k] + i]) & np.uint32(0xFF)]
+    out = np.empty(len(n), np.int64)
+    out[order] = c ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
 def crc32c(b: Column) -> Column:
-    return _bytes_fn(crc32c_of, "bigint", pa.int64())(b)
+    def run(column: pa.Array) -> pa.Array:
+        values = column.cast(pa.binary()).to_pylist()
+        return pa.array(crc32c_all([x or b"" for x in values]), pa.int64(), mask=np.array([x is None for x in values], bool))
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return arrow_udf(run, "bigint")(b)
 
 
 def mask_crc(c: Column) -> Column:
@@ -132,11 +173,40 @@ def of_varint(b: bytes) -> int | None:
 
 
 def encode_varint(x: Column) -> Column:
-    return _bytes_fn(varint_of, "binary", pa.binary())(x)
+    """Bytes of a long as a varint, by built-in expressions: seven bits a byte, the lowest first, the high bit where more follow."""
+    more = lambda i: F.shiftrightunsigned(x, 7 * (i + 1)) != 0
+    two = lambda y: F.lpad(F.hex(y), 2, "0")
+    parts = []
+    for i in range(10):
+        low = F.shiftrightunsigned(x, 7 * i).bitwiseAND(F.lit(127)) if i < 9 else F.shiftrightunsigned(x, 63)
+        last = two(low) if i == 9 else two(F.when(more(i), low + 128).otherwise(low))
+        parts.append(last if i == 0 else F.when(F.shiftrightunsigned(x, 7 * i) != 0, last).otherwise(F.lit("")))
+    return F.unhex(F.concat(*parts))
+
+
+def of_varints(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Longs of many varints, a byte of all of them at a time, and which of them end within their bytes or ten."""
+    heads = [v[:10] for v in values]
+    n = np.array([len(v) for v in heads], np.int64)
+    data, start = np.frombuffer(b"".join(heads) + bytes(1), np.uint8), np.cumsum(n) - n
+    x, open_ = np.zeros(len(n), np.uint64), n > 0
+    for i in range(10):
+        at = np.flatnonzero(open_ & (n > i))
+        c = data[start[at] + i].astype(np.uint64)
+        x[at] |= (c & np.uint64(127)) << np.uint64(7 * i)
+        open_[at] = c >= 128
+    return x.view(np.int64), (n > 0) & ~open_
 
 
 def decode_varint(b: Column) -> Column:
-    return _bytes_fn(of_varint, "bigint", pa.int64())(b)
+    """The signed long of a varint at the start of the bytes; null where it doesn't end within them or ten bytes."""
+
+    def run(column: pa.Array) -> pa.Array:
+        x, ok = of_varints([v or b"" for v in column.to_pylist()])
+        return pa.array(x, pa.int64(), mask=~ok)
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return arrow_udf(run, "bigint")(b)
 
 
 def zigzag(x: Column) -> Column:

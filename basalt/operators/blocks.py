@@ -27,13 +27,17 @@ def miss_timeline(trace: DataFrame, unit_us: int) -> DataFrame:
 
 
 def skewness(trace: DataFrame, percents: Sequence[int], label: str = "block") -> DataFrame:
-    """Accesses that go to the first p percent of labels, the most accessed first."""
-    each = trace.groupBy(label).agg(F.count("*").alias("n"))
-    total = each.agg(F.count("*").alias("labels"), F.sum("n").alias("accesses"))
-    ranked = each.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), label)))
-    asked = ranked.crossJoin(F.broadcast(total)).withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
-    inside = F.when(F.col("rank") <= F.ceil(F.col("labels") * F.col("percent") / 100), F.col("n")).otherwise(0)
-    return asked.groupBy("percent", "accesses").agg(F.sum(inside).alias("inside")).withColumn("share", F.col("inside") / F.col("accesses")).drop("accesses")
+    """Accesses that go to the first p percent of labels, the most accessed first.
+
+    Labels of equal numbers of accesses count alike, so the running sum goes over the distinct numbers, not over the labels.
+    """
+    each = trace.groupBy(label).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("_labels"))
+    total = each.agg(F.sum("_labels").alias("labels"), F.sum(F.col("n") * F.col("_labels")).alias("accesses"))
+    ahead = F.coalesce(F.sum("_labels").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = each.withColumn("_ahead", ahead).crossJoin(F.broadcast(total)).withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
+    room = F.ceil(F.col("labels") * F.col("percent") / 100) - F.col("_ahead")
+    inside = F.col("n") * F.greatest(F.lit(0), F.least(F.col("_labels"), room))
+    return asked.groupBy("percent", "accesses").agg(F.sum(inside).cast("long").alias("inside")).withColumn("share", F.col("inside") / F.col("accesses")).drop("accesses")
 
 
 def intervals(trace: DataFrame) -> DataFrame:
@@ -294,3 +298,26 @@ def parse_io(lines: DataFrame) -> DataFrame:
     at = F.split("value", ",")
     ok = lines.filter(F.col("value").rlike(r"^\d+,\w+,[^,]*,\d+,\d+$"))
     return ok.select(at[0].cast("long").alias("ts_us"), at[1].alias("op"), at[2].alias("file"), at[3].cast("long").alias("offset"), at[4].cast("long").alias("length"))
+
+
+def percent_access(trace: DataFrame, label: str, labels: Sequence[str] | None = None, by: str = "caller") -> DataFrame:
+    """What percentage of each caller's accesses goes to each label; a column for each."""
+    counted = trace.groupBy(by).pivot(label, list(labels) if labels else None).agg(F.count(F.lit(1))).na.fill(0)
+    names = [c for c in counted.columns if c != by]
+    total = sum((F.col(f"`{c}`") for c in names[1:]), F.col(f"`{names[0]}`"))
+    return counted.select(by, *[(F.col(f"`{c}`") * 100 / total).alias(c) for c in names])
+
+
+def block_sizes(trace: DataFrame, unit: int) -> DataFrame:
+    """Distinct blocks, and accesses to them, by caller and size in steps of ``unit`` bytes."""
+    size = (F.floor(F.col("bytes") / unit) * unit).cast("long")
+    return trace.groupBy("caller", size.alias("size")).agg(F.countDistinct("block").alias("n_blocks"), F.count("*").alias("accesses"))
+
+
+def data_access(trace: DataFrame, exists: Column, by: str = "level") -> DataFrame:
+    """Accesses of data blocks for keys that exist and for keys that don't, the distinct blocks of either, and the percentage for keys that exist."""
+    n = F.count(F.when(exists, True))
+    return trace.groupBy(by).agg(
+        n.alias("existing"), (F.count("*") - n).alias("missing"), F.countDistinct(F.when(exists, F.col("block"))).alias("blocks_existing"),
+        F.countDistinct(F.when(~exists, F.col("block"))).alias("blocks_missing"), (n * 100 / F.count("*")).alias("percent_existing"),
+    )

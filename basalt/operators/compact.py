@@ -7,27 +7,63 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.functions.codec import capped_prefix
+
+
+def _striped(log: DataFrame, snapshots: Sequence[int]) -> DataFrame:
+    marks = F.array(*[F.lit(s) for s in sorted(snapshots)]) if snapshots else F.array().cast("array<bigint>")
+    seen = log.filter(F.col("op") != 3)  # annotations aren't data
+    return seen.withColumn("_stripe", F.coalesce(F.array_min(F.filter(marks, lambda s: s >= F.col("seq"))), F.lit((1 << 63) - 1)))
+
 
 def compact(log: DataFrame, keys: Sequence[str] = ("k",), snapshots: Sequence[int] = (), bottom: bool = False) -> DataFrame:
-    """The newest version of each key in each stripe between snapshots; at the bottom level, deletions of the oldest stripe go too.
+    """The newest version of each key in each stripe between snapshots, and with merge operands all of them back to the newest put or deletion of
+    the stripe; at the bottom level, a key's oldest row goes if it is a deletion.
 
-    Reading the result at a retained snapshot, or now, gives what reading the log gives.
+    Reading the result at a retained snapshot, or now, gives what reading the log gives, merge operands folded or not.
     """
-    marks = F.array(*[F.lit(s) for s in sorted(snapshots)]) if snapshots else F.array().cast("array<bigint>")
-    stripe = F.coalesce(F.array_min(F.filter(marks, lambda s: s >= F.col("seq"))), F.lit((1 << 63) - 1))
-    newest = Window.partitionBy(*keys, "_stripe").orderBy(F.col("seq").desc())
-    kept = log.withColumn("_stripe", stripe).withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn")
+    of = Window.partitionBy(*keys, "_stripe")
+    base = F.max(F.when(F.col("op") != 2, F.col("seq"))).over(of)
+    kept = _striped(log, snapshots).withColumn("_base", base).filter(F.col("_base").isNull() | (F.col("seq") >= F.col("_base"))).drop("_base", "_stripe")
     if bottom:
-        oldest = F.min("seq").over(Window.partitionBy(*keys))
-        kept = kept.withColumn("_old", oldest).filter(~((F.col("op") == 0) & (F.col("seq") == F.col("_old")))).drop("_old")
-    return kept.drop("_stripe")
+        kept = kept.withColumn("_old", F.min("seq").over(Window.partitionBy(*keys))).filter(~(F.col("op").isin(0, 7) & (F.col("seq") == F.col("_old")))).drop("_old")
+    return kept
+
+
+def compact_merged(log: DataFrame, operator: object, keys: Sequence[str] = ("k",), snapshots: Sequence[int] = (), bottom: bool = False) -> DataFrame:
+    """As ``compact`` with the operands of a stripe folded into one row (keys, seq, op, v): into a put where the stripe holds their base, or nothing
+    can lie below, else into one operand, so the operator must be associative."""
+    from basalt.operators.merge import OPERATORS
+
+    fold = OPERATORS[operator] if isinstance(operator, str) else operator
+    own = compact(log, keys, snapshots)
+    striped = _striped(own, snapshots)
+    value = striped.filter(F.col("op").isin(1, 2)).withColumn("is_base", F.col("op") == 1).groupBy(*keys, "_stripe").agg(fold(F.col("v")).alias("v"))
+    shape = striped.groupBy(*keys, "_stripe").agg(
+        F.max("seq").alias("seq"), F.max(F.when(F.col("op") != 2, F.col("op"))).alias("_base"), F.max((F.col("op") == 2).cast("int")).alias("_merges"),
+    )
+    oldest = (F.col("_stripe") == F.min("_stripe").over(Window.partitionBy(*keys))) if bottom else F.lit(False)
+    joined = shape.join(value, [*keys, "_stripe"], "left").withColumn("_oldest", oldest)
+    op = F.when(F.col("_base") == 1, 1).when(F.col("_base").isNotNull(), F.when(F.col("_merges") == 1, 1).otherwise(F.col("_base"))).otherwise(F.when(F.col("_oldest"), 1).otherwise(2))
+    out = joined.withColumn("op", op).filter(~(F.col("_oldest") & F.col("op").isin(0, 7)))
+    return out.select(*keys, "seq", "op", "v")
+
+
+def trivial_moves(files: DataFrame, source: int, most_below: int, level: str = "level", lo: str = "lo", hi: str = "hi", size: str = "bytes") -> DataFrame:
+    """Files of a level that may move down by an edit of the manifest: no file of the next level meets them, and of the one after at most ``most_below`` do."""
+    own = files.filter(F.col(level) == source)
+    for step, name in ((1, "_next"), (2, "_far")):
+        there = files.filter(F.col(level) == source + step).select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.lit(1).alias("_hit"))
+        met = own.select("number", lo, hi).join(there, (F.col("_lo") <= F.col(hi)) & (F.col("_hi") >= F.col(lo)), "left").groupBy("number").agg(F.count("_hit").alias(name))
+        own = own.join(met, "number")
+    return own.filter((F.col("_next") == 0) & (F.col("_far") <= most_below)).drop("_next", "_far")
 
 
 def filtered(log: DataFrame, keep: Column, change: dict[str, Column] | None = None, keys: Sequence[str] = ("k",)) -> DataFrame:
     """A compaction filter: newest puts that don't pass ``keep`` go, others take ``change``; deletions and merges stay."""
     newest = compact(log, keys)
     put = F.col("op") == 1
-    out = newest.filter(~put | keep)
+    out = newest.filter(~put | F.coalesce(keep, F.lit(False)))
     for name, to in (change or {}).items():
         out = out.withColumn(name, F.when(put, to).otherwise(F.col(name)))
     return out
@@ -110,4 +146,4 @@ def pick(files: DataFrame, level: int, pointer: object, lo: str = "lo", hi: str
 
 def partitioned(log: DataFrame, n: int, key: str = "k") -> DataFrame:
     """The log dealt by key prefix, so that no output file holds two prefixes' keys of different tasks."""
-    return log.withColumn("part", F.substring(key, 1, n)).repartition("part")
+    return log.withColumn("part", capped_prefix(F.col(key), n).cast("string")).repartition("part")

@@ -43,7 +43,8 @@ class Store:
     def commit(self, files: DataFrame) -> int:
         """Write a new version; the current one changes when it is complete."""
         new = (self.versions() or [0])[-1] + 1
-        files.select(*[c.split()[0] for c in SCHEMA.split(", ")]).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v{new}")
+        # of two writers of one version the second fails, and nothing of the first is lost
+        files.select(*[c.split()[0] for c in SCHEMA.split(", ")]).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/manifest/v{new}")
         return new
 
     def append(self, rows: DataFrame, level: int = 0) -> int:
@@ -69,11 +70,13 @@ class Store:
         paths = [r[0] for r in files.select("path").collect()]  # runs, a handful by compaction
         return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], self.log_schema)
 
-    def compact(self, level: int = 1, snapshots: tuple[int, ...] = ()) -> int:
-        """All runs as one run at the bottom level; deletions with nothing below go."""
-        from basalt.operators.compact import compact
+    def compact(self, level: int = 1, snapshots: tuple[int, ...] = (), operator: object = None) -> int:
+        """All runs as one run at the bottom level; deletions with nothing below go. Merge operands stay, or are folded by the ``operator``."""
+        from basalt.operators.compact import compact, compact_merged
 
-        merged = compact(self.read(), snapshots=snapshots, bottom=True)
+        own = self.read()
+        merged = compact(own, snapshots=snapshots, bottom=True) if operator is None else compact_merged(own, operator, snapshots=snapshots, bottom=True)
+        merged = merged.select(*[F.col(c).cast(own.schema[c].dataType).alias(c) for c in merged.columns])
         now = self.files()
         number = (now.agg(F.max("number")).first()[0] or 0) + 1
         if now.count() == 1 and now.first()["level"] >= level and not snapshots:
@@ -121,6 +124,14 @@ def backup(store: Store, path: str) -> Store:
     return other
 
 
+def restore(copy: Store, path: str) -> Store:
+    """A new store elsewhere from a backup, which stays as it is; it fails where a store is already."""
+    there = Store(copy.spark, path, copy.log_schema)
+    if there.versions():
+        raise ValueError(f"{path} holds a store")
+    return backup(copy, path)
+
+
 def verify(one: Store, two: Store) -> DataFrame:
     """Runs whose rows or checksums differ between two stores; none if they agree."""
     a, b = one.checksums().select("n_rows", "checksum"), two.checksums().select("n_rows", "checksum")
@@ -163,3 +174,18 @@ def approximate_sizes(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """Bytes of the files that meet each range [begin_k, end_k); ranges: id, begin_k, end_k, a short list."""
     near = F.broadcast(ranges)
     return files.join(near, (F.col("lo") < F.col("end_k")) & (F.col("hi") >= F.col("begin_k"))).groupBy("id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n_files"))
+
+
+def store_properties(props: DataFrame) -> DataFrame:
+    """Names and values of the whole store from the properties of its runs: a row for each name."""
+    one = props.agg(
+        F.sum("entries").alias("entries"), F.sum("deletions").alias("deletions"), F.sum("merges").alias("merges"), (F.sum("entries") - 2 * F.sum("deletions")).alias("estimate-num-keys"),
+        F.sum("raw_key_bytes").alias("raw-key-bytes"), F.sum("raw_value_bytes").alias("raw-value-bytes"), F.count("*").alias("num-runs"), F.max("last_seq").alias("last-sequence"), F.max("entries").alias("largest-run"),
+    )
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("long").alias("value")) for c in one.columns])))
+
+
+def range_deletes(tombstones: DataFrame, file: str = "file") -> DataFrame:
+    """The range tombstones of each file: how many, the range that they span, and the newest; empty ones don't count."""
+    some = tombstones.filter(F.col("begin_k") < F.col("end_k"))
+    return some.groupBy(file).agg(F.count("*").alias("n"), F.min("begin_k").alias("lo"), F.max("end_k").alias("hi"), F.max("seq").alias("last_seq"))

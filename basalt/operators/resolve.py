@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DELETES = (0, 7)
@@ -33,6 +33,22 @@ def resolve(log: DataFrame, keys: Sequence[str] = ("k",), snapshot: int | None =
     return mask_ranges(live, seen, keys[0])
 
 
+def folded(log: DataFrame, operator: object, keys: Sequence[str] = ("k",), snapshot: int | None = None) -> DataFrame:
+    """Live rows as a reader of a log with merge operands sees them: keys, seq (of the newest row), v folded from the last base on."""
+    from basalt.operators import merge
+
+    seen = versions(log, snapshot)
+    values = merge.merged(seen, operator, keys).drop("n")
+    newest = seen.groupBy(*keys).agg(F.max("seq").alias("seq"))
+    return values.join(newest, list(keys)).select(*keys, "seq", "v")
+
+
+def families(log: DataFrame, names: Sequence[str], keys: Sequence[str] = ("k",), snapshot: int | None = None) -> DataFrame:
+    """Ordered live rows of several column families (column cf), all at one snapshot."""
+    own = log.filter(F.col("cf").isin(*names))
+    return resolve(own, ("cf", *keys), snapshot).orderBy("cf", *keys)
+
+
 def multi_get(log: DataFrame, wanted: DataFrame, keys: Sequence[str] = ("k",), snapshot: int | None = None) -> DataFrame:
     """A row for each wanted key, with found; keys are looked up before the newest version is picked."""
     own = log.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
@@ -68,13 +84,18 @@ def range_part(key: Column, bounds: list) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)
 
 
-def as_of(probes: DataFrame, table: DataFrame, probe: str, key: str, parts: int = 8) -> DataFrame:
+def parts_of(spark: SparkSession, parts: int | None) -> int:
+    """Ranges to cut a key into: as many as the session's shuffles have, if no number is given."""
+    return parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def as_of(probes: DataFrame, table: DataFrame, probe: str, key: str, parts: int | None = None) -> DataFrame:
     """Each probe with the columns of the row of ``table`` (keys unique) at its key or next below it.
 
     Both sides go to ranges of the key; within a range the last row carries on over a window, and a range that
     begins with probes takes the greatest row of the ranges before, of which there is one for each range.
     """
-    bounds = cuts(table, key, parts)
+    bounds = cuts(table, key, parts_of(table.sparkSession, parts))
     kind = table.schema[key].dataType
     row = F.struct(*[F.col(c) for c in table.columns])
     rows = table.select(F.col(key).alias("_at"), F.lit(0).alias("_side"), row.alias("_row"), F.lit(None).cast(probes.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_probe"))
@@ -88,12 +109,23 @@ def as_of(probes: DataFrame, table: DataFrame, probe: str, key: str, parts: int
     return carried.join(before, "_part").withColumn("_hit", F.coalesce("_hit", "_before")).select("_probe.*", *[F.col(f"_hit.{c}").alias(f"at_{c}") for c in table.columns])
 
 
-def fragments(tombstones: DataFrame, schema: str | None = None) -> DataFrame:
+def fragments(tombstones: DataFrame, parts: int | None = None) -> DataFrame:
     """Disjoint pieces (cf, begin_k, end_k, seq) of range tombstones, each with the greatest sequence number that covers it.
 
-    A sweep over one column family's tombstones; empty ranges (end at or before begin) cover nothing.
+    Tombstones go to the ranges of the key that they meet, cut at the ranges' bounds, which are begins of tombstones; a sweep goes over each
+    column family's tombstones of one range. Empty ranges (end at or before begin) cover nothing.
     """
     kind = dict(tombstones.dtypes)["begin_k"]
+    some = tombstones.filter(F.col("begin_k") < F.col("end_k")).select("cf", "begin_k", "end_k", "seq")
+    bounds = cuts(some, "begin_k", parts_of(tombstones.sparkSession, parts))
+    if bounds:
+        edges = F.array(*[F.lit(b).cast(kind) for b in bounds])
+        ends = F.size(F.filter(edges, lambda b: b < F.col("end_k")))
+        dealt = some.withColumn("_part", F.explode(F.sequence(range_part(F.col("begin_k"), bounds), ends)))
+        low, high = F.try_element_at(edges, F.nullif(F.col("_part"), F.lit(0))), F.try_element_at(edges, F.col("_part") + 1)
+        some = dealt.select("cf", F.greatest("begin_k", low).alias("begin_k"), F.least("end_k", high).alias("end_k"), "seq", "_part")
+    else:
+        some = some.withColumn("_part", F.lit(0))
 
     def sweep(held: pd.DataFrame) -> pd.DataFrame:
         import heapq
@@ -114,10 +146,10 @@ def fragments(tombstones: DataFrame, schema: str | None = None) -> DataFrame:
         out.insert(0, "cf", held["cf"].iloc[0] if len(held) else None)
         return out
 
-    return tombstones.select("cf", "begin_k", "end_k", "seq").groupBy("cf").applyInPandas(sweep, f"cf string, begin_k {kind}, end_k {kind}, seq bigint")
+    return some.groupBy("cf", "_part").applyInPandas(sweep, f"cf string, begin_k {kind}, end_k {kind}, seq bigint")
 
 
-def mask_ranges(live: DataFrame, tombstones: DataFrame, key: str = "k", parts: int = 8) -> DataFrame:
+def mask_ranges(live: DataFrame, tombstones: DataFrame, key: str = "k", parts: int | None = None) -> DataFrame:
     """Rows not hidden by a newer range tombstone: tombstones become disjoint fragments, and an as-of lookup finds the one that may cover a key."""
     if "cf" not in tombstones.columns:
         tombstones = tombstones.withColumn("cf", F.lit("default"))

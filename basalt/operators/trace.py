@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.functions.codec import capped_prefix
+from basalt.plans.scratch import Scratch
+
 SECOND = 1_000_000
 
 
@@ -15,8 +18,17 @@ def key_stats(trace: DataFrame) -> DataFrame:
 
 
 def key_ids(stats: DataFrame) -> DataFrame:
-    """Each key's rank, from 0, in key order within its type."""
-    return stats.withColumn("key_id", (F.dense_rank().over(Window.partitionBy("type").orderBy("k")) - 1).cast("long"))
+    """Each key's rank, from 0, in key order within its type.
+
+    Keys go to ranges of (type, key); a range counts on its own and goes on where the type's ranges before it end, of
+    which there is a number for each type and range.
+    """
+    scratch = Scratch(stats.sparkSession, "key-ids")
+    dealt = scratch.write(stats.repartitionByRange("type", "k").withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("type", "_range").agg(F.count("*").alias("_n"))
+    before = counts.select("type", "_range", F.coalesce(F.sum("_n").over(Window.partitionBy("type").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("type", "_range").orderBy("k")) - 1
+    return dealt.withColumn("_place", place).join(before, ["type", "_range"]).withColumn("key_id", (F.col("_place") + F.col("_before")).cast("long")).drop("_place", "_before", "_range")
 
 
 def access_distribution(stats: DataFrame) -> DataFrame:
@@ -41,7 +53,7 @@ def value_sizes(trace: DataFrame, interval: int = 8) -> DataFrame:
 
 def prefix_cut(stats: DataFrame, n: int) -> DataFrame:
     """Keys and accesses by prefix; every prefix has its row."""
-    return stats.groupBy("type", F.substring("k", 1, n).alias("prefix")).agg(F.count("*").alias("n_keys"), F.sum("accesses").alias("accesses"), F.sum("successes").alias("successes")).withColumn("mean_accesses", F.col("accesses") / F.col("n_keys"))
+    return stats.groupBy("type", capped_prefix(F.col("k"), n).cast("string").alias("prefix")).agg(F.count("*").alias("n_keys"), F.sum("accesses").alias("accesses"), F.sum("successes").alias("successes")).withColumn("mean_accesses", F.col("accesses") / F.col("n_keys"))
 
 
 def top(df: DataFrame, by: str, k: int, key: str, within: str = "type") -> DataFrame:
@@ -66,7 +78,7 @@ def busiest(trace: DataFrame, k: int, bucket_us: int, prefix: int) -> DataFrame:
     """The busiest intervals of all types together, with the prefixes read in them."""
     timed = trace.withColumn("t", F.floor(F.col("ts_us") / bucket_us).cast("long"))
     best = timed.groupBy("t").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "t").limit(k)
-    return timed.join(F.broadcast(best), "t").groupBy("t", "n", F.substring("k", 1, prefix).alias("prefix")).agg(F.count("*").alias("n_prefix"))
+    return timed.join(F.broadcast(best), "t").groupBy("t", "n", capped_prefix(F.col("k"), prefix).cast("string").alias("prefix")).agg(F.count("*").alias("n_prefix"))
 
 
 def unique_keys(trace: DataFrame, bucket_us: int) -> DataFrame:
@@ -107,3 +119,35 @@ def replay(trace: DataFrame) -> DataFrame:
     """The writes of a trace as a log, in order of time."""
     ops = F.when(F.col("type").isin("put", "signup", "purchase"), 1).when(F.col("type").isin("delete", "error"), 0).when(F.col("type").isin("merge", "click"), 2)
     return trace.withColumn("op", ops).filter("op is not null").select("k", "seq", "op", F.col("value_size").alias("v"))
+
+
+def top_prefixes(stats: DataFrame, n: int, k: int) -> DataFrame:
+    """The k prefixes of each type with the most accesses (list ``accesses``) and with the most accesses a key (list ``average``)."""
+    cut = prefix_cut(stats, n).select("type", "prefix", "n_keys", "accesses", "mean_accesses")
+    lists = (top(cut, by, k, "prefix").withColumn("list", F.lit(name)) for by, name in (("accesses", "accesses"), ("mean_accesses", "average")))
+    return next(lists).unionByName(next(lists))
+
+
+def time_series(trace: DataFrame, prefix: int | None = None) -> DataFrame:
+    """Each access as seconds since the trace began, its type and key, or the key's prefix."""
+    start = trace.agg(F.min("ts_us").alias("_t0"))
+    what = F.col("k") if prefix is None else capped_prefix(F.col("k"), prefix).cast("string")
+    return trace.crossJoin(F.broadcast(start)).select("type", F.floor((F.col("ts_us") - F.col("_t0")) / SECOND).cast("long").alias("t"), what.alias("k"))
+
+
+def replay_reads(trace: DataFrame, reads: tuple[str, ...] = ("view", "get", "multiget")) -> DataFrame:
+    """What the reads of a trace find when its writes are applied in order: seq, k, found and v, of the newest write before the read."""
+    log = replay(trace).select("k", "seq", F.struct("seq", "op", "v").alias("_write"), F.lit(None).cast("long").alias("_read"))
+    asks = trace.filter(F.col("type").isin(*reads)).select("k", "seq", F.lit(None).cast(log.schema["_write"].dataType).alias("_write"), F.col("seq").alias("_read"))
+    by = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    seen = log.unionByName(asks).withColumn("_last", F.last("_write", ignorenulls=True).over(by)).filter("_read is not null")
+    found = F.coalesce(~F.col("_last.op").isin(0, 7), F.lit(False))
+    return seen.select("seq", "k", found.alias("found"), F.when(found, F.col("_last.v")).alias("v"))
+
+
+def tickers(trace: DataFrame) -> DataFrame:
+    """Counters of a trace by name: operations, bytes and distinct keys in all and of each type; a row for each."""
+    each = trace.rollup("type").agg(F.count("*").alias("ops"), F.sum("value_size").alias("bytes"), F.countDistinct("k").alias("keys"))
+    name = F.concat(F.coalesce("type", F.lit("all")), F.lit("."))
+    pairs = F.array(*[F.struct(F.concat(name, F.lit(c)).alias("name"), F.col(c).cast("long").alias("value")) for c in ("ops", "bytes", "keys")])
+    return each.select(F.inline(pairs))

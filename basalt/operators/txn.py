@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.operators.resolve import resolve
@@ -65,3 +65,16 @@ def deadlocked(waits: DataFrame, scratch=None) -> DataFrame:
         jump = scratch.write(jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
         steps *= 2
     return jump.select(F.col("b").alias("txn")).distinct()
+
+
+def iterate(batches: DataFrame, handlers: dict[int, Column], ops: str = "ops") -> DataFrame:
+    """Each operation of each batch in order, with what the handler of its kind makes of it: a column of said; operations without a handler are passed over.
+
+    ``ops`` is an array of structs with op; a handler is an expression over their fields.
+    """
+    others = [c for c in batches.columns if c != ops]
+    flat = batches.select(*others, F.posexplode(ops).alias("pos", "_op")).select(*others, "pos", "_op.*")
+    said = F.lit(None).cast("string")
+    for op, what in handlers.items():
+        said = F.when(F.col("op") == op, what).otherwise(said)
+    return flat.withColumn("said", said).filter(F.col("op").isin(*handlers))

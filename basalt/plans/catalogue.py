@@ -69,9 +69,11 @@ def kv_count_live(spark, d):
     return resolve.resolve(logs.event_log(spark, d)).agg(F.count("*").alias("n_live"), F.max("seq").alias("last_seq"))
 
 
-@q("SELECT k, seq, v FROM live WHERE k = 'u000008'", "ev live")
+@q("SELECT w.k, live.seq, live.v, live.seq IS NOT NULL AS found FROM (SELECT unnest(['u000001', 'u000002', 'u000003', 'u000004', 'u000005', 'u000006', 'u000007', 'u000008', 'nobody']) AS k) w LEFT JOIN live ON live.k = w.k", "ev live")
 def kv_get_one(spark, d):
-    return resolve.resolve(logs.event_log(spark, d)).filter("k = 'u000008'").select("k", "seq", "v")
+    """Gets of live, deleted and missing keys."""
+    wanted = spark.createDataFrame([(f"u00000{i}",) for i in range(1, 9)] + [("nobody",)], "k string")
+    return resolve.multi_get(logs.event_log(spark, d), wanted).select("k", "seq", "v", "found")
 
 
 @q("SELECT w.k, live.v, live.seq IS NOT NULL AS found FROM (SELECT 'u' || lpad((c_custkey * 3)::VARCHAR, 6, '0') AS k FROM customer) w LEFT JOIN live ON live.k = w.k", "ev live")
@@ -124,14 +126,13 @@ def kv_may_exist(spark, d):
 
 # deletions
 
-TOMBS = "tombs AS (SELECT p_partkey * 37 % 1000 AS begin_k, p_partkey * 37 % 1000 + p_size % 20 AS end_k, p_partkey * 13 % 5000 AS seq FROM part WHERE p_partkey % 7 = 0)"
-ALL_TOMBS = TOMBS.replace(" WHERE p_partkey % 7 = 0", "")
+TOMBS = "tombs AS (SELECT p_partkey * 37 % 1000 AS begin_k, p_partkey * 37 % 1000 + p_size % 20 AS end_k, p_partkey * 13 % 5000 AS seq FROM part)"
 
 
-def tombstones(spark, d, every=False):
+def tombstones(spark, d):
+    """A range tombstone of every part; some are empty."""
     p = F.col("p_partkey")
-    own = logs.table(spark, d, "part").filter(F.lit(every) | (p % 7 == 0))
-    return own.select(F.lit("default").alias("cf"), (p * 37 % 1000).alias("begin_k"), (p * 37 % 1000 + F.col("p_size") % 20).alias("end_k"), (p * 13 % 5000).alias("seq"))
+    return logs.table(spark, d, "part").select(F.lit("default").alias("cf"), (p * 37 % 1000).alias("begin_k"), (p * 37 % 1000 + F.col("p_size") % 20).alias("end_k"), (p * 13 % 5000).alias("seq"))
 
 
 @q("SELECT k, max(seq) AS seq, arg_max(op, seq) AS op FROM ev GROUP BY k HAVING arg_max(op, seq) = 0", "ev")
@@ -155,18 +156,6 @@ def kv_tombstone_fragments(spark, d):
     return resolve.fragments(tombstones(spark, d)).select("begin_k", "end_k", "seq")
 
 
-@q(f"SELECT k, seq, v FROM (SELECT * FROM ord QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) o WHERE op NOT IN (0, 7) AND NOT EXISTS (SELECT 1 FROM tombs t WHERE t.begin_k <= o.k AND o.k < t.end_k AND t.seq > o.seq)".replace("SELECT k, seq", f"WITH {WITH['ord']}, {ALL_TOMBS} SELECT k, seq", 1))
-def kv_range_delete_all(spark, d):
-    """kv_range_delete with a tombstone from every part."""
-    return resolve.resolve(logs.order_log(spark, d), tombstones=tombstones(spark, d, every=True)).select("k", "seq", "v")
-
-
-@q(f"WITH {ALL_TOMBS}, live AS (SELECT * FROM tombs WHERE begin_k < end_k), pts AS (SELECT begin_k AS p FROM live UNION SELECT end_k FROM live), seg AS (SELECT p AS begin_k, lead(p) OVER (ORDER BY p) AS end_k FROM pts) SELECT s.begin_k, s.end_k, max(t.seq) AS seq FROM seg s JOIN live t ON t.begin_k <= s.begin_k AND s.end_k <= t.end_k GROUP BY s.begin_k, s.end_k")
-def kv_tombstone_fragments_all(spark, d):
-    """kv_tombstone_fragments of every part's tombstone."""
-    return resolve.fragments(tombstones(spark, d, every=True)).select("begin_k", "end_k", "seq")
-
-
 # merge operators
 
 
@@ -228,22 +217,25 @@ def expire_wide_row(spark, d):
 # compaction
 
 
-@q("SELECT k, seq, op, v FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1", "ev")
+KEPT = "(SELECT * FROM ev QUALIFY seq >= coalesce(max(CASE WHEN op <> 2 THEN seq END) OVER (PARTITION BY k), -1))"
+
+
+@q(f"WITH {WITH['ev']} SELECT k, seq, op, v FROM {KEPT}")
 def compact_latest(spark, d):
     return compact.compact(logs.event_log(spark, d)).select("k", "seq", "op", "v")
 
 
-@q("SELECT k, seq, op, v FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) WHERE op <> 0", "ev")
+@q(f"WITH {WITH['ev']} SELECT k, seq, op, v FROM (SELECT *, min(seq) OVER (PARTITION BY k) AS old FROM {KEPT}) WHERE op <> 0 OR seq <> old")
 def compact_bottom_tombstones(spark, d):
     return compact.compact(logs.event_log(spark, d), bottom=True).select("k", "seq", "op", "v")
 
 
-@q("SELECT k, seq, op, v FROM ev QUALIFY row_number() OVER (PARTITION BY k, CASE WHEN seq <= 300 THEN 300 WHEN seq <= 700 THEN 700 ELSE 9 END ORDER BY seq DESC) = 1", "ev")
+@q("SELECT k, seq, op, v FROM ev QUALIFY seq >= coalesce(max(CASE WHEN op <> 2 THEN seq END) OVER (PARTITION BY k, CASE WHEN seq <= 300 THEN 300 WHEN seq <= 700 THEN 700 ELSE 9 END), -1)", "ev")
 def compact_stripes(spark, d):
     return compact.compact(logs.event_log(spark, d), snapshots=(300, 700)).select("k", "seq", "op", "v")
 
 
-@q("SELECT k, seq, op, CASE WHEN op = 1 THEN v + 1 ELSE v END AS v FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) WHERE op <> 1 OR v >= 1000", "ev")
+@q(f"WITH {WITH['ev']} SELECT k, seq, op, CASE WHEN op = 1 THEN v + 1 ELSE v END AS v FROM {KEPT} WHERE op <> 1 OR v >= 1000")
 def compact_filter(spark, d):
     return compact.filtered(logs.event_log(spark, d), F.col("v") >= 1000, {"v": F.col("v") + 1}).select("k", "seq", "op", "v")
 
@@ -591,14 +583,8 @@ def ingest_overlay(spark, d):
     return resolve.resolve(files.ingest(logs.event_log(spark, d).select("k", "seq", "op", "v"), outer)).select("k", "v")
 
 
-@q("SELECT seq, k FROM (SELECT seq, k, lag(k) OVER (ORDER BY seq) AS b FROM ev WHERE seq < 500) WHERE b >= k", "ev")
-def sorted_run_check(spark, d):
-    return files.out_of_order(logs.event_log(spark, d).filter("seq < 500"), pos="seq").select("seq", "k")
-
-
 @q("SELECT seq, k FROM (SELECT seq, k, lag(k) OVER (ORDER BY seq) AS b FROM ev) WHERE b >= k", "ev")
-def sorted_run_check_all(spark, d):
-    """sorted_run_check over the whole event log."""
+def sorted_run_check(spark, d):
     return files.out_of_order(logs.event_log(spark, d), pos="seq").select("seq", "k")
 
 
@@ -700,7 +686,7 @@ def adv_deltas(spark, d):
 @q("SELECT c_custkey, CASE WHEN strlen(c_name) >= 12 THEN substr(c_name, 1, 12) END AS fixed, substr(c_name, 1, 30) AS capped, substr(c_name, 5) AS tail, hex(c_name) AS hexed, starts_with(c_name, 'Customer#00000') AS starts, split_part(c_name, '#', 1) AS head FROM customer")
 def fn_prefixes(spark, d):
     n = F.col("c_name")
-    return logs.table(spark, d, "customer").select("c_custkey", codec.fixed_prefix(n, 12).alias("fixed"), codec.capped_prefix(n, 30).alias("capped"), codec.remove_prefix(n, 4).alias("tail"), F.hex("c_name").alias("hexed"), n.startswith("Customer#00000").alias("starts"), codec.until(n, "#").alias("head"))
+    return logs.table(spark, d, "customer").select("c_custkey", codec.fixed_prefix(n, 12).cast("string").alias("fixed"), codec.capped_prefix(n, 30).cast("string").alias("capped"), codec.remove_prefix(n, 4).cast("string").alias("tail"), F.hex("c_name").alias("hexed"), n.startswith("Customer#00000").alias("starts"), codec.until(n, "#").alias("head"))
 
 
 @q("SELECT o_orderkey, o_orderkey AS fixed_back, o_orderkey - 700 AS varint_back, o_orderkey - 700 AS zigzag_back, lower(hex(chr((o_orderkey % 128)::INT))) AS low_byte FROM orders")
@@ -772,3 +758,6 @@ def blk_ghost(spark, d):
 def trace_sampled(spark, d):
     """One key in four with all its operations: which keys depends on the hash, so SQL has no equal."""
     return trace.key_stats(trace.sample(logs.trace(spark, d), 4))
+
+
+from basalt.plans import catalogue_more  # noqa: E402, F401  it registers its queries here

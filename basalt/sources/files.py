@@ -66,3 +66,13 @@ def split_blobs(log: DataFrame, least: int, key: str = "k", value: str = "v") ->
 
 def join_blobs(log: DataFrame, blobs: DataFrame, value: str = "v") -> DataFrame:
     return log.join(blobs, "blob", "left").withColumn(value, F.coalesce(value, "blob_value")).drop("blob", "blob_value")
+
+
+def export_family(log: DataFrame, family: str, path: str) -> None:
+    """One column family as a sorted run of its own."""
+    write_run(log.filter(F.col("cf") == family), path)
+
+
+def import_family(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """An exported run as a column family of that name."""
+    return read_run(spark, path).withColumn("cf", F.lit(name))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 
@@ -54,3 +57,31 @@ def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+class Listener(StreamingQueryListener):
+    """Events of the session's streams in order: (started, id), (batch, id, number, rows) and (ended, id, error).
+
+    Register it with ``spark.streams.addListener``; ``on_event`` is called with each, too.
+    """
+
+    def __init__(self, on_event: Callable[[tuple], None] | None = None):
+        self.events: list[tuple] = []
+        self.on_event = on_event
+
+    def _tell(self, *event: object) -> None:
+        self.events.append(event)
+        if self.on_event:
+            self.on_event(event)
+
+    def onQueryStarted(self, event) -> None:
+        self._tell("started", str(event.id))
+
+    def onQueryProgress(self, event) -> None:
+        self._tell("batch", str(event.progress.id), event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._tell("ended", str(event.id), event.exception)

@@ -172,3 +172,94 @@ def test_entry_without_text_operators(spark, sf):
     assert e.entry(spark).count() > 0
     names = {n for n in e.queries() if not n.startswith("op") and n != "pipeline"}
     assert names and names - {"blk_policies", "blk_ghost", "trace_sampled"} <= set(e.oracle_sql())
+
+
+def test_bytes_of_other_letters(spark):
+    from basalt.functions import codec
+
+    df = spark.createDataFrame([("日本x", "日木x"), ("éé", "é"), ("", "a"), (None, "a")], "a string, b string")
+    a = F.col("a")
+    got = df.select(codec.fixed_prefix(a, 4).alias("f"), codec.remove_suffix(a, 1).alias("s"), codec.remove_prefix(a, 2).alias("p"), codec.common_prefix(a, F.col("b")).alias("c")).collect()
+    want = [x.encode() if x is not None else None for x in ("日本x", "éé", "", None)]
+    for r, x in zip(got, want):
+        assert (r.f and bytes(r.f)) == (None if x is None or len(x) < 4 else x[:4])
+        assert (r.s is None) == (x is None) and (x is None or (bytes(r.s), bytes(r.p)) == (x[: max(0, len(x) - 1)], x[2:]))
+    assert [r.c for r in got][:3] == [5, 2, 0]
+
+
+def test_checksums_and_varints_of_many(spark):
+    import random
+
+    from basalt.functions import codec
+
+    rng = random.Random(1)
+    values = [rng.randbytes(rng.choice((0, 1, 7, 300))) for _ in range(50)]
+    assert codec.crc32c_all(values).tolist() == [codec.crc32c_of(v) for v in values]
+    longs = [0, 1, 127, 128, -1, (1 << 63) - 1, -(1 << 63)] + [rng.randrange(-(1 << 63), 1 << 63) for _ in range(50)]
+    rows = spark.createDataFrame([(x,) for x in longs], "x bigint").select("x", codec.encode_varint(F.col("x")).alias("b")).collect()
+    assert all(bytes(r.b) == codec.varint_of(r.x) for r in rows)
+    x, ok = codec.of_varints([bytes(r.b) for r in rows] + [b"", b"\x80", b"\xff" * 11])
+    assert x.tolist()[: len(rows)] == [r.x for r in rows] and ok.tolist() == [True] * len(rows) + [False] * 3
+
+
+def test_compaction_keeps_what_is_read(spark, tmp_path):
+    """Folded reads now and at snapshots are the same before and after each compaction."""
+    import random
+
+    from basalt.operators import compact, manifest, resolve
+
+    rng = random.Random(7)
+    rows = [(f"k{rng.randrange(8)}", i, rng.choice((0, 1, 2, 2, 2)), rng.randrange(50)) for i in range(200)]
+    log = spark.createDataFrame(rows, "k string, seq bigint, op int, v bigint")
+    read = lambda x, at: {(r.k, int(r.v)) for r in resolve.folded(x, "uint64add", snapshot=at).collect()}
+    for own in (compact.compact(log, snapshots=(60, 120)), compact.compact_merged(log, "uint64add", snapshots=(60, 120)), compact.compact_merged(log, "uint64add", snapshots=(60, 120), bottom=True)):
+        for at in (60, 120, 199):
+            assert read(own, at) == read(log, at)
+    store = manifest.Store(spark, f"file://{tmp_path}/s")
+    store.append(log.filter("seq < 100"))
+    store.append(log.filter("seq >= 100"))
+    store.compact()
+    assert read(store.read(), 199) == read(log, 199)
+    store.append(spark.createDataFrame([("k1", 500, 2, 1)], "k string, seq bigint, op int, v bigint"))
+    store.compact(operator="uint64add")
+    assert store.read().filter("op = 2").count() == 0
+    copy = manifest.restore(store, f"file://{tmp_path}/t")
+    assert manifest.verify(store, copy).count() == 0
+    with pytest.raises(ValueError):
+        manifest.restore(store, f"file://{tmp_path}/t")
+
+
+def test_fragments_over_ranges(spark):
+    import random
+
+    from basalt.operators import resolve
+
+    rng = random.Random(3)
+    rows = [("a" if i % 3 else "b", b, b + rng.randrange(0, 60), rng.randrange(1000)) for i in range(200) for b in [rng.randrange(500)]]
+    stones = spark.createDataFrame(rows, "cf string, begin_k bigint, end_k bigint, seq bigint")
+    for parts in (1, 2, 7, 64):
+        pieces = resolve.fragments(stones, parts).collect()
+        for cf in "ab":
+            cover = {k: r.seq for r in pieces if r.cf == cf for k in range(r.begin_k, r.end_k)}
+            assert sum(r.end_k - r.begin_k for r in pieces if r.cf == cf) == len(cover)
+            assert cover == {k: max(s for c, b, e, s in rows if c == cf and b <= k < e) for k in range(600) if any(c == cf and b <= k < e for c, b, e, _ in rows)}
+
+
+def test_listener_hears_streams(spark, tmp_path):
+    import time
+
+    from basalt.streaming import feeds
+
+    heard = feeds.Listener()
+    spark.streams.addListener(heard)
+    try:
+        spark.range(5).write.parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("id bigint").parquet(f"{tmp_path}/in")
+        feeds.run_to_memory(stream, "heard", "append")
+        for _ in range(50):
+            if any(e[0] == "ended" for e in heard.events):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(heard)
+    assert heard.events[0][0] == "started" and heard.events[-1][0] == "ended" and sum(e[3] for e in heard.events if e[0] == "batch") == 5

@@ -23,19 +23,19 @@ def test_order_without_rows(spark):
 
 def test_whole_log_is_checked(spark, sf):
     log = sorted((r.seq, r.k) for r in logs.event_log(spark, sf).select("seq", "k").collect())
-    got = {r.seq for r in catalogue.QUERIES["sorted_run_check_all"](spark, sf).collect()}
+    got = {r.seq for r in catalogue.QUERIES["sorted_run_check"](spark, sf).collect()}
     assert got == {b[0] for a, b in zip(log, log[1:]) if a[1] >= b[1]} and max(got) > 500
 
 
 def test_every_part_has_a_tombstone(spark, sf):
-    stones = [(r.begin_k, r.end_k, r.seq) for r in catalogue.tombstones(spark, sf, every=True).collect()]
+    stones = [(r.begin_k, r.end_k, r.seq) for r in catalogue.tombstones(spark, sf).collect()]
     assert len(stones) == logs.table(spark, sf, "part").count()
     newest = {}
     for r in logs.order_log(spark, sf).collect():
         newest[r.k] = max(newest.get(r.k, (r.seq, r.op, r.v)), (r.seq, r.op, r.v))
     live = {(k, seq, v) for k, (seq, op, v) in newest.items() if op not in (0, 7)}
     want = {(k, seq, v) for k, seq, v in live if not any(b <= k < e and s > seq for b, e, s in stones)}
-    assert {tuple(r) for r in catalogue.QUERIES["kv_range_delete_all"](spark, sf).collect()} == want and want and want < live
+    assert {tuple(r) for r in catalogue.QUERIES["kv_range_delete"](spark, sf).collect()} == want and want and want < live
     cover = lambda k: max((s for b, e, s in stones if b <= k < e), default=None)
-    pieces = catalogue.QUERIES["kv_tombstone_fragments_all"](spark, sf).collect()
+    pieces = catalogue.QUERIES["kv_tombstone_fragments"](spark, sf).collect()
     assert {k: r.seq for r in pieces for k in range(r.begin_k, r.end_k)} == {k: cover(k) for k in range(1100) if cover(k) is not None}
