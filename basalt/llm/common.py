@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,6 +40,20 @@ def byte_batches(column: pa.Array) -> Iterator[list[bytes]]:
         yield [x or b"" for x in column.slice(at, CHUNK).cast(pa.binary()).to_pylist()]
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and at its end the memory that it no longer needs goes back to the system, as the Python worker stays for other tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return whole
+
+
 def texts(column: pa.Array) -> Iterator[str]:
     """The same, one by one."""
     for batch in text_batches(column):

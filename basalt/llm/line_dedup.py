@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from basalt.llm.common import fresh, byte_batches
+from basalt.llm.common import byte_batches, fresh, trimmed
 from basalt.llm.words import mix, pack_texts, word_hashes
 from basalt.plans.scratch import Scratch, settle
 from basalt.plans.ship import ship
@@ -310,9 +310,27 @@ def unpack_blob(x: bytes) -> tuple[np.ndarray, ...]:
     return np.frombuffer(x, np.uint32, m, 8), np.frombuffer(x, np.uint64, m, 8 + 4 * m), sig, n, np.frombuffer(small, np.int32, m, 4 * m), np.frombuffer(small, np.int32, m, 8 * m), np.frombuffer(small, np.int64, m, 12 * m)
 
 
+def bits_of(ids: DataFrame) -> DataFrame:
+    """The words of the bitmap of the longs in column id that aren't empty; BITMAP rows at most."""
+    return ids.groupBy((F.col("id").bitwiseAND(F.lit(BITMAP - 1))).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(shiftrightunsigned(id, 58)))")).alias("bits"))
+
+
+def flagged(df: DataFrame, column: str, ids: DataFrame, to: str) -> DataFrame:
+    """``df`` with a column that tells whether the bitmap of the ids has its column's long, by a broadcast of the bitmap's words, of which there are BITMAP at most.
+
+    No Python worker is needed, so it doesn't add one to a stage that has one.
+    """
+    word, bits = fresh("bitmap_word", df), fresh("bitmap_bits", df)
+    held = F.broadcast(bits_of(ids).toDF(word, bits))
+    joined = df.join(held, F.col(f"`{column}`").bitwiseAND(F.lit(BITMAP - 1)) == F.col(word), "left")
+    turn = F.shiftrightunsigned(F.col(f"`{column}`"), 58).cast("int")
+    has = F.coalesce(F.call_function("shiftrightunsigned", F.col(bits), turn).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return joined.withColumn(to, has).drop(word, bits)
+
+
 def bitmap_of(ids: DataFrame) -> np.ndarray:
     """A bitmap of the longs in column id, always of BITMAP words; others may share their bits."""
-    bits = ids.groupBy((F.col("id").bitwiseAND(F.lit(BITMAP - 1))).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(shiftrightunsigned(id, 58)))")).alias("bits")).toPandas()
+    bits = bits_of(ids).toPandas()
     bitmap = np.zeros(BITMAP, np.uint64)
     bitmap[bits["word"].to_numpy()] = bits["bits"].to_numpy(np.int64).view(np.uint64)
     return bitmap
@@ -605,8 +623,8 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     hashed = own.select("doc_id", F.xxhash64("text").alias("h"), "text")
 
     def met(last: bool, refined: list[np.ndarray]) -> DataFrame:
-        sent = hashed.mapInArrow(_send(rarity, hot, exact, min_words, buckets, refined), SENT.format(id=kind))
-        return scratch.write(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(exact, last), f"a bigint, b bigint, d int, doc_id {kind}, h bigint, line array<int>, id array<bigint>"))
+        sent = hashed.mapInArrow(trimmed(_send(rarity, hot, exact, min_words, buckets, refined)), SENT.format(id=kind))
+        return scratch.write(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(trimmed(_meet(exact, last)), f"a bigint, b bigint, d int, doc_id {kind}, h bigint, line array<int>, id array<bigint>"))
 
     rounds = rounds_of(exact)
     turns = [met(rounds == 0, [])]
@@ -628,13 +646,13 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         """
         needed = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(beside.select(F.explode("id").alias("id"))))
         known = first.filter(may_have(needed)(F.col("id"))).select("id", "first")
-        sets = own.select("text").mapInArrow(_sets(rarity, min_words, needed), "id bigint, words array<bigint>")
+        sets = own.select("text").mapInArrow(trimmed(_sets(rarity, min_words, needed)), "id bigint, words array<bigint>")
         sets = scratch.write(sets.groupBy("id").agg(F.first("words").alias("words")).join(known, "id"))
         # the likeliest partner is verified first, and the others for those sets only that it doesn't settle
         likely = scratch.write(pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
         sure = scratch.write(_verified(likely, sets, exact))
         unsure = may_have(bitmap_of(likely.join(sure, "a", "left_anti").select(F.col("a").alias("id"))))
-        rest = pairs.select("a", "b").unionByName(beside.filter(unsure(F.col("a"))).select("a", F.explode("id").alias("b"))).filter(unsure(F.col("a")))
+        rest = pairs.filter(unsure(F.col("a"))).select("a", "b").unionByName(beside.filter(unsure(F.col("a"))).select("a", F.explode("id").alias("b")))
         rest = scratch.write(rest.distinct().join(sure, "a", "left_anti").join(likely, ["a", "b"], "left_anti"))
         return scratch.write(sure.unionByName(_verified(rest, sets, exact)).distinct().select(F.col("a").alias("id")))
 
@@ -694,13 +712,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
     names = [fresh(n, docs) for n in ("line_id", "line_hash", "line_removed")]
     gone = similar_lines(docs, doc_id, text, t, min_words)
     # texts that surely lose nothing needn't meet the removed lines
-    lose = may_have(bitmap_of(gone.select(F.col("h").alias("id"))))
+    lose = gone.select(F.col("h").alias("id"))
     gone = gone.toDF(*names)
     held = fresh("line_own", docs)
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col(names[0])) & (F.col(held) == F.col(names[1]))
     hashed = docs.withColumn(held, F.xxhash64(F.col(f"`{text}`")))
     near = fresh("line_near", docs)
-    marked = hashed.withColumn(near, lose(F.col(held)) & F.col(f"`{text}`").isNotNull())
+    marked = flagged(hashed, held, lose, near).withColumn(near, F.col(near) & F.col(f"`{text}`").isNotNull())
     both = marked.filter(F.col(near)).drop(near).join(gone, same, "left")
     new = F.when(F.col(names[2]).isNull(), F.col(f"`{text}`")).otherwise(arrow_udf(without, "string")(F.col(f"`{text}`"), F.col(names[2])))
     out = both.withColumn(held, new)

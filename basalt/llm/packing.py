@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import text_batches
+from basalt.llm.common import text_batches, trimmed
 from basalt.plans.scratch import Scratch
 from basalt.plans.ship import ship
 
@@ -158,7 +158,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, PIECES.format(id=kind))
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(trimmed(run), PIECES.format(id=kind))
 
 
 @dataclass(frozen=True)

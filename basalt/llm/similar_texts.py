@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import byte_batches
+from basalt.llm.common import byte_batches, trimmed
 from basalt.llm.components import components
 from basalt.llm.line_dedup import bitmap_of, in_bitmap, may_have
 from basalt.llm.shingles import set_rows, shingle_sets, verified
@@ -249,21 +249,21 @@ def links(own: DataFrame, texts: DataFrame, scratch: Scratch, width: int, t: Fra
     """Verified links (a, b) that join all sets that meet and are as similar as t; own: id, n and the fingerprint of each set."""
 
     def keyed(rows: DataFrame, deeper: bool, wanted: np.ndarray | None = None) -> DataFrame:
-        return rows.mapInArrow(_index(deeper, wanted), KEYED).repartition("key")
+        return rows.mapInArrow(trimmed(_index(deeper, wanted)), KEYED).repartition("key")
 
     some = own.filter("n > 0").select("id", *PRINT)
-    met = scratch.write(keyed(some, False).sortWithinPartitions("key").mapInArrow(_met(False), PAIRS))
+    met = scratch.write(keyed(some, False).sortWithinPartitions("key").mapInArrow(trimmed(_met(False)), PAIRS))
     below = met.filter(F.col("d") <= DEEPER).select(F.col("a").alias("id"), F.col("b").alias("key"), (F.lit(DEEPER) - F.col("d")).alias("segment"))
     deep = None
     if not below.isEmpty():
         deep = scratch.write(some.join(below, "id").select("id", *PRINT, "key", "segment"))
-        met = met.unionByName(scratch.write(keyed(deep, True).sortWithinPartitions("key").mapInArrow(_met(True), PAIRS)))
+        met = met.unionByName(scratch.write(keyed(deep, True).sortWithinPartitions("key").mapInArrow(trimmed(_met(True)), PAIRS)))
     sizes = own.select("id", "n")
     pairs = scratch.write(met.filter("d >= 0").groupBy("a", "b").agg(F.min("d").alias("d")))
 
     def tried(pairs: DataFrame) -> DataFrame:
         """The links among written pairs; only the sets of the pairs move."""
-        sets = texts.select("text").mapInArrow(set_rows(width, bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))), "id bigint, words array<bigint>")
+        sets = texts.select("text").mapInArrow(trimmed(set_rows(width, bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id"))))), "id bigint, words array<bigint>")
         return verified(pairs.select("a", "b"), scratch.write(sets.groupBy("id").agg(F.first("words").alias("words"))), t)
 
     def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    made = texts.mapInArrow(_prints(width), f"doc_id {kind}, h bigint, id bigint, n bigint, " + ", ".join(f"{c} bigint" for c in PRINT))
+    made = texts.mapInArrow(trimmed(_prints(width)), f"doc_id {kind}, h bigint, id bigint, n bigint, " + ", ".join(f"{c} bigint" for c in PRINT))
     own = scratch.write(made.groupBy("id").agg(F.min(rank).alias("least"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in PRINT]))
     roots = components(links(own, texts, scratch, width, Fraction(t).limit_denominator(1000)), scratch)
     rooted = own.select("id", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
