@@ -320,8 +320,20 @@ def flagged(df: DataFrame, column: str, ids: DataFrame, to: str) -> DataFrame:
 
     No Python worker is needed, so it doesn't add one to a stage that has one.
     """
+    return _flagged(df, column, bits_of(ids), to)
+
+
+def having(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose column's long the bitmap has, by the same join."""
+    at = np.flatnonzero(bitmap)
+    held = df.sparkSession.createDataFrame(pa.table({"word": at.astype(np.int64), "bits": bitmap[at].view(np.int64)}))
+    to = fresh("bitmap_has", df)
+    return _flagged(df, column, held, to).filter(F.col(to)).drop(to)
+
+
+def _flagged(df: DataFrame, column: str, held: DataFrame, to: str) -> DataFrame:
     word, bits = fresh("bitmap_word", df), fresh("bitmap_bits", df)
-    held = F.broadcast(bits_of(ids).toDF(word, bits))
+    held = F.broadcast(held.toDF(word, bits))
     joined = df.join(held, F.col(f"`{column}`").bitwiseAND(F.lit(BITMAP - 1)) == F.col(word), "left")
     turn = F.shiftrightunsigned(F.col(f"`{column}`"), 58).cast("int")
     has = F.coalesce(F.call_function("shiftrightunsigned", F.col(bits), turn).bitwiseAND(F.lit(1)) == 1, F.lit(False))
@@ -645,7 +657,7 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         Of two similar sets the one that comes first as a line stands, and a set's lines after its first go anyway, so a set needs one earlier partner.
         """
         needed = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(beside.select(F.explode("id").alias("id"))))
-        known = first.filter(may_have(needed)(F.col("id"))).select("id", "first")
+        known = having(first, "id", needed).select("id", "first")
         sets = own.select("text").mapInArrow(trimmed(_sets(rarity, min_words, needed)), "id bigint, words array<bigint>")
         sets = scratch.write(sets.groupBy("id").agg(F.first("words").alias("words")).join(known, "id"))
         # the likeliest partner is verified first, and the others for those sets only that it doesn't settle
