@@ -168,8 +168,8 @@ class Breeding:
     block: int = 6000
     islands: int = 2
     epochs: int = 2
-    size: int = 6
-    generations: int = 10
+    size: int = 4
+    generations: int = 15
     full: float = 0.995
 
 
