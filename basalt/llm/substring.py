@@ -16,11 +16,12 @@ Either way names are dealt to buckets, one sort in a bucket shows which also sta
 with a smaller id, and their places go back to the documents. A name travels once
 for a batch of texts where several of its documents hold it: the smallest one's places go to the bucket,
 the others are settled by it. So a passage in a third of all documents reaches its bucket once a batch.
-Two different windows share a 64-bit name with a probability of 2**-64.
+Two different windows share a 64-bit name with a probability of 2**-64; among w different windows about w * w / 2**65 pairs do, one for 6e9 windows (30 GB of text), so
+more than that asks for names of more bits.
 
 Defined results: a null text has no words. Rows equal in doc_id and text are one document, so one
 doesn't remove words of the other; neither do different texts of one doc_id. A null doc_id is smaller than any other,
-and not than itself. Further columns are left out. An empty table gives an empty table.
+and not than itself; ids that aren't integers are refused. Texts may be of any length. Further columns are left out. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ from basalt.plans.ship import ship
 
 #: Bytes of text whose names are held at once.
 BATCH = 8 << 20
-#: Bytes of input for each bucket, by which their number is chosen.
-BUCKET = 8 << 20
+#: Bytes of text for each bucket, by which their number is chosen.
+BUCKET = 16 << 20
 _NULL = np.iinfo(np.int64).min
 #: Rounds of recompression after which symbols are compared; they stand for about 30, 100 and 300 words then.
 ROUNDS = (12, 16, 20)
@@ -324,9 +325,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per row: doc_id, n_words, n_removed and kept (the words that stay, joined by one space)."""
     spark = docs.sparkSession
     ship(spark)
+    if docs.schema[doc_id].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{doc_id} must be an integer: ids are compared as longs")
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    size = int(str(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET) if size < 1 << 60 else 0)
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
 
     def settled(sent: DataFrame, name: str) -> DataFrame:
         met = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_settle_buckets, SENT)
