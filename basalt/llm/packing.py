@@ -20,13 +20,12 @@ import random
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,22 +34,54 @@ from basalt.plans.scratch import Scratch
 from basalt.plans.ship import ship
 
 #: Entries of a generation of a worker's tables.
-CACHE = 300_000
+CACHE = 600_000
 LONG = 48
 
 
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Words of other letters, or whose lower case or normal form could differ between libraries, go to the tokenizer whole.
 _OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]|[\x1c-\x1f\x85\xa0]|<\\|")
+#: The same in texts of Latin-1.
+_MARKS = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
+_LOWER = sorted({y for x in map(chr, range(0x250)) if not _OTHER.match(x) for y in x.lower()})
+_LETTERS, _NUMBERS = ("".join(re.escape(x) for x in _LOWER if unicodedata.category(x)[0] == k) for k in "LN")
+_ASCII = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9]+", re.ASCII)
+_LATIN = re.compile(rf"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTERS}{_NUMBERS}]+")
+
+
+def _regular(text: str) -> bool:
+    """Whether nothing of the text has to go to the tokenizer whole."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _OTHER.search(text) and unicodedata.is_normalized("NFC", text)
+    return not any(x in text for x in _MARKS)
+
+
+class _Table(dict):
+    """What ``make`` returns for a word, kept in two generations: after ``turn`` a new one begins, and what is met again moves on."""
+
+    def __init__(self, make: Callable[[bytes], bytes]):
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        if len(word) <= LONG:
+            self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
 
 class Encoder:
     """Token ids of whole texts, word by word.
 
     For vocabularies of lower-cased text whose pre-tokens are letters, single digits or other runs,
-    never across white space. Words seen before come from a bounded table, the pre-tokens of
-    others from a second one, and what that lacks from the library.
+    never across white space. Words seen before come from a bounded table, and so do the pre-tokens of
+    others, which are words themselves. Texts with a word that the library must cut have a table of their own.
     """
 
     def __init__(self, path: str):
@@ -61,15 +92,12 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
+        self.four = [k.to_bytes(4, "little") for k in range(max(self.tok.get_vocab().values()) + 1)]
         # what the byte-level pre-tokenizer writes for each byte
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [x for x in range(256) if x not in printed]
         self.byte = {**{x: chr(x) for x in printed}, **{x: chr(256 + k) for k, x in enumerate(others)}}
-        # each table has two generations: a new one begins when the one before is full, and what is met again moves on
-        self.words: dict[bytes, bytes] = {}
-        self.old_words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
+        self.words, self.others = _Table(self._word), _Table(self._other)
         probes = ["a b", "a  b", " a\tb ", "a\nb", "a\r\nb", "a\x0b\x0cb", "é \u0301b", "<|endoftext|> a <|endoftext|>b", "Don't!!'s x12 ÉÀß_ŉ²½ a-b", "we'll I'M They've \x00\x7f ¡­"]
         if [self.encode([x])[0] for x in probes] != [self._whole(x) for x in probes]:
             raise ValueError(f"{path} isn't a vocabulary that this encoder can cut")
@@ -77,49 +105,28 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        if not part.isascii() or not part.isprintable():
-            part = "".join(map(self.byte.__getitem__, part.encode()))
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part)])
-
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if _OTHER.search(text) or not (ascii_ := text.isascii()) and not unicodedata.is_normalized("NFC", text):
-            return self._whole(text)
-        out = []
-        for x in (_ASCII if ascii_ else _LATIN).findall(text.lower()):
-            ids = self.parts.get(x)
-            if ids is None:
-                ids = self.old_parts.get(x)
-                if ids is None:
-                    ids = self._part(x)
-                if len(x) <= LONG:
-                    self.parts[x] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _late(self, words: list[bytes]) -> dict[bytes, bytes]:
-        if len(self.parts) > CACHE:
-            self.old_parts, self.parts = self.parts, {}
-        out = {}
-        for w in words:
-            ids = self.old_words.get(w)
-            if ids is None:
-                ids = self._word(w)
-            if len(w) <= LONG:
-                self.words[w] = ids
-            out[w] = ids
-        return out
+        plain = text.isascii()
+        if not text.isalpha():
+            parts = (_ASCII if plain else _LATIN).findall(text)
+            if len(parts) > 1:
+                return b"".join([self.words[x.encode()] for x in parts])
+            plain = plain and text.isprintable()
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(text if plain else "".join(map(self.byte.__getitem__, word)))])
+
+    def _other(self, word: bytes) -> bytes:
+        text = word.decode()
+        return self.words[text.lower().encode()] if _regular(text) else self._whole(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > CACHE:
-            self.old_words, self.words = self.words, {}
-        known = self.words
-        cut = [x.encode().split() for x in texts]
-        found = [list(map(known.get, words)) for words in cut]
-        late = self._late(list(dict.fromkeys(w for words, f in zip(cut, found) if None in f for w, i in zip(words, f) if i is None)))
-        return [b"".join([late[w] if i is None else i for w, i in zip(words, f)] if None in f else f) for words, f in zip(cut, found)]
+        if len(self.words) + len(self.others) > CACHE:
+            self.words.turn()
+            self.others.turn()
+        cut = [(self.words, x.lower()) if _regular(x) else (self.others, x) for x in texts]
+        return [b"".join(map(table.__getitem__, x.encode().split())) for table, x in cut]
 
 
 _loaded: dict[str, Encoder] = {}

@@ -308,6 +308,20 @@ def test_ids_are_the_library_s():
     assert packing.encoder(path).encode(texts) == want
 
 
+def test_ids_by_a_small_table(monkeypatch):
+    """Letters of every case and block in and beside words, with a table that turns over again and again; words that differ only in case are one entry."""
+    from tokenizers import Tokenizer
+
+    path = tok("word_bpe_49k.json")
+    enc = packing.Encoder(path)
+    enc.encode(["Stone, STONE stone"])
+    assert b"stone" in enc.words and b"STONE" not in enc.words and b"Stone," not in enc.words
+    monkeypatch.setattr(packing, "CACHE", 20)
+    texts = [f"{c} a{c}b 1{c}'s {c}{c}'LL '{c} É{c.lower()}é!{c}" for c in [*map(chr, range(0x260)), *"’“…€ⱥⱦ\u2028\u3000ΣςſḰ\u0308"]]
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [enc.encode([x])[0] for x in texts] == want and enc.words.old
+
+
 def test_line_dedup_cases(spark, odd, none):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and line_dedup.dedup_lines(none).count() == 0
