@@ -20,7 +20,7 @@ import random
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,6 +138,19 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def cuts(batches: Iterable[list[str]], encode: Callable[[list[str]], list[bytes]], tail: bytes, capacity: int) -> Iterator[list[tuple[int, int, int, int]]]:
+    """(piece, start, length, ids_crc32) of each text's pieces. A text beside an equal one isn't encoded again, as a mix has its copies side by side."""
+    last, held = None, []
+    for texts in batches:
+        ids = iter(encode([x for x, before in zip(texts, [last, *texts]) if x != before]))
+        for x in texts:
+            if x != last:
+                last, own = x, next(ids) + tail
+                parts = [own[k : k + 4 * capacity] for k in range(0, len(own), 4 * capacity)]
+                held = [(k, k * capacity, len(part) // 4, zlib.crc32(part)) for k, part in enumerate(parts)]
+            yield held
+
+
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -150,18 +163,13 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, doc_id
         enc = encoder(path)
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            row = 0
-            for part in text_batches(batch.column(1)):
-                for ids in enc.encode(part):
-                    ids += tail
-                    for k in range(0, len(ids), 4 * capacity):
-                        cut = ids[k : k + 4 * capacity]
-                        at.append(row)
-                        piece.append(k // (4 * capacity))
-                        start.append(k // 4)
-                        length.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
-                    row += 1
+            for row, held in enumerate(cuts(text_batches(batch.column(1)), enc.encode, tail, capacity)):
+                for k, begin, n, sum_ in held:
+                    at.append(row)
+                    piece.append(k)
+                    start.append(begin)
+                    length.append(n)
+                    crc.append(sum_)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, by operator."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -322,6 +323,21 @@ def test_ids_by_a_small_table(monkeypatch):
     assert [enc.encode([x])[0] for x in texts] == want and enc.words.old
 
 
+def test_copies_side_by_side_are_encoded_once():
+    seen = []
+
+    def encode(texts):
+        seen.extend(texts)
+        return [x.encode("utf-32-le") for x in texts]
+
+    batches, tail = [["a", "a", "", "bcdef"], ["bcdef", "a"], [], ["a", "", ""]], b"\1\0\0\0"
+    got = list(packing.cuts(batches, encode, tail, 4))
+    assert seen == ["a", "", "bcdef", "a", ""]
+    for x, held in zip(sum(batches, []), got, strict=True):
+        own = x.encode("utf-32-le") + tail
+        assert held == [(k // 16, k // 4, len(own[k : k + 16]) // 4, zlib.crc32(own[k : k + 16])) for k in range(0, len(own), 16)]
+
+
 def test_line_dedup_cases(spark, odd, none):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and line_dedup.dedup_lines(none).count() == 0
