@@ -70,14 +70,18 @@ def is_stale(ts_s: Column, ttl: int, now: int) -> Column:
     return F.lit(False) if ttl <= 0 else (ts_s + ttl) < now
 
 
-def append_ts(v: Column, ts_s: Column) -> Column:
-    """The value's bytes with a time in seconds behind them."""
-    return F.concat(_raw(v), encode_fixed(ts_s, 4))
+def append_ts(v: Column, ts_s: Column, size: int = 4) -> Column:
+    """The value's bytes with a time in seconds behind them; a time that ``size`` bytes (4 or 8) can't hold is an error."""
+    if size < 8:
+        room = 1 << 8 * size
+        over = F.raise_error(F.concat(F.lit(f"a time beyond {size} bytes: "), ts_s.cast("string"))).cast("long")
+        ts_s = F.when((ts_s < 0) | (ts_s >= room), over).otherwise(ts_s)
+    return F.concat(_raw(v), encode_fixed(ts_s, size))
 
 
-def ts_of(v: Column) -> Column:
+def ts_of(v: Column, size: int = 4) -> Column:
     """The time that append_ts put behind a value."""
-    return decode_fixed(F.substring(v, F.octet_length(v) - 3, F.lit(4)), 4)
+    return decode_fixed(F.substring(v, F.octet_length(v) - (size - 1), F.lit(size)), size)
 
 
 def time_text(ts_s: Column) -> Column:
@@ -88,8 +92,8 @@ def time_text(ts_s: Column) -> Column:
     return F.concat(F.replace(at.cast("string"), F.lit("-"), F.lit("/")), F.lit("-"), two(clock / 3600), F.lit(":"), two(F.pmod(clock, F.lit(3600)) / 60), F.lit(":"), two(F.pmod(clock, F.lit(60))))
 
 
-def strip_ts(v: Column) -> Column:
-    return remove_suffix(v, 4)
+def strip_ts(v: Column, size: int = 4) -> Column:
+    return remove_suffix(v, size)
 
 
 def until(x: Column, delimiter: str) -> Column:

@@ -151,13 +151,13 @@ def fn_bytes(spark, d):
 
 @q("SELECT c_custkey, c_name AS back, true AS sliced, true AS cut_is_null, c_custkey * 86400 AS ts, (c_custkey * 86400 + 100) < 500000 AS stale, true AS stripped FROM customer")
 def fn_ttl_slices(spark, d):
-    """Values with a time behind them, and slices behind their length."""
+    """Values with a time behind them, and slices behind their length; times of keys from 49,711 on need more than four bytes."""
     n, ts = F.col("c_name"), F.col("c_custkey") * 86400
-    dated, slice_ = codec.append_ts(n, ts), codec.encode_slice(n.cast("binary"))
+    dated, slice_ = codec.append_ts(n, ts, 8), codec.encode_slice(n.cast("binary"))
     short = F.substring(slice_, F.lit(1), F.octet_length(slice_) - 1)
     return logs.table(spark, d, "customer").select(
-        "c_custkey", codec.strip_ts(dated).cast("string").alias("back"), (codec.decode_slice(slice_) == n.cast("binary")).alias("sliced"), codec.decode_slice(short).isNull().alias("cut_is_null"),
-        codec.ts_of(dated).alias("ts"), codec.is_stale(codec.ts_of(dated), 100, 500_000).alias("stale"), (F.octet_length(dated) == F.octet_length(n) + 4).alias("stripped"),
+        "c_custkey", codec.strip_ts(dated, 8).cast("string").alias("back"), (codec.decode_slice(slice_) == n.cast("binary")).alias("sliced"), codec.decode_slice(short).isNull().alias("cut_is_null"),
+        codec.ts_of(dated, 8).alias("ts"), codec.is_stale(codec.ts_of(dated, 8), 100, 500_000).alias("stale"), (F.octet_length(dated) == F.octet_length(n) + 8).alias("stripped"),
     )
 
 
