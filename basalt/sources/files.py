@@ -36,8 +36,10 @@ def out_of_order(run: DataFrame, key: str = "k", pos: str = "pos", part: str | N
     return near.filter(F.when(F.col("_turn") == 1, F.col("_carried")).otherwise(F.col("_before")) >= F.col(key)).select(*[F.col(f"`{c}`") for c in run.columns])
 
 
-def ingest(log: DataFrame, files: DataFrame, seq: str = "seq", behind: bool = False) -> DataFrame:
-    """The log with external rows, all of one new sequence number above every other (or 0, below all, with ``behind``)."""
+def ingest(log: DataFrame, files: DataFrame, seq: str = "seq", behind: bool = False, at: int | None = None) -> DataFrame:
+    """The log with external rows, all of one new sequence number: above every other, or 0, below all, with ``behind``, or ``at``, if the files were given a number before."""
+    if at is not None:
+        return log.unionByName(files.withColumn(seq, F.lit(at).cast(log.schema[seq].dataType)))
     at = F.lit(0) if behind else F.broadcast(log.agg(F.max(seq).alias("_last")))
     if behind:
         return log.unionByName(files.withColumn(seq, at.cast(log.schema[seq].dataType)))
