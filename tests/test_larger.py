@@ -58,3 +58,15 @@ def test_coverage_counts_entries_of_the_space(spark, tmp_path):
     events = f"SELECT unnest([1, 2, 3]::BIGINT[]) AS event_id, unnest([100000, 100000, 7]::BIGINT[]) AS user_id, 'view' AS event_type, {EVENT}"
     got = agree("trace_keyspace_coverage", spark, tmp_path, events=events, customer="SELECT unnest([33334, 333334, 333335, 2]::BIGINT[]) AS c_custkey")
     assert got.n_keys[0] == 4
+
+
+def test_circles_longer_than_the_depth(spark):
+    from basalt.operators import txn
+
+    def circle(start, n):
+        return [(start + i, start + (i + 1) % n) for i in range(n)]
+
+    waits = spark.createDataFrame(circle(0, 9) + circle(100, 5) + circle(200, 1) + circle(300, 4) + [(400, 100), (401, 0), (402, None)], "txn long, waits_for long")
+    whole = {r.txn for r in txn.deadlocked(waits).collect()}
+    assert whole == {*range(9), *range(100, 105), 200, *range(300, 304)}
+    assert {r.txn for r in txn.deadlocked(waits, depth=5).collect()} == whole - set(range(9))
