@@ -134,3 +134,21 @@ def test_caches_take_accesses_in_pieces(name):
         misses += parts(trace[i : i + 7], after[i : i + 7])
         assert all(len(c.cell_contents) <= 96 for c in parts.__closure__ if hasattr(c.cell_contents, "__len__"))
     assert misses == whole(trace, after)
+
+
+def test_pairs_of_locks_are_dealt(spark):
+    """All pairs once, also those of one range, and no task has them all."""
+    import random
+
+    from basalt.operators import txn
+
+    rng = random.Random(2)
+    held = [(i, lo := rng.choice([3, 3, 3, rng.randrange(50)]), lo + rng.randrange(4)) for i in range(120)]
+    locks = spark.createDataFrame(held, "txn long, lo long, hi long")
+    from pyspark.sql import functions as F
+
+    got = txn.lock_overlaps(locks, [10, 20, 30], cell=8).withColumn("task", F.spark_partition_id()).collect()
+    want = sorted((a, b) for a, l, h in held for b, m, i in held if a < b and l <= i and m <= h)
+    assert sorted((r.one, r.two) for r in got) == want
+    tasks = [r.task for r in got]
+    assert max(tasks.count(t) for t in set(tasks)) < len(want) * 0.6
