@@ -67,7 +67,10 @@ def split_blobs(log: DataFrame, least: int, key: str = "k", value: str = "v") ->
 
 
 def join_blobs(log: DataFrame, blobs: DataFrame, value: str = "v") -> DataFrame:
-    return log.join(blobs, "blob", "left").withColumn(value, F.coalesce(value, "blob_value")).drop("blob", "blob_value")
+    """The log with its values back. Rows without a reference are dealt by what they hold: as one null they would all go to one task."""
+    deal = F.concat(F.lit("no blob "), F.xxhash64(*[c for c, kind in log.dtypes if "map" not in kind]).cast("string"))
+    own, there = log.withColumn("_key", F.coalesce("blob", deal)).drop("blob"), blobs.withColumnRenamed("blob", "_key")
+    return own.join(there, "_key", "left").withColumn(value, F.coalesce(value, "blob_value")).drop("_key", "blob_value")
 
 
 def export_family(log: DataFrame, family: str, path: str) -> None:

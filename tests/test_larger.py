@@ -152,3 +152,24 @@ def test_pairs_of_locks_are_dealt(spark):
     assert sorted((r.one, r.two) for r in got) == want
     tasks = [r.task for r in got]
     assert max(tasks.count(t) for t in set(tasks)) < len(want) * 0.6
+
+
+def test_values_without_a_blob_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    from basalt.sources import files
+
+    log = spark.range(4000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 == 1, F.lit("long" * 9)).otherwise(F.concat(F.lit("v"), F.col("id"))).alias("v"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {c: spark.conf.get(c) for c in conf}
+    for c, v in conf.items():
+        spark.conf.set(c, v)
+    try:
+        back = files.join_blobs(*files.split_blobs(log, 20))
+        got = back.select("k", "v", F.spark_partition_id().alias("task")).collect()
+        tasks = [r.task for r in got]
+        assert max(tasks.count(t) for t in set(tasks)) < 2000
+        assert sorted((r.k, str(r.v)) for r in got) == sorted((r.k, str(r.v)) for r in log.collect())
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
