@@ -173,3 +173,11 @@ def test_values_without_a_blob_are_dealt(spark):
     finally:
         for c, v in old.items():
             spark.conf.set(c, v)
+
+
+def test_curve_over_many_chunks_is_the_simulated_cache(spark):
+    from basalt.operators import blocks
+
+    trace = spark.createDataFrame(a_trace(600, 30, 9), "caller string, seq long, ts_us long, block long, bytes long")
+    curve = {tuple(r) for r in blocks.lru_curve(blocks.distances(trace, chunk=16), [4, 16]).select("caller", "capacity", "accesses", "misses").collect()}
+    assert curve == {tuple(r) for r in blocks.simulate(trace, ["lru"], [4, 16]).select("caller", "capacity", "accesses", "misses").collect()}
